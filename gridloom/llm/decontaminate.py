@@ -140,9 +140,8 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, id_
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_var.value
             for b in batches:
-                texts = b["text"].to_pylist()
-                for at in range(0, len(texts), 1000):
-                    if got := find_items(texts[at : at + 1000], index):
+                for at in range(0, b.num_rows, 500):
+                    if got := find_items(b["text"].slice(at, 500).to_pylist(), index):
                         ids = b["doc_id"].take(pa.array([at + d for d, _ in got]))
                         cols = [[index["ids"][r[0]] for _, r in got], [len(index["words"][r[0]]) for _, r in got], [r[1] for _, r in got], [r[2] for _, r in got]]
                         yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names)
@@ -163,9 +162,8 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
                 clean = np.ones(b.num_rows, bool)
-                texts = b[text_col].to_pylist()
-                for at in range(0, len(texts), 1000):
-                    for d, _ in find_items(texts[at : at + 1000], index_var.value):
+                for at in range(0, b.num_rows, 500):
+                    for d, _ in find_items(b[text_col].slice(at, 500).to_pylist(), index_var.value):
                         clean[at + d] = False
                 yield b.filter(pa.array(clean))
 

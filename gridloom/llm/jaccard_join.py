@@ -73,8 +73,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         seen: set[int] = set()
         had: set[int] = set()
         for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
                 size, cid, gid, toks, poss, kept = [], [], [], [], [], []
                 texts = part["text"].to_pylist()
                 for s, text in zip(_sets(texts, n), texts, strict=True):
@@ -175,8 +175,8 @@ def _verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
+            for at in range(0, b.num_rows, 200):
+                part = b.slice(at, 200)
                 texts = {}
                 for key, col in (("a", "ta"), ("b", "tb")):
                     texts.update(zip(part[key].to_pylist(), part[col].to_pylist(), strict=True))

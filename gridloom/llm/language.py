@@ -75,9 +75,9 @@ def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_co
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
         for b in batches:
-            langs, texts = b["lang"].to_pylist(), b["text"].to_pylist()
+            langs = b["lang"].to_pylist()
             for lang in sorted(set(langs)):
-                mine = [t for x, t in zip(langs, texts, strict=True) if x == lang]
+                mine = b["text"].filter(pa.array([x == lang for x in langs])).to_pylist()
                 total = sums.setdefault(lang, np.zeros(_SIZE + n_scripts, np.int64))
                 for g in _groups(mine):
                     c = _codes([mine[i] for i in g])
@@ -185,7 +185,7 @@ def identify_language(docs: DataFrame, model: dict, penalty: float = 12.0, id_co
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = identify(b["text"].to_pylist(), shared.value, penalty)
+            got = [x for at in range(0, b.num_rows, 1000) for x in identify(b["text"].slice(at, 1000).to_pylist(), shared.value, penalty)]
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array([x for x, _ in got], pa.string()), pa.array([s for _, s in got], pa.float64())], ["doc_id", "held_out", "lang_pred", "score"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 #: Bits of each bitmap: 16 MB, whatever the input; the only thing that is broadcast.
 BITS = 27
-_FLUSH = 2_000_000
+_FLUSH = 1_000_000
 
 
 def bit_at(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
@@ -24,7 +24,7 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
 
     ``texts`` has one string column; ``tokens(list of texts, set kept for the task)`` gives their
     tokens. Every token of every text is counted: tasks send sorted distinct 32-bit fingerprints
-    per bucket, with counts, so a frequent token is sent once per 2 million tokens; a bucket is one
+    per bucket, with counts, so a frequent token is sent once per million tokens; a bucket is one
     group, and their number follows the bytes of text, so each stays at about a million
     fingerprints. Tokens that share 40 or more leading bits count together, and tokens that share
     a bit share its mark: callers may only use the bitmaps where a false mark costs work, not results.
@@ -46,9 +46,8 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
             return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "fps", "counts"])
 
         for b in batches:
-            values = b.column(0).to_pylist()
-            for at in range(0, len(values), 1000):
-                t = tokens(values[at : at + 1000], state)
+            for at in range(0, b.num_rows, 500):
+                t = tokens(b.column(0).slice(at, 500).to_pylist(), state)
                 if len(t):
                     held.append(t)
                     size += len(t)
@@ -60,25 +59,23 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
 
     local = BITS - bucket_bits
 
-    def merge(pdf):
-        import pandas as pd
-
-        fp = np.concatenate([np.frombuffer(x, np.uint32) for x in pdf["fps"]])
-        count = np.concatenate([np.frombuffer(x, np.uint8) for x in pdf["counts"]]).astype(np.int64)
+    def merge(table: pa.Table) -> pa.Table:
+        fp = np.concatenate([np.frombuffer(x, np.uint32) for x in table["fps"].to_pylist()])
+        count = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]).astype(np.int64)
         order = np.argsort(fp, kind="stable")
         fp, count = fp[order], count[order]
         first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
         sums = np.add.reduceat(count, first)
         place = (fp[first] >> np.uint32(32 - local)).astype(np.int64)
-        out = []
-        for least in at_least:
+        out = {"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())}
+        for i, least in enumerate(at_least):
             bits = np.zeros(1 << local, bool)
             bits[place[sums >= least]] = True
-            out.append(np.packbits(bits).tobytes())
-        return pd.DataFrame({"bucket": [int(pdf["bucket"].iloc[0])], **{f"b{i}": [x] for i, x in enumerate(out)}})
+            out[f"b{i}"] = pa.array([np.packbits(bits).tobytes()], pa.binary())
+        return pa.table(out)
 
     schema = "bucket int" + "".join(f", b{i} binary" for i in range(len(at_least)))
-    slices = texts.mapInArrow(emit, "bucket int, fps binary, counts binary").groupBy("bucket").applyInPandas(merge, schema)
+    slices = texts.mapInArrow(emit, "bucket int, fps binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
     maps = [np.zeros(1 << (BITS - 3), np.uint8) for _ in at_least]
     width = 1 << (local - 3)
     for row in slices.toLocalIterator():  # at most 2**BITS bits each

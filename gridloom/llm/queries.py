@@ -1,4 +1,4 @@
-"""The registered queries of the corpus operators and their SQL."""
+"""The registered queries of the corpus operators and their SQL; a query loads its operator when it runs."""
 
 from __future__ import annotations
 
@@ -6,52 +6,70 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from gridloom.llm import decontaminate, exact_dedup, jaccard_join, language, sentencepiece_codec, sharding, substring_dedup, toxicity, url_filter, warc
-
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import sharding
+
     return sharding.shard_rows(_read(spark, sf_dir, "documents"))
 
 
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import jaccard_join
+
     return jaccard_join.ngram_jaccard_join(_read(spark, sf_dir, "documents")).drop("class_key")
 
 
 def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import sentencepiece_codec
+
     return sentencepiece_codec.encode(_read(spark, sf_dir, "documents"), ids=False)
 
 
 def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import warc
+
     return warc.warc_round_trip(_read(spark, sf_dir, "pages"))
 
 
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import substring_dedup
+
     return substring_dedup.substring_dedup(_read(spark, sf_dir, "documents"))
 
 
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import decontaminate
+
     return decontaminate.contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import exact_dedup
+
     return exact_dedup.exact_dedup(_read(spark, sf_dir, "documents"))
 
 
 def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import language
+
     docs = _read(spark, sf_dir, "documents")
     return language.identify_language(docs, language.fit(docs))
 
 
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import toxicity
+
     docs = _read(spark, sf_dir, "documents")
     return toxicity.score_toxicity(docs, toxicity.fit(docs, _read(spark, sf_dir, "labels")))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import url_filter
+
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
 

@@ -205,9 +205,9 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_col: str
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
         for b in batches:
-            texts, step = b["_text"].to_pylist(), 500
-            for at in range(0, len(texts), step):
-                part, piece = b.slice(at, step), texts[at : at + step]
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                piece = part["_text"].to_pylist()
                 yield pa.RecordBatch.from_arrays([part["doc_id"], *results(c, c.encode(piece), piece), *part.columns[2:]], ["doc_id", *names, *part.schema.names[2:]])
 
     small = rows.where(F.length("_text") <= chunk).mapInArrow(whole, f"doc_id long, n_tokens long, ids_sha256 string, round_trip boolean{id_type}{more}")

@@ -83,6 +83,11 @@ def score_texts(texts: list[str], model: dict) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(f, -30, 30)))
 
 
+def _scores(texts: pa.Array, model: dict) -> np.ndarray:
+    parts = [score_texts([t or "" for t in texts.slice(at, 500).to_pylist()], model) for at in range(0, len(texts), 500)]
+    return np.concatenate(parts) if parts else np.zeros(0)
+
+
 def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fit on about ``max_rows`` labelled rows chosen by hash, never on held-out ids.
 
@@ -96,8 +101,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            t, o = _terms(b["_t"].to_pylist())
-            out = [np.unique(t[o[i] : o[i + 1]]).tobytes() for i in range(b.num_rows)]
+            out = []
+            for at in range(0, b.num_rows, 500):
+                t, o = _terms(b["_t"].slice(at, 500).to_pylist())
+                out += [np.unique(t[o[i] : o[i + 1]]).tobytes() for i in range(len(o) - 1)]
             yield pa.RecordBatch.from_arrays([b["_id"], b["_y"], pa.array(out, pa.binary())], ["_id", "_y", "terms"])
 
     def one(pdf):
@@ -126,7 +133,7 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.3, id_col:
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score_texts(b["text"].to_pylist(), shared.value)
+            s = _scores(b["text"], shared.value)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return rows.mapInArrow(task, "doc_id long, held_out boolean, score double, predicted int")
@@ -138,7 +145,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: s
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            s = score_texts([t or "" for t in b[text_col].to_pylist()], shared.value)
+            s = _scores(b[text_col], shared.value)
             yield b.filter(pa.array(s < threshold))
 
     return docs.mapInArrow(task, docs.schema)

@@ -2,7 +2,7 @@
 
 A word is a maximal run of bytes outside [\\x20\\x09-\\x0D]. Hashes are 64-bit: a polynomial over
 random byte weights, finished with a mixing step; two different inputs agree with a chance of
-about 2**-56. Texts are hashed in blocks of a few MB, so memory doesn't follow the text length.
+about 2**-56. Texts are hashed in blocks of half a MB, so memory doesn't follow the text length.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 _U = np.uint64
 _B = 0x9E3779B97F4A7C15  # = 5 mod 8, so powers stay far apart
 _C = 0xC2B2AE3D27D4EB4D
-_BLOCK = 1 << 21
+_BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -102,7 +102,7 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     n = len(h) - k + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out, step = np.empty(n, np.uint64), 1 << 20
+    out, step = np.empty(n, np.uint64), 1 << 18
     for a in range(0, n, step):
         b = min(n, a + step)
         part = h[a : b + k - 1]
