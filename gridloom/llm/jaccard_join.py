@@ -55,9 +55,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), text_or_empty(text_col).alias("text"))
 
-    def tokens(texts: list, seen: set) -> np.ndarray:
+    def tokens(rows: pa.RecordBatch, seen: set) -> np.ndarray:
         out = []
-        for s in _sets(texts, n):
+        for s in _sets(rows["text"].to_pylist(), n):
             if len(s):
                 d = set_digest(s)
                 if d not in seen:

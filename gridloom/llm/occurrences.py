@@ -6,30 +6,31 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Bits of each bitmap: 16 MB, whatever the input; the only thing that is broadcast.
+#: Most bits of a bitmap (16 MB), whatever the input; the only thing that is broadcast. Small inputs take fewer.
 BITS = 27
 _FLUSH = 1_000_000
 
 
 def bit_at(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    p = tokens >> np.uint64(64 - BITS)
+    p = tokens >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
     return (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
 
 
-def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarray], at_least: tuple[int, ...]) -> list[np.ndarray]:
+def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set], np.ndarray], at_least: tuple[int, ...], size: Column | None = None, most_bits: int = BITS) -> list[np.ndarray]:
     """Bitmaps over the leading bits of tokens: bit set if a token there was counted ``at_least`` times.
 
-    ``texts`` has one string column; ``tokens(list of texts, set kept for the task)`` gives their
-    tokens. Every token of every text is counted: tasks send sorted distinct 32-bit fingerprints
+    ``tokens(some rows, set kept for the task)`` gives the tokens of the rows; ``size`` is about six
+    times their number (bytes of text, for words; the first column's by default). Every token of every text is counted: tasks send sorted distinct 32-bit fingerprints
     per bucket, with counts, so a frequent token is sent once per million tokens; a bucket is one
     group, and their number follows the bytes of text, so each stays at about a million
     fingerprints. Tokens that share 40 or more leading bits count together, and tokens that share
     a bit share its mark: callers may only use the bitmaps where a false mark costs work, not results.
     """
-    total = texts.agg(F.sum(F.octet_length(texts.columns[0]))).first()[0] or 0
+    total = rows.agg(F.sum(F.octet_length(rows.columns[0]) if size is None else size)).first()[0] or 0
+    bits = min(most_bits, max(20, int(total).bit_length() - 1))
     bucket_bits = min(20, max(8, int(total // (4 << 20)).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -47,7 +48,7 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                t = tokens(b.column(0).slice(at, 500).to_pylist(), state)
+                t = tokens(b.slice(at, 500), state)
                 if len(t):
                     held.append(t)
                     size += len(t)
@@ -57,7 +58,7 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
         if size:
             yield flush()
 
-    local = BITS - bucket_bits
+    local = bits - bucket_bits
 
     def merge(table: pa.Table) -> pa.Table:
         fp = np.concatenate([np.frombuffer(x, np.uint32) for x in table["fps"].to_pylist()])
@@ -69,16 +70,16 @@ def occurrence_bitmaps(texts: DataFrame, tokens: Callable[[list, set], np.ndarra
         place = (fp[first] >> np.uint32(32 - local)).astype(np.int64)
         out = {"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())}
         for i, least in enumerate(at_least):
-            bits = np.zeros(1 << local, bool)
-            bits[place[sums >= least]] = True
-            out[f"b{i}"] = pa.array([np.packbits(bits).tobytes()], pa.binary())
+            marks = np.zeros(1 << local, bool)
+            marks[place[sums >= least]] = True
+            out[f"b{i}"] = pa.array([np.packbits(marks).tobytes()], pa.binary())
         return pa.table(out)
 
     schema = "bucket int" + "".join(f", b{i} binary" for i in range(len(at_least)))
-    slices = texts.mapInArrow(emit, "bucket int, fps binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
-    maps = [np.zeros(1 << (BITS - 3), np.uint8) for _ in at_least]
+    slices = rows.mapInArrow(emit, "bucket int, fps binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
+    maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in at_least]
     width = 1 << (local - 3)
-    for row in slices.toLocalIterator():  # at most 2**BITS bits each
+    for row in slices.toLocalIterator():  # at most 2**bits bits in all, for each map
         for i, m in enumerate(maps):
             m[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row[f"b{i}"], np.uint8)
     return maps

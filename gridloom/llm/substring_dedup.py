@@ -30,101 +30,156 @@ def _seeds(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
     return at, g[at], k
 
 
-def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, th, start, end): word spans of each text made of repeated windows of ``size`` words; th is the text's hash.
+def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return hash_words([t.encode("utf-8", "replace") for t in texts])
+
+
+def _live(d: np.ndarray, size: int, twice: np.ndarray) -> np.ndarray | None:
+    """Which windows hold a seed that the corpus has twice; None if no window does."""
+    count = len(d) - size + 1
+    if count <= 0:
+        return None
+    p, g, k = _seeds(d, size)
+    p = p[bit_at(twice, g)]
+    if not len(p):
+        return None
+    mark = np.zeros(count + 1, np.int32)
+    np.add.at(mark, np.maximum(0, p + k - size), 1)
+    np.add.at(mark, np.minimum(count, p + 1), -1)
+    return np.cumsum(mark[:-1]) > 0
+
+
+def _paths(d: np.ndarray, live: np.ndarray, size: int) -> tuple:
+    """The text's paths between kept nodes that hold a live window: digest, end nodes (None at the text's ends), first and last window."""
+    count = len(live)
+    nodes = windows(d, size - 1)
+    cut = np.flatnonzero(nodes & np.uint64((1 << CUT_BITS) - 1) == 0)
+    cut = cut[(cut > 0) & (cut < count)]
+    begin, stop = np.concatenate([[0], cut]), np.concatenate([cut, [count]])
+    used = np.flatnonzero(np.add.reduceat(live.astype(np.int64), begin) > 0)
+    begin, stop = begin[used], stop[used]
+    digest = spans_hash(d, begin, stop + size - 1).view(np.int64).tolist()
+    ends = nodes.view(np.int64)
+    src = [int(ends[a]) if a else None for a in begin.tolist()]
+    dst = [int(ends[z]) if z < count else None for z in stop.tolist()]
+    return digest, src, dst, begin.tolist(), stop.tolist()
+
 
-    Windows are the edges of a de Bruijn graph whose nodes are runs of size - 1 words.
+def _sha(words: list[bytes]) -> str:
+    return hashlib.sha256(b" ".join(words)).hexdigest()
 
-    - Seeds: minimiser runs, one in every window at least, are counted over the whole corpus;
-      windows without a repeated seed can't repeat and are not looked at again (a bitmap of fixed
-      size, false marks only cost work).
-    - Local compaction: between two kept nodes (chosen by hash) a text's edges are one path; a
-      path is a row with its end nodes, source coordinates and digest. Paths found at two or more
-      source coordinates are repeated as a whole.
+
+_SCAN = "row long, doc_id long, n_words long, kept_sha256 string, text string, path array<long>, src array<long>, dst array<long>, start array<int>, stop array<int>"
+
+
+def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
+    """The scanned texts (one row each) and their repeated word spans (row, start, end).
+
+    Windows of ``size`` words are the edges of a de Bruijn graph whose nodes are runs of size - 1
+    words.
+
+    - Seeds: minimiser runs, one in every window at least, are counted over the whole corpus.
+      Windows without a repeated seed can't repeat; a text without any is finished in the scan
+      (a bitmap of fixed size, false marks only cost work).
+    - Local compaction: between two kept nodes (chosen by hash) a text's edges are one path, a row
+      with its end nodes, source coordinates and digest. Paths found at two or more source
+      coordinates are repeated as a whole.
     - Joins compact chains of repeated paths over nodes that have one path in and one path out, by
       pointer doubling; a text's run through such a chain becomes one span.
-    - Paths found once, and one copy of every repeated path, list their windows; a window that
-      has two source coordinates there marks its span.
+    - Paths found once, and one copy of every repeated path, list those windows that may occur in
+      both or twice (bitmaps again); a window with two source coordinates marks its span, exactly.
     """
     spark = docs.sparkSession
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-
-    def words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        return hash_words([t.encode("utf-8", "replace") for t in texts])
+    base = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
 
-    def seeds(texts: list, _: set) -> np.ndarray:
-        h, o = words(texts)
-        return np.concatenate([np.zeros(0, np.uint64), *[_seeds(h[o[i] : o[i + 1]], size)[1] for i in range(len(texts))]])
+    def seeds(rows: pa.RecordBatch, _: set) -> np.ndarray:
+        h, o = _words(rows["text"].to_pylist())
+        return np.concatenate([np.zeros(0, np.uint64), *[_seeds(h[o[i] : o[i + 1]], size)[1] for i in range(rows.num_rows)]])
 
-    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, (2,))[0])
+    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, (2,), F.octet_length("text") / 9, 26)[0])
 
-    def paths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        listed: set[int] = set()
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
-                h, o = words(part["text"].to_pylist())
-                rows: dict[str, list] = {x: [] for x in ("i", "path", "src", "dst", "start", "stop", "wins", "offs")}
-                for i in range(part.num_rows):
+                texts = part["text"].to_pylist()
+                h, o = _words(texts)
+                sha, kept, found = [], [], []
+                for i, text in enumerate(texts):
                     d = h[o[i] : o[i + 1]]
-                    count = len(d) - size + 1
-                    if count <= 0:
-                        continue
-                    p, g, k = _seeds(d, size)
-                    p = p[bit_at(twice.value, g)]
-                    if not len(p):
-                        continue
-                    mark = np.zeros(count + 1, np.int32)  # windows that hold a marked seed
-                    np.add.at(mark, np.maximum(0, p + k - size), 1)
-                    np.add.at(mark, np.minimum(count, p + 1), -1)
-                    live = np.cumsum(mark[:-1]) > 0
-                    nodes = windows(d, size - 1)
-                    cut = np.flatnonzero(nodes & np.uint64((1 << CUT_BITS) - 1) == 0)
-                    cut = cut[(cut > 0) & (cut < count)]
-                    begin, stop = np.concatenate([[0], cut]), np.concatenate([cut, [count]])
-                    used = np.flatnonzero(np.add.reduceat(live.astype(np.int64), begin) > 0)
-                    begin, stop = begin[used], stop[used]
-                    edge = windows(d, size)
-                    digest = spans_hash(d, begin, stop + size - 1)
-                    for a, z, x in zip(begin.tolist(), stop.tolist(), digest.view(np.int64).tolist(), strict=True):
-                        rows["i"].append(i)
-                        rows["path"].append(x)
-                        rows["src"].append(int(nodes[a : a + 1].view(np.int64)[0]) if a else None)
-                        rows["dst"].append(int(nodes[z : z + 1].view(np.int64)[0]) if z < count else None)
-                        rows["start"].append(a)
-                        rows["stop"].append(z)
-                        if x in listed:
-                            rows["wins"].append(None), rows["offs"].append(None)
-                        else:
-                            if len(listed) > 2_000_000:
-                                listed.clear()
-                            listed.add(x)
-                            on = np.flatnonzero(live[a:z])
-                            rows["wins"].append(edge[a:z][on].view(np.int64)), rows["offs"].append(on)
-                take = pa.array(rows.pop("i"), pa.int64())
-                types = {"wins": pa.list_(pa.int64()), "offs": pa.list_(pa.int32()), "start": pa.int32(), "stop": pa.int32()}
-                yield pa.RecordBatch.from_arrays([part["doc_id"].take(take), part["th"].take(take), *[pa.array(v, types.get(k, pa.int64())) for k, v in rows.items()]], ["doc_id", "th", *rows])
-
-    keyed = base.select("doc_id", F.xxhash64("text").alias("th"), "text")
-    seen = materialize(keyed.mapInArrow(paths, "doc_id long, th long, path long, src long, dst long, start int, stop int, wins array<long>, offs array<int>"), "paths")
-    counted = seen.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("doc_id", "th", "start")).alias("one"), F.min("src").alias("src"), F.min("dst").alias("dst"), F.min(F.col("stop") - F.col("start")).alias("len"))
+                    live = _live(d, size, twice.value)
+                    found.append(([], [], [], [], []) if live is None else _paths(d, live, size))
+                    kept.append(None if live is None else text)
+                    sha.append(_sha(text.encode("utf-8", "replace").split()) if live is None else None)
+                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate(types)]
+                yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], pa.array(np.diff(o)), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *lists], ["row", "doc_id", "n_words", "kept_sha256", "text", "path", "src", "dst", "start", "stop"])
+
+    table = materialize(base.mapInArrow(scan, _SCAN), "scanned")
+    seen = table.where("text is not null").select("row", F.explode(F.arrays_zip("path", "src", "dst", "start", "stop")).alias("x")).select("row", "x.*")
+    counted = seen.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start")).alias("one"), F.min("src").alias("src"), F.min("dst").alias("dst"), F.min(F.col("stop") - F.col("start")).alias("len"))
     counted = materialize(counted, "path-counts")
     chains = compact(counted.where("c > 1").select("path", "src", "dst", "len"))
     runs = (
-        seen.select("doc_id", "th", "path", "start", "stop")
+        seen.select("row", "path", "start", "stop")
         .join(chains, "path")
-        .groupBy("doc_id", "th", "chain", (F.col("start") - F.col("offset")).alias("shift"))
+        .groupBy("row", "chain", (F.col("start") - F.col("offset")).alias("shift"))
         .agg(F.min("start").alias("a"), F.max("stop").alias("z"), F.collect_set(F.struct("start", "stop")).alias("each"))
     )
     covered = F.aggregate("each", F.lit(0), lambda n, x: n + x["stop"] - x["start"])
     joined = F.when(covered == F.col("z") - F.col("a"), F.array(F.struct(F.col("a").alias("start"), F.col("z").alias("stop")))).otherwise(F.col("each"))
-    whole = runs.select("doc_id", "th", F.explode(joined).alias("x")).select("doc_id", "th", "x.start", (F.col("x.stop") + (size - 1)).alias("end"))
-    single = seen.where("wins is not null").join(counted.select("path", "c"), "path")
-    listed = single.select("doc_id", "th", "start", "c", "path", F.explode(F.arrays_zip("wins", "offs")).alias("x")).select("doc_id", "th", "c", "path", F.col("x.wins").alias("win"), (F.col("start") + F.col("x.offs")).alias("at"))
-    weight = F.when(F.col("c") > 1, 2).otherwise(1)
-    double = listed.groupBy("win").agg(F.sum(weight).alias("w"), F.max((F.col("c") == 1).cast("int")).alias("asks")).where("w > 1 and asks = 1").select("win")
-    marked = listed.where("c = 1").join(double, "win").select("doc_id", "th", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
-    return whole.unionByName(marked)
+    whole = runs.select("row", F.explode(joined).alias("x")).select("row", "x.start", (F.col("x.stop") + (size - 1)).alias("end"))
+
+    # windows of the paths found once (asks) and of one copy of each repeated path
+    told = seen.select("row", "path", "start", "stop").join(counted.select("path", "c", "one"), "path")
+    told = told.where((F.col("c") == 1) | ((F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))))
+    told = told.groupBy("row").agg(F.collect_list(F.struct("start", "stop", (F.col("c") == 1).alias("asks"))).alias("parts"))
+    listed = materialize(table.where("text is not null").select("row", "text").join(told, "row"), "listed")
+
+    def spread(part: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
+        """(row number, asks, hashes, positions) of the live windows of each listed path."""
+        h, o = _words(part["text"].to_pylist())
+        for i, paths in enumerate(part["parts"].to_pylist()):
+            d = h[o[i] : o[i + 1]]
+            live, edge = _live(d, size, twice.value), windows(d, size)
+            for x in paths:
+                at = np.flatnonzero(live[x["start"] : x["stop"]]) + x["start"]
+                yield i, x["asks"], edge[at], at
+
+    def tokens(asks: bool):
+        def some(part: pa.RecordBatch, _: set) -> np.ndarray:
+            return np.concatenate([np.zeros(0, np.uint64), *[w for _, a, w, _ in spread(part) if a == asks]])
+
+        return some
+
+    once, again = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(listed.select("text", "parts"), tokens(True), (1, 2), F.octet_length("text") / 2, 26))
+    other = spark.sparkContext.broadcast(occurrence_bitmaps(listed.select("text", "parts"), tokens(False), (1,), F.octet_length("text") / 2, 26)[0])
+
+    def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for start in range(0, b.num_rows, 500):
+                part = b.slice(start, 500)
+                rows, ask, wins, ats = [], [], [], []
+                for i, asks, w, at in spread(part):
+                    on = bit_at(again.value, w) | bit_at(other.value, w) if asks else bit_at(once.value, w)
+                    wins.append(w[on])
+                    ats.append(at[on])
+                    rows.append(np.full(int(on.sum()), i))
+                    ask.append(np.full(int(on.sum()), asks))
+                if rows:
+                    take = pa.array(np.concatenate(rows))
+                    yield pa.RecordBatch.from_arrays([part["row"].take(take), pa.array(np.concatenate(ask)), pa.array(np.concatenate(wins).view(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], ["row", "asks", "win", "at"])
+
+    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, at int"), "windows")
+    double = cand.groupBy("win").agg(F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("w"), F.max("asks").alias("asks")).where("w > 1 and asks").select("win")
+    marked = cand.where("asks").join(double, "win").select("row", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
+    return table, whole.unionByName(marked)
+
+
+def repeated_spans(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, start, end): word spans made of repeated windows; spans of one text may overlap."""
+    table, spans = analyse(docs, size, id_col, text_col)
+    return table.select("row", "doc_id").join(spans, "row").select("doc_id", "start", "end")
 
 
 def compact(edges: DataFrame) -> DataFrame:
@@ -168,18 +223,16 @@ def substring_dedup(docs: DataFrame, size: int = 35, id_col: str = "doc_id", tex
 
     A window is ``size`` consecutive words (maximal runs outside [\\x20\\x09-\\x0D]) of one whole text;
     it is repeated when its words also start anywhere else, the same text included. Windows are
-    judged on the input. Kept words are joined by one blank.
+    judged on the input. Kept words are joined by one blank; ``kept_text`` is null where nothing was
+    looked at again (n_removed is 0 and the words stay as they are).
 
     Null text has no words; shorter texts keep all words; repeated rows repeat each other; null ids
     are kept; an empty table gives an empty result; other columns are not read. Spans of a text meet
     in one row, bounded by the text.
     """
-    spans = repeated_spans(docs, size, id_col, text_col)
-    per_text = spans.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
-    per_text = per_text.withColumn("z", F.coalesce("doc_id", F.lit(-1))).select("z", "th", F.col("doc_id").isNull().alias("nil"), "spans")
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
-    keyed = base.withColumn("th", F.xxhash64("text")).withColumn("z", F.coalesce("doc_id", F.lit(-1))).withColumn("nil", F.col("doc_id").isNull())
-    both = keyed.join(per_text, ["z", "nil", "th"], "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
+    table, spans = analyse(docs, size, id_col, text_col)
+    per_text = spans.groupBy("row").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    both = table.where("text is not null").select("row", "doc_id", "text").join(per_text, "row", "left").select("doc_id", "text", F.col("spans.start").alias("starts"), F.col("spans.end").alias("ends"))
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -192,14 +245,13 @@ def substring_dedup(docs: DataFrame, size: int = 35, id_col: str = "doc_id", tex
                     np.add.at(mark, starts, 1)
                     np.add.at(mark, ends, -1)
                     cover = np.cumsum(mark[:-1]) > 0
-                    gone.append(int(cover.sum()))
                     words = [w for w, c in zip(words, cover.tolist(), strict=True) if not c]
-                else:
-                    gone.append(0)
-                left = b" ".join(words)
-                sha.append(hashlib.sha256(left).hexdigest())
-                kept.append(left.decode("utf-8", "replace") if texts else None)
+                gone.append(n[-1] - len(words))
+                sha.append(_sha(words))
+                kept.append(b" ".join(words).decode("utf-8", "replace") if texts else None)
             cols = [b["doc_id"], pa.array(n, pa.int64()), pa.array(gone, pa.int64()), pa.array(sha, pa.string())]
             yield pa.RecordBatch.from_arrays([*cols, *([pa.array(kept, pa.string())] if texts else [])], ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])])
 
-    return both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else ""))
+    seen = both.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept_text string" if texts else ""))
+    rest = table.where("text is null").select("doc_id", "n_words", F.lit(0).cast("long").alias("n_removed"), "kept_sha256", *([F.lit(None).cast("string").alias("kept_text")] if texts else []))
+    return seen.unionByName(rest)

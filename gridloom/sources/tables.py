@@ -59,7 +59,7 @@ def read_delimited(spark: SparkSession, path: str, encodings: tuple[str, ...] =
     lines = spark.read.text(path).where(~F.col("value").startswith("#")).limit(1).collect()
     first = lines[0].value if lines else ""
     sep = ";" if first.count(";") >= first.count(",") and ";" in first else ","
-    broken = not spark.read.text(path).where(F.col("value").contains("�")).limit(1).isEmpty()
+    broken = not spark.read.text(path).where(~F.is_valid_utf8("value")).limit(1).isEmpty()
     df = spark.read.option("header", True).option("sep", sep).option("comment", "#").option("encoding", encodings[1] if broken else encodings[0]).csv(path)
     return df.withColumnsRenamed({c: c.lstrip("﻿") for c in df.columns if c.startswith("﻿")})
 
