@@ -7,13 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most bytes of rules or dictionaries that are broadcast on purpose; larger ones join by shuffle.
-SMALL_ROWS = 100_000
-
-
-def small(df: DataFrame) -> DataFrame:
-    """Broadcast a side only when a look at SMALL_ROWS + 1 rows shows that it is small; else Catalyst chooses."""
-    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+#: Most products that become columns.
+MAX_PRODUCTS = 1000
 
 
 def on_spine(spine: DataFrame, features: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
@@ -104,7 +99,9 @@ def basin_attributes(stations: DataFrame, basins: DataFrame, diagnostics: DataFr
     """Attributes once per zone and one diagnostic column per product, that of the product's first time step."""
     once = basins.dropDuplicates([key])
     first = diagnostics.groupBy(key, "product").agg(F.min_by("coverage", "time").alias("coverage"))
-    products = [r[0] for r in diagnostics.select("product").distinct().orderBy("product").limit(1000).collect()]
+    products = [r[0] for r in diagnostics.select("product").distinct().orderBy("product").limit(MAX_PRODUCTS + 1).collect()]
+    if len(products) > MAX_PRODUCTS:
+        raise ValueError(f"more than {MAX_PRODUCTS} products would become columns")
     wide = first.groupBy(key).pivot("product", products).agg(F.first("coverage"))
     wide = wide.withColumnsRenamed({p: f"{p}__coverage" for p in products})
     return stations.join(once, key, "left").join(wide, key, "left")

@@ -54,7 +54,7 @@ def dynamic_completeness(store: DataFrame, coverage: DataFrame, key: str = "stat
     A station is all-missing when any one column is null throughout, affected when any value is null.
     """
     long = _long(store.drop(*(skip or [])), [key, time])
-    inside = long.join(F.broadcast(coverage.limit(10_000)), "dataset").where((F.col(time) >= F.col("first")) & (F.col(time) <= month_end(F.col("last"))))
+    inside = long.join(coverage, "dataset").where((F.col(time) >= F.col("first")) & (F.col(time) <= month_end(F.col("last"))))
     col = inside.groupBy("dataset", key, "column").agg(F.count_if("missing").alias("m"), F.count(F.lit(1)).alias("n"))
     st = col.groupBy("dataset", key).agg(F.max((F.col("m") == F.col("n")).cast("int")).alias("gone"), F.sum("m").alias("m"), F.sum("n").alias("n"))
     return st.groupBy("dataset").agg(F.count_if(F.col("m") > 0).alias("n_affected"), F.count_if(F.col("gone") == 1).alias("n_all_missing"), (F.sum("m") * 100.0 / F.sum("n")).alias("pct_missing"))
