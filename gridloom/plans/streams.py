@@ -12,7 +12,7 @@ from gridloom.sources.shared import shared_dir
 from gridloom.streaming.rollup import run_once, windowed_rollup
 
 
-@query("stream_daily_rollup", sql="SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2 HAVING date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
+@query("stream_daily_rollup", sql="SELECT event_type, CAST(date_trunc('day', ts) AS TIMESTAMP) AS start, round(sum(value), 4) AS value, count(*) AS n FROM events GROUP BY 1, 2 HAVING max(date_trunc('day', ts)) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 2 DAY")
 def daily(t: Tables):
     """Every day that the watermark has closed when the input ends."""
     source = t.read("events")
