@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import text_or_empty
+from gridloom.llm.common import slices, text_or_empty
 from gridloom.llm.words import hash_words, windows
 
 #: ASCII punctuation separates words here; letters outside ASCII stay.
@@ -139,12 +139,11 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, id_
     def search(index_var):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = index_var.value
-            for b in batches:
-                for at in range(0, b.num_rows, 500):
-                    if got := find_items(b["text"].slice(at, 500).to_pylist(), index):
-                        ids = b["doc_id"].take(pa.array([at + d for d, _ in got]))
-                        cols = [[index["ids"][r[0]] for _, r in got], [len(index["words"][r[0]]) for _, r in got], [r[1] for _, r in got], [r[2] for _, r in got]]
-                        yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names)
+            for b in slices(batches):
+                if got := find_items(b["text"].to_pylist(), index):
+                    ids = b["doc_id"].take(pa.array([d for d, _ in got]))
+                    cols = [[index["ids"][r[0]] for _, r in got], [len(index["words"][r[0]]) for _, r in got], [r[1] for _, r in got], [r[2] for _, r in got]]
+                    yield pa.RecordBatch.from_arrays([ids, pa.array(cols[0], pa.int64()), *[pa.array(c, pa.int32()) for c in cols[1:]]], names)
 
         return task
 
@@ -160,11 +159,9 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2
 
     def keep(index_var):
         def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 clean = np.ones(b.num_rows, bool)
-                for at in range(0, b.num_rows, 500):
-                    for d, _ in find_items(b[text_col].slice(at, 500).to_pylist(), index_var.value):
-                        clean[at + d] = False
+                clean[[d for d, _ in find_items(b[text_col].to_pylist(), index_var.value)]] = False
                 yield b.filter(pa.array(clean))
 
         return task

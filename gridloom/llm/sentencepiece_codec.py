@@ -22,12 +22,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import materialize, text_or_empty
+from gridloom.llm.common import materialize, slices, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Most characters of a chunk; longer texts are giant.
 CHUNK = 16_384
-_CACHE = 300_000
+_CACHE = 100_000
 _WORD = re.compile(r" +[^ ]*")
 
 
@@ -204,17 +204,15 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_col: str
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                piece = part["_text"].to_pylist()
-                yield pa.RecordBatch.from_arrays([part["doc_id"], *results(c, c.encode(piece), piece), *part.columns[2:]], ["doc_id", *names, *part.schema.names[2:]])
+        for part in slices(batches):
+            piece = part["_text"].to_pylist()
+            yield pa.RecordBatch.from_arrays([part["doc_id"], *results(c, c.encode(piece), piece), *part.columns[2:]], ["doc_id", *names, *part.schema.names[2:]])
 
     small = rows.where(F.length("_text") <= chunk).mapInArrow(whole, f"doc_id long, n_tokens long, ids_sha256 string, round_trip boolean{id_type}{more}")
     giant = rows.where(F.length("_text") > chunk).withColumn("_uid", F.monotonically_increasing_id())
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 100):
             for i, t in enumerate(b["_text"].to_pylist()):
                 parts = cut_text(t, chunk)
                 head = [b[x].slice(i, 1).take(pa.array([0] * len(parts))) for x in ("_uid", "doc_id", *b.schema.names[2:-1])]
@@ -225,7 +223,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_col: str
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(model)
-        for b in batches:
+        for b in slices(batches, 100):
             got = [encode_chunk(c, t, no == 0, chunk) for t, no in zip(b["_part"].to_pylist(), b["_no"].to_pylist(), strict=True)]
             back = c.decode(got)
             good = [x == (t if no == 0 else t[1:]) for x, t, no in zip(back, b["_part"].to_pylist(), b["_no"].to_pylist(), strict=True)]
@@ -236,7 +234,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_col: str
     met = coded.groupBy("_uid").agg(F.first("doc_id").alias("doc_id"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_no", "_ids"))), lambda x: x["_ids"])).alias("_all"), F.every("_good").alias("round_trip"), *kept)
 
     def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches, 100):
             got = [x.values.to_numpy() if x.values is not None else np.zeros(0, np.int32) for x in b["_all"]]
             cols = [b["doc_id"], pa.array([len(g) for g in got], pa.int64()), pa.array([hashlib.sha256(np.asarray(g, "<i4").tobytes()).hexdigest() for g in got]), b["round_trip"], *([b["_all"]] if ids else [])]
             yield pa.RecordBatch.from_arrays([*cols, *b.columns[3:]], ["doc_id", *names, *b.schema.names[3:]])

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out, text_or_empty
+from gridloom.llm.common import held_out, slices, text_or_empty
 from gridloom.llm.words import hash_words
 
 BITS = 20
@@ -35,8 +35,8 @@ def fit_fm(docs: list[np.ndarray], labels: np.ndarray, features: int = 256, rank
     if n == 0 or n1 in (0, n):
         return empty
     flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n), [len(d) for d in docs])
-    df1 = np.bincount(flat, weights=y[row], minlength=1 << BITS)
+    row = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
+    df1 = np.bincount(flat[y[row] > 0], minlength=1 << BITS)
     df = np.bincount(flat, minlength=1 << BITS)
     p = (df + 0.5) / (n + 1)
     z = (df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
@@ -88,7 +88,7 @@ def _scores(texts: pa.Array, model: dict) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fit on about ``max_rows`` labelled rows chosen by hash, never on held-out ids.
 
     The chosen (id, label) pairs are bounded by ``max_rows`` and broadcast to find their whole texts
@@ -100,11 +100,9 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str
     rows = docs.select(F.col(id_col).cast("long").alias("_id"), text_or_empty(text_col).alias("_t")).join(F.broadcast(chosen), "_id")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out = []
-            for at in range(0, b.num_rows, 500):
-                t, o = _terms(b["_t"].slice(at, 500).to_pylist())
-                out += [np.unique(t[o[i] : o[i + 1]]).tobytes() for i in range(len(o) - 1)]
+        for b in slices(batches):
+            t, o = _terms(b["_t"].to_pylist())
+            out = [np.unique(t[o[i] : o[i + 1]]).tobytes() for i in range(len(o) - 1)]
             yield pa.RecordBatch.from_arrays([b["_id"], b["_y"], pa.array(out, pa.binary())], ["_id", "_y", "terms"])
 
     def one(pdf):
@@ -132,7 +130,7 @@ def score_toxicity(docs: DataFrame, model: dict, threshold: float = 0.3, id_col:
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), held_out(id_col).alias("held_out"), text_or_empty(text_col).alias("text"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             s = _scores(b["text"], shared.value)
             yield pa.RecordBatch.from_arrays([b["doc_id"], b["held_out"], pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
@@ -144,8 +142,7 @@ def drop_toxic(docs: DataFrame, model: dict, threshold: float = 0.3, text_col: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            s = _scores(b[text_col], shared.value)
-            yield b.filter(pa.array(s < threshold))
+        for b in slices(batches):
+            yield b.filter(pa.array(_scores(b[text_col], shared.value) < threshold))
 
     return docs.mapInArrow(task, docs.schema)
