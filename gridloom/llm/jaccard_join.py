@@ -67,7 +67,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                     out.append(s)
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
-    shared, heavy = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(base.select("text"), tokens, (2, HEAVY)))
+    shared, heavy = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(base.select("text"), tokens, (2, HEAVY), F.octet_length("text") / 6))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

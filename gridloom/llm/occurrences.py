@@ -14,24 +14,43 @@ BITS = 27
 _FLUSH = 1_000_000
 
 
-def bit_at(bitmap: np.ndarray, tokens: np.ndarray) -> np.ndarray:
-    p = tokens >> np.uint64(64 - (8 * len(bitmap)).bit_length() + 1)
-    return (bitmap[(p >> np.uint64(3)).astype(np.int64)] >> (np.uint8(7) - (p & np.uint64(7)).astype(np.uint8))) & np.uint8(1) != 0
+class Marks:
+    """A Bloom filter with two bits for each marked token, both in the slice of the token's bucket."""
 
+    def __init__(self, data: np.ndarray, bucket_bits: int):
+        self.data, self.bucket_bits, self.bits = data, bucket_bits, (8 * len(data)).bit_length() - 1
 
-def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set], np.ndarray], at_least: tuple[int, ...], size: Column | None = None, most_bits: int = BITS) -> list[np.ndarray]:
-    """Bitmaps over the leading bits of tokens: bit set if a token there was counted ``at_least`` times.
 
-    ``tokens(some rows, set kept for the task)`` gives the tokens of the rows; ``size`` is about six
-    times their number (bytes of text, for words; the first column's by default). Every token of every text is counted: tasks send sorted distinct 32-bit fingerprints
-    per bucket, with counts, so a frequent token is sent once per million tokens; a bucket is one
-    group, and their number follows the bytes of text, so each stays at about a million
-    fingerprints. Tokens that share 40 or more leading bits count together, and tokens that share
-    a bit share its mark: callers may only use the bitmaps where a false mark costs work, not results.
+def _places(fp: np.ndarray, local: int) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of 32-bit fingerprints within a slice of 2**local bits."""
+    down = np.uint32(32 - local)
+    return (fp >> down).astype(np.int64), ((fp * np.uint32(0x9E3779B1)) >> down).astype(np.int64)
+
+
+def bit_at(marks: Marks, tokens: np.ndarray) -> np.ndarray:
+    """Which tokens are marked (or seem so)."""
+    local = marks.bits - marks.bucket_bits
+    base = (tokens >> np.uint64(64 - marks.bucket_bits)).astype(np.int64) << local
+    out = np.ones(len(tokens), bool)
+    for p in _places((tokens >> np.uint64(32 - marks.bucket_bits)).astype(np.uint32), local):
+        p = p + base
+        out &= (marks.data[p >> 3] >> (7 - (p & 7)).astype(np.uint8)) & np.uint8(1) != 0
+    return out
+
+
+def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set], np.ndarray], at_least: tuple[int, ...], expected: Column, most_bits: int = BITS) -> list[Marks]:
+    """Filters that mark the tokens counted ``at_least`` times.
+
+    ``tokens(some rows, set kept for the task)`` gives the tokens of the rows, ``expected`` is about
+    their number per row. Every token of every row is counted: tasks send sorted distinct 32-bit
+    fingerprints per bucket, with counts, so a frequent token is sent once per million tokens; a
+    bucket is one group, and their number follows the input, so each stays at about a million
+    fingerprints. Tokens that share 40 or more leading bits count together, and some others seem
+    marked: callers may only use the marks where a false one costs work, not results.
     """
-    total = rows.agg(F.sum(F.octet_length(rows.columns[0]) if size is None else size)).first()[0] or 0
-    bits = min(most_bits, max(20, int(total).bit_length() - 1))
-    bucket_bits = min(20, max(8, int(total // (4 << 20)).bit_length()))
+    total = int(rows.agg(F.sum(expected)).first()[0] or 0)
+    bits = min(most_bits, max(20, total.bit_length() + 3))
+    bucket_bits = min(20, max(8, (total // 700_000).bit_length()))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: set = set()
@@ -67,11 +86,11 @@ def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set],
         fp, count = fp[order], count[order]
         first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
         sums = np.add.reduceat(count, first)
-        place = (fp[first] >> np.uint32(32 - local)).astype(np.int64)
+        one, two = _places(fp[first], local)
         out = {"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())}
         for i, least in enumerate(at_least):
             marks = np.zeros(1 << local, bool)
-            marks[place[sums >= least]] = True
+            marks[one[sums >= least]] = marks[two[sums >= least]] = True
             out[f"b{i}"] = pa.array([np.packbits(marks).tobytes()], pa.binary())
         return pa.table(out)
 
@@ -82,4 +101,4 @@ def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set],
     for row in slices.toLocalIterator():  # at most 2**bits bits in all, for each map
         for i, m in enumerate(maps):
             m[row.bucket * width : (row.bucket + 1) * width] = np.frombuffer(row[f"b{i}"], np.uint8)
-    return maps
+    return [Marks(m, bucket_bits) for m in maps]

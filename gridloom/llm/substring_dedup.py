@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize, text_or_empty
-from gridloom.llm.occurrences import bit_at, occurrence_bitmaps
+from gridloom.llm.occurrences import Marks, bit_at, occurrence_bitmaps
 from gridloom.llm.words import hash_words, spans_hash, windows
 
 #: A node is kept as a path's end when its hash has this many trailing zero bits: paths of 32 windows on average.
@@ -34,7 +34,7 @@ def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return hash_words([t.encode("utf-8", "replace") for t in texts])
 
 
-def _live(d: np.ndarray, size: int, twice: np.ndarray) -> np.ndarray | None:
+def _live(d: np.ndarray, size: int, twice: Marks) -> np.ndarray | None:
     """Which windows hold a seed that the corpus has twice; None if no window does."""
     count = len(d) - size + 1
     if count <= 0:
@@ -96,7 +96,7 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
         h, o = _words(rows["text"].to_pylist())
         return np.concatenate([np.zeros(0, np.uint64), *[_seeds(h[o[i] : o[i + 1]], size)[1] for i in range(rows.num_rows)]])
 
-    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, (2,), F.octet_length("text") / 9, 26)[0])
+    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, (2,), F.octet_length("text") / 55)[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -152,8 +152,8 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
 
         return some
 
-    once, again = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(listed.select("text", "parts"), tokens(True), (1, 2), F.octet_length("text") / 2, 26))
-    other = spark.sparkContext.broadcast(occurrence_bitmaps(listed.select("text", "parts"), tokens(False), (1,), F.octet_length("text") / 2, 26)[0])
+    once, again = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(listed.select("text", "parts"), tokens(True), (1, 2), F.octet_length("text") / 20, 25))
+    other = spark.sparkContext.broadcast(occurrence_bitmaps(listed.select("text", "parts"), tokens(False), (1,), F.octet_length("text") / 20, 25)[0])
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
