@@ -34,21 +34,27 @@ def fit_fm(docs: list[np.ndarray], labels: np.ndarray, features: int = 256, rank
     empty = {"bias": base, "terms": np.zeros(0, np.int32), "w": np.zeros(0), "v": np.zeros((0, rank))}
     if n == 0 or n1 in (0, n):
         return empty
-    flat = np.concatenate(docs) if docs else np.zeros(0, np.int32)
-    row = np.repeat(np.arange(n, dtype=np.int32), [len(d) for d in docs])
-    df1 = np.bincount(flat[y[row] > 0], minlength=1 << BITS)
-    df = np.bincount(flat, minlength=1 << BITS)
+    # counted and placed a block of documents at a time, so that the terms of all rows are never copied at once
+    blocks = [(at, docs[at : at + 1000]) for at in range(0, n, 1000)]
+    df, df1 = np.zeros(1 << BITS, np.int64), np.zeros(1 << BITS, np.int64)
+    for at, block in blocks:
+        flat = np.concatenate(block)
+        df += np.bincount(flat, minlength=1 << BITS)
+        df1 += np.bincount(flat[np.repeat(y[at : at + 1000] > 0, [len(d) for d in block])], minlength=1 << BITS)
     p = (df + 0.5) / (n + 1)
     z = (df1 / n1 - (df - df1) / (n - n1)) / np.sqrt(p * (1 - p) * (1 / n1 + 1 / (n - n1)))
     order = np.argsort(-np.abs(z), kind="stable")[:features]
     terms = np.sort(order[np.abs(z[order]) >= 4]).astype(np.int32)
     if not len(terms):
         return empty
-    place = np.full(1 << BITS, -1)
+    place = np.full(1 << BITS, -1, np.int32)
     place[terms] = np.arange(len(terms))
-    x = np.zeros((n, len(terms)), np.float32)
-    known = place[flat] >= 0
-    x[row[known], place[flat][known]] = 1
+    # one matrix in the type of the parameters: no product converts a copy of it
+    x = np.zeros((n, len(terms)))
+    for at, block in blocks:
+        col = place[np.concatenate(block)]
+        row = np.repeat(np.arange(at, at + len(block)), [len(d) for d in block])
+        x[row[col >= 0], col[col >= 0]] = 1
     rng = np.random.default_rng(seed)
     par = {"b": np.array([base]), "w": np.zeros(len(terms)), "v": rng.normal(0, 0.05, (len(terms), rank))}
     m, s = {k: np.zeros_like(a) for k, a in par.items()}, {k: np.zeros_like(a) for k, a in par.items()}
@@ -88,7 +94,7 @@ def _scores(texts: pa.Array, model: dict) -> np.ndarray:
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 10_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> dict:
     """Fit on about ``max_rows`` labelled rows chosen by hash, never on held-out ids.
 
     The chosen (id, label) pairs are bounded by ``max_rows`` and broadcast to find their whole texts

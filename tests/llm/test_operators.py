@@ -380,6 +380,17 @@ def test_factorization_machine_learns_an_interaction(spark):
     assert toxicity.score_toxicity(df.limit(0), toxicity.fit(df, labels.limit(0))).collect() == []
 
 
+def test_toxicity_fit_learns_from_all_rows_under_its_bound(spark):
+    """18,000 labelled rows: a word in 20 toxic ones has z > 4 over all of them, and not over half."""
+    ids = [i for i in range(24_000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    hinted = set([i for i in ids if i % 2][:20])
+    assert 17_000 < len(ids) < 20_000
+    df = docs(spark, [(i, "hint x" if i in hinted else "x") for i in ids])
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    t, _ = toxicity._terms(["hint"])
+    assert list(toxicity.fit(df, labels)["terms"]) == list(t)
+
+
 def test_url_filter(spark):
     rng = random.Random(10)
     hosts = ["example.com", "a.example.com", "notexample.com", "example.net", "x.y.example.net", "org", "EXAMPLE.Com:80", "com", "", "net"]
