@@ -322,8 +322,17 @@ def _tokens(t: Tables):
 
 
 def _meta(t: Tables):
-    p = t.read("part").where("p_partkey < 200")
-    return p.select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature"), F.concat(F.lit("g"), (F.col("p_size") % 7).cast("string")).alias("group"), F.col("p_partkey").alias("position"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("time_end"))
+    return _all_meta(t).where("position < 200")
+
+
+def _all_meta(t: Tables):
+    return t.read("part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature"), F.concat(F.lit("g"), (F.col("p_size") % 7).cast("string")).alias("group"), F.col("p_partkey").alias("position"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("time_end"))
+
+
+def _all_tokens(t: Tables):
+    """The groups of _tokens, and every customer's key as a feature its nation excludes."""
+    drop = t.read("customer").select(F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("experiment"), F.lit("exclude_feature").alias("op"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("token"))
+    return _tokens(t).where("op = 'include_group'").unionByName(drop.distinct())
 
 
 _RES = """WITH RECURSIVE e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey >= 5 THEN n_nationkey - 5 END AS b FROM nation),
@@ -335,21 +344,38 @@ l AS (SELECT ch.k, n1.f, min_by(n1.o, d) AS o FROM ch JOIN n1 ON n1.a = ch.a GRO
 res AS (SELECT 'e' || l.k AS experiment, 'f' || l.f AS feature, l.f AS position, m.p_size FROM l JOIN m ON m.f = l.f WHERE l.o = 0)"""
 
 
+_RES_ALL = _RES.replace(" WHERE p_partkey < 200", "").replace("c_custkey % 200, 1 FROM customer WHERE c_custkey % 10 = 0", "c_custkey, 1 FROM customer")
+
+
 @query("u3_resolve_features", sql=_RES + " SELECT experiment, feature, position FROM res")
 def u3(t: Tables):
     return X.resolve_features(_experiments(t), _tokens(t), _meta(t))
 
 
-@query("e11_hull_notes", sql=_RES + " SELECT 'e' || k AS experiment, DATE '2020-01-05' AS time_end, n.natural_end, CASE WHEN n.natural_end IS NULL THEN 'no end' WHEN DATE '2020-01-05' < n.natural_end THEN 'cap' WHEN DATE '2020-01-05' > n.natural_end THEN 'beyond' ELSE 'natural' END AS note FROM e LEFT JOIN (SELECT experiment, CAST(min(DATE '2020-01-01' + CAST(p_size AS INTEGER)) AS DATE) AS natural_end FROM res GROUP BY 1) n ON n.experiment = 'e' || k")
+@query("u3_resolve_all_features", sql=_RES_ALL + " SELECT experiment, feature, position FROM res")
+def u3_all(t: Tables):
+    return X.resolve_features(_experiments(t), _all_tokens(t), _all_meta(t))
+
+
+_HULL = " SELECT 'e' || k AS experiment, DATE '2020-01-05' AS time_end, n.natural_end, CASE WHEN n.natural_end IS NULL THEN 'no end' WHEN DATE '2020-01-05' < n.natural_end THEN 'cap' WHEN DATE '2020-01-05' > n.natural_end THEN 'beyond' ELSE 'natural' END AS note FROM e LEFT JOIN (SELECT experiment, CAST(min(DATE '2020-01-01' + CAST(p_size AS INTEGER)) AS DATE) AS natural_end FROM res GROUP BY 1) n ON n.experiment = 'e' || k"
+
+
+@query("e11_hull_notes", sql=_RES + _HULL)
 def e11(t: Tables):
     hull = _experiments(t).select("experiment", F.lit("2020-01-05").cast("date").alias("time_end"))
     return X.hull_notes(u3(t), _meta(t), hull)
 
 
+@query("e11_hull_notes_all", sql=_RES_ALL + _HULL)
+def e11_all(t: Tables):
+    hull = _experiments(t).select("experiment", F.lit("2020-01-05").cast("date").alias("time_end"))
+    return X.hull_notes(u3_all(t), _all_meta(t), hull)
+
+
 @query("e11_config_problems", sql=None)
 def e11_problems(t: Tables):
-    bad = _tokens(t).unionByName(t.read("region").select(F.concat(F.lit("e"), F.col("r_regionkey").cast("string")).alias("experiment"), F.lit("include_group").alias("op"), F.col("r_name").alias("token")))
-    return X.config_problems(_experiments(t), bad, _meta(t), u3(t))
+    bad = _all_tokens(t).unionByName(t.read("region").select(F.concat(F.lit("e"), F.col("r_regionkey").cast("string")).alias("experiment"), F.lit("include_group").alias("op"), F.col("r_name").alias("token")))
+    return X.config_problems(_experiments(t), bad, _all_meta(t), u3_all(t))
 
 
 @query("e11_merged_settings", sql="SELECT 'e' || n_nationkey AS experiment, u.key, CASE WHEN u.key = 'seed' AND n_regionkey = 1 THEN n_name WHEN u.key = 'rate' THEN 'shared' ELSE u.d END AS value FROM nation CROSS JOIN (VALUES ('seed', '7'), ('rate', '0.1'), ('depth', '5')) u(key, d)")
@@ -359,12 +385,21 @@ def e11_settings(t: Tables):
     return X.merged_settings(_experiments(t), own.unionByName(shared), {"seed": "7", "rate": "0.1", "depth": "5"})
 
 
-@query("e11_leakage", sql=_RES + " SELECT experiment, feature FROM res WHERE p_size % 7 = 3 AND experiment IN (SELECT 'e' || n_nationkey FROM nation WHERE n_regionkey = 2)")
+_LEAK = " SELECT experiment, feature FROM res WHERE p_size % 7 = 3 AND experiment IN (SELECT 'e' || n_nationkey FROM nation WHERE n_regionkey = 2)"
+
+
+@query("e11_leakage", sql=_RES + _LEAK)
 def e11_leak(t: Tables):
     spatial = t.read("nation").where("n_regionkey = 2").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment"))
     return X.leakage(u3(t), _meta(t), spatial, "g3")
 
 
+@query("e11_leakage_all", sql=_RES_ALL + _LEAK)
+def e11_leak_all(t: Tables):
+    spatial = t.read("nation").where("n_regionkey = 2").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment"))
+    return X.leakage(u3_all(t), _all_meta(t), spatial, "g3")
+
+
 @query("e12_feature_metadata", sql=None)
 def e12(t: Tables):
     groups = t.read("part").select(F.lower("p_type").alias("group")).distinct().withColumn("driver", F.upper("group"))

@@ -337,3 +337,15 @@ def test_feature_matrix_shuffles_once(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert plan.count("Exchange hashpartitioning") == 1
+
+
+def test_config_problems_cover_all_parts_and_customers(spark, tmp_path):
+    """Part 300 is a feature; customer 300 names it, customer 301 names none."""
+    from gridloom import plans
+
+    spark.createDataFrame([(0, 0, "A")], "n_nationkey long, n_regionkey long, n_name string").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(0, "g0")], "r_regionkey long, r_name string").write.parquet(str(tmp_path / "region.parquet"))
+    spark.createDataFrame([(i, 0) for i in (1, 300, 301)], "c_custkey long, c_nationkey long").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.createDataFrame([(1, 7), (300, 7)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
+    got = plans.registered()[0]["e11_config_problems"](spark, str(tmp_path)).collect()
+    assert [r.token for r in got if r.problem == "unknown feature"] == ["f301"]
