@@ -288,6 +288,12 @@ def u2(t: Tables):
     return J.stack_layers({float(d): li.where(F.col("l_linenumber") == d + 1) for d in range(3)})
 
 
+@query("u2_stack_all_layers", sql="SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_linenumber - 1 AS DOUBLE) AS depth FROM lineitem")
+def u2_all(t: Tables):
+    li = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
+    return J.stack_layers({float(d): li.where(F.col("l_linenumber") == d + 1) for d in range(7)})
+
+
 @query("u4_membership_matrix", sql="SELECT p_name AS feature, coalesce(bool_or(p_type = 'ECONOMY'), false) AS \"ECONOMY\", coalesce(bool_or(p_type = 'PROMO'), false) AS \"PROMO\" FROM part GROUP BY 1")
 def u4(t: Tables):
     return J.membership_matrix(t.read("part").select(F.col("p_type").alias("experiment"), F.col("p_name").alias("feature")), ["ECONOMY", "PROMO"])
