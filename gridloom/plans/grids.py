@@ -418,7 +418,7 @@ def g7(t: Tables):
 
 @query("g8_segments_to_cells", "station", None)
 def g8(t: Tables):
-    s = t.station.where("lat > 50").select(F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.3).alias("x2"), (F.col("lat") + 0.2).alias("y2"), (F.col("num") % 8 + 3).cast("int").alias("code"))
+    s = t.station.select(F.col("lon").alias("x1"), F.col("lat").alias("y1"), (F.col("lon") + 0.3).alias("x2"), (F.col("lat") + 0.2).alias("y2"), (F.col("num") % 8 + 3).cast("int").alias("code"))
     return G.segments_to_cells(s, t.axes)
 
 

@@ -120,17 +120,17 @@ def write_grid(df: DataFrame, path: str, types: dict[str, str], bounds: tuple[fl
     return back
 
 
-def wide_results(pred: DataFrame, stations: list[str]) -> DataFrame:
-    """Long predictions (station_id, time, obs, sim) to <ID>_sim and <ID>_obs columns per time."""
-    wide = pred.groupBy("time").pivot("station_id", stations).agg(F.first("sim").alias("sim"), F.first("obs").alias("obs"))
-    return wide.orderBy("time")
+def wide_results(pred: DataFrame, stations: list[str], keys: list[str] | None = None) -> DataFrame:
+    """Long predictions (station_id, time, obs, sim) to <ID>_sim and <ID>_obs columns per keys and time."""
+    wide = pred.groupBy(*(keys or []), "time").pivot("station_id", stations).agg(F.first("sim").alias("sim"), F.first("obs").alias("obs"))
+    return wide.orderBy("time", *(keys or []))
 
 
-def long_results(wide: DataFrame, time: str = "time") -> DataFrame:
+def long_results(wide: DataFrame, time: str = "time", keys: list[str] | None = None) -> DataFrame:
     """<ID>_sim and <ID>_obs columns to long predictions."""
     ids = sorted({c[:-4] for c in wide.columns if c.endswith(("_sim", "_obs"))})
     rows = F.array(*[F.struct(F.lit(i).alias("station_id"), (F.col(f"{i}_obs") if f"{i}_obs" in wide.columns else F.lit(None)).cast("double").alias("obs"), (F.col(f"{i}_sim") if f"{i}_sim" in wide.columns else F.lit(None)).cast("double").alias("sim")) for i in ids])
-    return wide.select(time, F.inline(rows))
+    return wide.select(*(keys or []), time, F.inline(rows))
 
 
 def write_report(df: DataFrame, path: str, decimals: int = 3) -> None:

@@ -339,6 +339,17 @@ def test_feature_matrix_shuffles_once(spark):
     assert plan.count("Exchange hashpartitioning") == 1
 
 
+def test_segments_of_southern_stations_reach_the_grid(spark, tmp_path):
+    """Station 0 lies at latitude 47, its segment starts in row 340 of the grid."""
+    from gridloom import plans
+
+    spark.createDataFrame([(0, 1, 1.0)], "s_suppkey long, s_nationkey long, s_acctbal double").write.parquet(str(tmp_path / "supplier.parquet"))
+    spark.createDataFrame([(1, 1)], "n_nationkey long, n_regionkey long").write.parquet(str(tmp_path / "nation.parquet"))
+    spark.createDataFrame([(401 * 400,)], "o_orderkey long").write.parquet(str(tmp_path / "orders.parquet"))
+    got = plans.registered()[0]["g8_segments_to_cells"](spark, str(tmp_path)).collect()
+    assert (340, 0, 3) in [(r.lat_idx, r.lon_idx, r.code) for r in got]
+
+
 def test_config_problems_cover_all_parts_and_customers(spark, tmp_path):
     """Part 300 is a feature; customer 300 names it, customer 301 names none."""
     from gridloom import plans
