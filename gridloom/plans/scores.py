@@ -564,10 +564,9 @@ def s5(t: Tables):
 def s7(t: Tables):
     path = _path(t, "zones")
     t.monthly.select("station_id", "time", "flux").repartition("station_id").write.option("header", True).partitionBy("station_id").csv(path)
-    got = IO.read_group_series(t.spark, {"a": f"{path}/*", "b": f"{path}-absent"}, ["flux"])
     # partition folders name the zone here, file names elsewhere
-    names = IO.read_series(t.spark, f"{path}/*", ["flux"], key=F.regexp_extract(F.col("_metadata.file_path"), "station_id=([^/]+)/", 1))
-    return names.select(F.lit("a").alias("product"), F.col("station_id").alias("zone_id"), "time", "flux").where(F.lit(got.columns == ["product", "zone_id", "time", "flux"]))
+    key = F.regexp_extract(F.col("_metadata.file_path"), "station_id=([^/]+)/", 1)
+    return IO.read_group_series(t.spark, {"a": f"{path}/*", "b": f"{path}-absent"}, ["flux"], key=key)
 
 
 @query("s8_first_existing", sql="SELECT r_regionkey, r_name FROM region")

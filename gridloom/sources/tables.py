@@ -80,9 +80,9 @@ def read_grid(grid: DataFrame, variables: list[str], stations: DataFrame, radius
     return grid.where(F.col("lat").between(box[1] - m, box[3] + m) & F.col("lon").between(box[0] - m, box[2] + m)).select(*cols)
 
 
-def read_group_series(spark: SparkSession, products: dict[str, str], columns: list[str]) -> DataFrame:
-    """One CSV per zone and product as (product, zone_id, time, columns); absent products give no rows."""
-    parts = [read_series(spark, p, columns).withColumnRenamed("station_id", "zone_id").withColumn("product", F.lit(n)) for n, p in products.items() if exists(spark, p)]
+def read_group_series(spark: SparkSession, products: dict[str, str], columns: list[str], key: Column | None = None) -> DataFrame:
+    """One CSV per zone and product as (product, zone_id, time, columns); absent products give no rows. key as in read_series."""
+    parts = [read_series(spark, p, columns, key=key).withColumnRenamed("station_id", "zone_id").withColumn("product", F.lit(n)) for n, p in products.items() if exists(spark, p)]
     if not parts:
         return spark.createDataFrame([], "product string, zone_id string, time date" + "".join(f", {c} double" for c in columns))
     out = parts[0]

@@ -360,3 +360,13 @@ def test_config_problems_cover_all_parts_and_customers(spark, tmp_path):
     spark.createDataFrame([(1, 7), (300, 7)], "p_partkey long, p_size int").write.parquet(str(tmp_path / "part.parquet"))
     got = plans.registered()[0]["e11_config_problems"](spark, str(tmp_path)).collect()
     assert [r.token for r in got if r.problem == "unknown feature"] == ["f301"]
+
+
+def test_group_series_query_returns_the_operators_rows(spark, sf, monkeypatch):
+    """An operator that loses its rows shows in the query."""
+    from gridloom import plans
+    from gridloom.sources import tables
+
+    whole = tables.read_group_series
+    monkeypatch.setattr(tables, "read_group_series", lambda *a, **k: whole(*a, **k).limit(0))
+    assert plans.registered()[0]["s7_group_series"](spark, sf).count() == 0
