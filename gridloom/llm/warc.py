@@ -3,29 +3,127 @@
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.fs
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceArrowWriter, WriterCommitMessage
 
 from gridloom.llm.common import materialize, new_path, text_or_empty
 
 _CRLF2 = b"\r\n\r\n"
-_MAGIC = re.compile(rb"WARC/1\.[01]\r\n")
-#: Most records of one archive file; the pointer jumping takes about log2 of it rounds.
-RECORDS_PER_FILE = 4000
+_SEPARATOR = re.compile(rb"\r\n(?=\r\n)")
+_MAGIC = re.compile(rb"WARC/1\.[01](?=\r\n)")
+_LENGTH = re.compile(rb"\r\nContent-Length:[ \t]*(\d{1,18})[ \t]*(?=\r\n)", re.IGNORECASE)
+#: Compressed bytes after which a task goes on in a new archive.
+FILE_BYTES = 128 << 20
+#: Bytes of an archive that are searched for records at a time.
+BLOCK = 4 << 20
 
 
-def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", records_per_file: int = RECORDS_PER_FILE) -> None:
-    """Write one record per row into gzip archives below ``path``.
+@dataclass
+class _Written(WriterCommitMessage):
+    names: list[str]
 
-    Of records with equal payloads the one with the largest page id (null lowest, then any one of
-    repeated rows) is a ``response`` with the payload; the others are ``revisit`` records without a
-    block that refer to it. Null html is an empty payload; a null or odd URL is written with blanks
-    and control characters percent-encoded. Payloads are shuffled once, by digest.
+
+class _ArchiveWriter(DataSourceArrowWriter):
+    """Writes the column ``value`` (binary) as gzip members, one per record, so that each record can be read alone.
+
+    A task writes below ``_writing`` under names of its own; the driver moves the files of committed
+    tasks into place, so a repeated or lost task leaves nothing that readers see.
+    """
+
+    def __init__(self, path: str, file_bytes: int):
+        self.path, self.file_bytes = path, file_bytes
+
+    def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
+        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs.create_dir(f"{root}/_writing", recursive=True)
+        names, out, size = [], None, 0
+        for batch in iterator:
+            for value in batch["value"]:
+                if out is None:
+                    names.append(f"{uuid.uuid4().hex}.warc.gz")
+                    out, size = fs.open_output_stream(f"{root}/_writing/{names[-1]}", compression=None), 0
+                member = gzip.compress(value.as_py() + _CRLF2, mtime=0)
+                out.write(member)
+                size += len(member)
+                if size >= self.file_bytes:
+                    out.close()
+                    out = None
+        if out is not None:
+            out.close()
+        return _Written(names)
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs.create_dir(f"{root}/_writing", recursive=True)
+        for name in [n for m in messages if m for n in m.names]:
+            fs.move(f"{root}/_writing/{name}", f"{root}/{name}")
+        fs.delete_dir(f"{root}/_writing")
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        if fs.get_file_info(f"{root}/_writing").type != pyarrow.fs.FileType.NotFound:
+            fs.delete_dir(f"{root}/_writing")
+
+
+class _Archives(DataSource):
+    """Spark's sink for archives."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gridloom_warc"
+
+    def writer(self, schema, overwrite: bool) -> _ArchiveWriter:
+        return _ArchiveWriter(self.options["path"], int(self.options["filebytes"]))
+
+
+def _uuid(hex32: Column) -> Column:
+    return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(hex32, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
+
+
+def _ranked(rows: DataFrame) -> DataFrame:
+    """rows with _first (whether the row is its payload's response) and _best (the response's page id); one row per row.
+
+    No row number is made: rows that equal the response in payload, page id and URL are counted and
+    written out again, so the choice is the same however often Spark evaluates it.
+    """
+    sizes = rows.groupBy("_key", "_id").agg(F.count(F.lit(1)).alias("_n"))
+    best = sizes.groupBy("_key").agg(F.max(F.struct("_id", "_n")).alias("b")).select("_key", F.col("b._id").alias("_best"), F.col("b._n").alias("_n"))
+    best = materialize(best, "warc-best")
+    top = F.col("_id").eqNullSafe(F.col("_best"))
+    cols = [*rows.columns, "_best", "_first"]
+    plain = rows.join(best.hint("merge"), "_key").withColumn("_first", top).where(~(top & (F.col("_n") > 1))).select(*cols)
+    if best.where("_n > 1").isEmpty():
+        return plain
+    tied = rows.join(best.where("_n > 1").hint("merge"), "_key").where(top)
+    tied = materialize(tied.groupBy("_key", "_id", "_url", "_sha1", "_best").agg(F.count(F.lit(1)).alias("_c"), F.first("_html").alias("_html")), "warc-tied")
+    one = tied.groupBy("_key").agg(F.max("_url").alias("_top")).hint("merge")
+    tied = tied.join(one, "_key").withColumn("_lead", (F.col("_url") == F.col("_top")).cast("long"))
+    run = 65536
+    runs = tied.where("_c > _lead").withColumn("_run", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_c") - F.col("_lead") - 1, F.lit(run).cast("long"))))
+    others = runs.withColumn("_i", F.explode(F.sequence(F.col("_run"), F.least(F.col("_run") + run, F.col("_c") - F.col("_lead")) - 1)))
+    return plain.unionByName(tied.where("_lead = 1").withColumn("_first", F.lit(True)).select(*cols)).unionByName(others.withColumn("_first", F.lit(False)).select(*cols))
+
+
+def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", file_bytes: int = FILE_BYTES) -> None:
+    """Write one record per row into gzip archives below ``path``, each record a gzip member.
+
+    Of records with equal payloads (by SHA-256) the one with the largest page id (null lowest; of
+    repeated ids the one with the largest URL; of wholly equal rows one) is a ``response`` with the
+    payload; the others are ``revisit`` records without a block that refer to it. Null html is an
+    empty payload; a null or odd URL is written with blanks and control characters percent-encoded;
+    an empty table writes no archive; other columns are not read. Payloads are shuffled once, by
+    digest; equal payloads of a hot group are split by the skew join.
     """
     payload = text_or_empty(html_col)
     rows = pages.select(
@@ -34,110 +132,182 @@ def write_warc(pages: DataFrame, path: str, id_col: str = "page_id", url_col: st
         payload.alias("_html"),
         F.sha2(payload, 256).alias("_key"),
         F.sha1(payload.cast("binary")).alias("_sha1"),
-        F.monotonically_increasing_id().alias("_uid"),
     )
-    same = rows.groupBy("_key").agg(F.max(F.struct("_id", "_uid")).alias("_best"))
-    joined = rows.join(same, "_key")
-    first = F.col("_id").eqNullSafe(F.col("_best._id")) & (F.col("_uid") == F.col("_best._uid"))
-
-    def rid(i: str, u: str):
-        h = F.md5(F.concat_ws("/", F.lit("page"), F.coalesce(F.col(i).cast("string"), F.lit("-")), F.col(u).cast("string")))
-        return F.concat(F.lit("<urn:uuid:"), F.regexp_replace(h, "^(.{8})(.{4})(.{4})(.{4})(.{12})$", "$1-$2-$3-$4-$5"), F.lit(">"))
-
+    first, response = F.col("_first"), _uuid(F.md5("_key"))
     b32 = F.concat(*[F.lpad(F.conv(F.substring("_sha1", 10 * g + 1, 10), 16, 32), 8, "0") for g in range(4)])
     b32 = F.translate(F.upper(b32), "0123456789ABCDEFGHIJKLMNOPQRSTUV", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567")
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.octet_length("_html").cast("string"), F.lit("\r\n\r\n"))
     block = F.when(first, F.concat(http, F.col("_html"))).otherwise(F.lit(""))
     head = F.concat(
         F.lit("WARC/1.1\r\nWARC-Type: "), F.when(first, "response").otherwise("revisit"),
-        F.lit("\r\nWARC-Record-ID: "), rid("_id", "_uid"),
+        F.lit("\r\nWARC-Record-ID: "), F.when(first, response).otherwise(F.concat(F.lit("<urn:uuid:"), F.uuid(), F.lit(">"))),
         F.lit("\r\nWARC-Date: 2026-01-01T00:00:00Z\r\nWARC-Target-URI: "), F.col("_url"),
         F.lit("\r\nWARC-Payload-Digest: sha1:"), b32,
         F.when(F.col("_id").isNotNull(), F.concat(F.lit("\r\nX-Page-Id: "), F.col("_id").cast("string"))).otherwise(""),
-        F.when(first, F.lit("")).otherwise(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), rid("_best._id", "_best._uid"))),
+        F.when(first, F.lit("")).otherwise(F.concat(F.lit("\r\nWARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest\r\nWARC-Refers-To: "), response)),
         F.lit("\r\nContent-Type: application/http; msgtype=response\r\nContent-Length: "), F.octet_length(block).cast("string"), F.lit("\r\n\r\n"),
     )
-    joined.select(F.concat(head, block).alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
+    pages.sparkSession.dataSource.register(_Archives)
+    _ranked(rows).select(F.concat(head, block).cast("binary").alias("value")).write.format("gridloom_warc").mode("append").option("filebytes", file_bytes).save(path)
+
+
+def links(buf: bytes, base: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Candidate records of a block that begins at offset ``base``: start, block start, block length, successor; every magic with a length is one, also inside payloads.
+
+    Only offsets are kept, and each position of the block is looked at once, whatever the candidates claim.
+    """
+    starts = np.array([m.start() for m in _MAGIC.finditer(buf)], np.int64)
+    ends = np.array([m.start() for m in _SEPARATOR.finditer(buf)], np.int64)
+    told = [(m.start(), m.end(), int(m[1])) for m in _LENGTH.finditer(buf)]
+    place, close, size = (np.array([t[i] for t in told], np.int64) for i in range(3))
+    e, t = np.searchsorted(ends, starts), np.searchsorted(place, starts)
+    good = (e < len(ends)) & (t < len(place))
+    starts, e, t = starts[good], e[good], t[good]
+    good = close[t] <= ends[e]
+    starts, e, t = starts[good], e[good], t[good]
+    block = base + ends[e] + 4
+    return base + starts, block, size[t], block + size[t] + 4
+
+
+def jump(starts: np.ndarray, succ: np.ndarray, entry: int) -> np.ndarray:
+    """Numbers of the candidates on the chain from ``entry``, by pointer jumping: after round k the chain's first 2**k records are known."""
+    n = len(starts)
+    at = int(np.searchsorted(starts, entry))
+    if at == n or starts[at] != entry:
+        return np.zeros(0, np.int64)
+    far = np.searchsorted(starts, succ)
+    far[(far == n) | (starts[np.minimum(far, n - 1)] != succ)] = n
+    far = np.append(far, n)
+    seen = np.zeros(n + 1, bool)
+    seen[at] = True
+    while True:
+        new = seen.copy()
+        new[far[seen]] = True
+        if (new == seen).all():
+            return np.flatnonzero(seen[:n])
+        seen, far = new, far[far]
+
+
+@dataclass
+class _Record:
+    """A record on the chain; its block is hashed as it comes."""
+
+    file: str
+    start: int
+    fields: dict[str, str]
+    left: int
+    keep: bool
+    head: bytes | None = b""
+    size: int = 0
+    sha: "hashlib._Hash" = field(default_factory=hashlib.sha1)
+    parts: list[bytes] = field(default_factory=list)
 
+    def feed(self, data: bytes) -> None:
+        self.left -= len(data)
+        if self.head is not None:  # still within the HTTP header, of which the last bytes are held
+            data = self.head + data
+            if len(data) < 5 and self.left:
+                self.head = data
+                return
+            if data.startswith(b"HTTP/") or self.head.startswith(b"\0"):
+                data = data.removeprefix(b"\0")
+                at = data.find(_CRLF2)
+                if at < 0:
+                    self.head = b"\0" + data[-3:]
+                    return
+                data = data[at + 4 :]
+            self.head = None
+        self.sha.update(data)
+        self.size += len(data)
+        if self.keep:
+            self.parts.append(data)
 
-class _Open:
-    """A candidate record whose block is still being read."""
+    def row(self) -> tuple:
+        page = self.fields.get("x-page-id", "")
+        return (self.file, self.start, self.fields.get("warc-type"), self.fields.get("warc-record-id"), self.fields.get("warc-refers-to"), int(page) if re.fullmatch(r"-?\d{1,18}|-?\d{19}", page) else None,
+                self.fields.get("warc-target-uri"), self.size, base64.b32encode(self.sha.digest()).decode(), b"".join(self.parts) if self.keep else None)
 
-    def __init__(self, start: int, block: int, length: int, fields: dict[str, str]):
-        self.start, self.block, self.length, self.fields, self.parts, self.have = start, block, length, fields, [], 0
 
+def _fields(header: bytes) -> dict[str, str]:
+    return {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in header.decode("utf-8", "replace").split("\r\n")[1:])}
 
-def _candidates(rows: Iterator[tuple[str, bytes]], keep_payload: bool) -> Iterator[tuple]:
-    """Candidate records of the files' pieces, in order: every magic is one, also inside payloads."""
-    name, offset, opened = None, 0, []
 
-    def done(o: _Open) -> tuple:
-        block = b"".join(o.parts)[: o.length]
-        body = block.partition(_CRLF2)[2] if block.startswith(b"HTTP/") else block
-        digest = base64.b32encode(hashlib.sha1(body).digest()).decode()
-        page = o.fields.get("x-page-id")
-        return (name, o.start, o.block + o.length + 4, o.fields.get("warc-type"), o.fields.get("warc-record-id"), o.fields.get("warc-refers-to"),
-                int(page) if page else None, o.fields.get("warc-target-uri"), len(body), digest, body if keep_payload else None)
+def _records(pieces: Iterator[tuple[str, bytes]], keep: bool, block_bytes: int) -> Iterator[tuple]:
+    """Records of archives whose pieces come in order: block by block the candidates' links, the chain by pointer jumping, then the hashes of what is on it."""
+    name, base, entry, buf, size, open_ = None, 0, 0, [], 0, None
 
-    for file, piece in rows:
+    def settle() -> Iterator[tuple]:
+        nonlocal base, entry, open_
+        data = b"".join(buf)
+        if open_ is not None:
+            open_.feed(data[: open_.left])
+            if open_.left == 0:
+                yield open_.row()
+                open_ = None
+        if entry < base + len(data):
+            starts, block, length, succ = links(data, base)
+            chain = jump(starts, succ, entry)
+            for i in chain.tolist():
+                a, z = int(block[i]) - base, int(block[i] + length[i]) - base
+                open_ = _Record(name, int(starts[i]), _fields(data[int(starts[i]) - base : a - 4]), int(length[i]), keep)
+                open_.feed(data[a:z])
+                if open_.left == 0:
+                    yield open_.row()
+                    open_ = None
+            entry = int(succ[chain[-1]]) if len(chain) else 1 << 62  # a broken chain reaches nothing more
+        base += len(data)
+
+    for file, piece in pieces:
         if file != name:
-            name, offset, opened = file, 0, []
-        still = []
-        for o in opened:
-            o.parts.append(piece + _CRLF2)
-            o.have += len(piece) + 4
-            if o.have >= o.length:
-                yield done(o)
-            else:
-                still.append(o)
-        opened = still
-        end = offset + len(piece)
-        for m in _MAGIC.finditer(piece):
-            lines = piece[m.end() :].decode("utf-8", "replace").split("\r\n")
-            fields = {k.strip().lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-            if re.fullmatch(r"\d{1,18}", fields.get("content-length", "")):
-                o = _Open(offset + m.start(), end + 4, int(fields["content-length"]), fields)
-                if o.length:
-                    opened.append(o)
-                else:
-                    yield done(o)
-        offset = end + 4
-
-
-_FIELDS = "file string, start long, succ long, record_type string, record_id string, refers_id string, page_id long, url string, payload_bytes long, payload_digest string, payload binary"
-
-
-def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFrame:
+            yield from settle()
+            name, base, entry, buf, size, open_ = file, 0, 0, [], 0, None
+        buf += [piece, _CRLF2]
+        size += len(piece) + 4
+        if size >= block_bytes:
+            yield from settle()
+            buf, size = [], 0
+    yield from settle()
+
+
+_FIELDS = "file string, start long, record_type string, record_id string, refers_id string, page_id long, url string, payload_bytes long, payload_digest string, payload binary"
+
+
+def read_warc(spark: SparkSession, path: str, payload: bool = False, block_bytes: int = BLOCK) -> DataFrame:
     """Records of the gzip archives below ``path``: page_id, url, record_type, payload_bytes, payload_digest, refers_to[, payload].
 
-    A task reads whole archives piece by piece and emits each candidate (magic and length) with the
-    offset where its successor would start. Pointer jumping from offset 0 of each file then keeps
-    only candidates on the chain, so a magic inside a payload is rejected. Revisits take the length
-    and digest of the payload they refer to. Payloads stay in the task unless asked for.
+    A gzip archive can't be split, so a task reads it in order, a block at a time. Every magic in a
+    block is a candidate with the offset where its successor would start; pointer jumping over these
+    links keeps only the candidates that are reached from the file's start (the block's entry is
+    where the chain left the blocks before), so a magic inside a payload is rejected. Candidates
+    cost two offsets each; only records on the chain are parsed and hashed, as they stream by.
+    A record cut off by the archive's end is left out. Revisits take the length and digest of the
+    payload they refer to, by one join of record headers. Payloads stay in the task unless asked for.
     """
-    pieces = spark.read.option("lineSep", "\r\n\r\n").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
+    pieces = spark.read.schema("value string").option("lineSep", "\r\n\r\n").option("recursiveFileLookup", True).text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").cast("binary").alias("value"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = pa.schema([(f.split()[0], {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}[f.split()[1]]) for f in _FIELDS.split(", ")])
         rows = ((f, v) for b in batches for f, v in zip(b["file"].to_pylist(), b["value"].to_pylist(), strict=True))
         held, size = [], 0
-        for r in _candidates(rows, payload):
+
+        def batch() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+
+        for r in _records(rows, payload, block_bytes):
             held.append(r)
-            size += 200 + (r[8] if payload else 0)
+            size += 400 + (r[7] if payload else 0)
             if size > 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+                yield batch()
                 held, size = [], 0
         if held:
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), schema.types, strict=True)], schema=schema)
+            yield batch()
 
-    found = materialize(pieces.mapInArrow(task, _FIELDS), "warc-candidates")
-    chain = reachable(found.select("file", "start", "succ"))
-    records = found.join(chain, ["file", "start"])
+    records = materialize(pieces.mapInArrow(task, _FIELDS), "warc-records")
     told = records.where("record_type = 'response'").select(
         F.col("record_id").alias("refers_id"), F.col("page_id").alias("refers_to"),
-        F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"), F.col("payload").alias("_payload"),
+        F.col("payload_bytes").alias("_bytes"), F.col("payload_digest").alias("_digest"), *([F.col("payload").alias("_payload")] if payload else []),
     )
-    out = records.join(told, "refers_id", "left")
+    out = records.join(told.hint("merge"), "refers_id", "left")
     known = F.col("refers_id").isNotNull()
     cols = [
         F.col("page_id"), F.col("url"), F.when(known, F.col("_bytes")).otherwise(F.col("payload_bytes")).alias("payload_bytes"),
@@ -146,28 +316,8 @@ def read_warc(spark: SparkSession, path: str, payload: bool = False) -> DataFram
     return out.select(*cols, *([F.when(known, F.col("_payload")).otherwise(F.col("payload")).alias("payload")] if payload else []))
 
 
-def reachable(links: DataFrame) -> DataFrame:
-    """(file, start) of the candidates on the chain from offset 0, by pointer jumping: after round k the chain's first 2**k records are known."""
-    spark = links.sparkSession
-    jump = links.select("file", "start", "succ")
-    seen = jump.where("start = 0").select("file", "start")
-    before, path = -1, None
-    while True:
-        ahead = seen.join(jump, ["file", "start"]).select("file", F.col("succ").alias("start"))
-        new = ahead.join(links.select("file", "start"), ["file", "start"], "left_semi")
-        path = new_path(spark, "warc-chain")
-        seen.unionByName(new).distinct().write.parquet(path)
-        seen = spark.read.parquet(path)
-        now = seen.count()
-        if now == before:
-            return seen
-        before = now
-        far = jump.select("file", F.col("start").alias("succ"), F.col("succ").alias("_far"))
-        jump = materialize(jump.join(far, ["file", "succ"]).select("file", "start", F.col("_far").alias("succ")), "warc-jump")
-
-
 def warc_round_trip(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """Write all pages as archives into the shared folder and read them back: one row per page."""
+    """Write all pages as archives into the shared folder and read them back: one row per page; nulls, ties and repeated rows as in ``write_warc``, an empty table gives an empty result."""
     spark = pages.sparkSession
     path = new_path(spark, "warc")
     write_warc(pages, path, id_col, url_col, html_col)
