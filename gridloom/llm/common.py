@@ -15,12 +15,14 @@ SPACE_CLASS = r"[\x20\x09-\x0D]"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else (tests) one of our own."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, on a local master only, one of our own."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
         return base.rstrip("/")
     base = spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="gridloom-"))
         base = spark.sparkContext.getCheckpointDir()
     return base.rstrip("/")
@@ -46,6 +48,16 @@ def held_out(id_col: str = "doc_id") -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % 4 == 2
 
 
+def hash_limit(share: float) -> int:
+    """The largest of the first ``share`` of all signed 64-bit hashes; never below the first one."""
+    return min((1 << 63) - 1, max(1, int(share * (1 << 64))) - (1 << 63) - 1)
+
+
+def hash_share(h: Column, share: float) -> Column:
+    """Whether a 64-bit hash is among the first ``share`` of all its values; fine enough for any row count."""
+    return h <= F.lit(hash_limit(share)).cast("long")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
     """Batches in parts of a few hundred rows, so that a task's Python objects stay small; unused Arrow memory goes back after each batch."""
     for b in batches:

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import held_out, text_or_empty
+from gridloom.llm.common import hash_limit, held_out, text_or_empty
 
 #: First code points of script ranges, in order; the script of a letter is the last that begins at or before it.
 #: Fixed values of the Unicode block chart (Latin, Greek, Cyrillic, Armenian, Hebrew, Arabic, Indic, Thai and others, Georgian, Hangul Jamo, others, Latin and Greek additions, Kana, Han, Hangul, others).
@@ -61,15 +61,20 @@ def _groups(texts: list[str], most: int = 2_000_000) -> Iterator[list[int]]:
 
 
 def fit(docs: DataFrame, max_rows: int = 20_000, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> dict:
-    """Per-language n-gram log probabilities and scripts, from about ``max_rows`` labelled rows chosen by hash.
+    """Per-language n-gram log probabilities and scripts, from about ``max_rows`` labelled texts chosen by hash.
 
-    The bound is on the fitted rows only; their whole texts are counted in Spark tasks, one count
-    vector per language and task. Rows with null lang are left out.
+    Each language has the same part of ``max_rows``, or all its texts if they are fewer, so a rare
+    one is learnt too; equal texts of a language count once, so a hot row can't fill the sample (their
+    number is a sketch's estimate, within about 5 %). The bound is on the fitted rows only; their whole texts are counted in Spark tasks, one count vector
+    per language and task. Rows with null lang are left out. Memory grows with the number of
+    languages (0.4 MB each).
     """
-    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col))
-    n = rows.count()
-    share = min(1.0, max_rows / max(n, 1))
-    chosen = rows.where(F.pmod(F.xxhash64(F.col(id_col), F.col(text_col)), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))).select(F.col(lang_col).alias("lang"), text_or_empty(text_col).alias("text"))
+    rows = docs.where(F.col(lang_col).isNotNull() & ~held_out(id_col)).select(F.col(lang_col).cast("string").alias("lang"), text_or_empty(text_col).alias("text"))
+    counts = {r.lang: max(r.n, 1) for r in rows.groupBy("lang").agg(F.approx_count_distinct("text").alias("n")).collect()}
+    each = max_rows / max(len(counts), 1)
+    spark = docs.sparkSession
+    limits = spark.createDataFrame([(lang, hash_limit(each / n)) for lang, n in sorted(counts.items())], "lang string, _limit long")
+    chosen = rows.join(F.broadcast(limits), "lang").withColumn("_h", F.xxhash64("text")).where("_h <= _limit").dropDuplicates(["lang", "_h"]).select("lang", "text")
     n_scripts = len(SCRIPT_STARTS)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -112,8 +117,8 @@ def label_words(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.n
     begin, lengths = offsets[:-1][order], lengths[order]
     longest = int(lengths[0]) if len(lengths) else 0
     active = np.searchsorted(-lengths, -np.arange(longest), "left")
-    labels = np.zeros(len(scores), np.int8)
-    best_before = np.zeros(len(scores), np.int8)
+    labels = np.zeros(len(scores), np.int32)
+    best_before = np.zeros(len(scores), np.int32)
     switched = np.zeros(scores.shape, bool)
     delta = np.zeros((len(order), scores.shape[1]), np.float32)
     for t in range(longest):
@@ -127,7 +132,7 @@ def label_words(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.n
             switched[rows] = sw
             d = np.where(sw, top[:, None], d)
         delta[:n] = d + scores[rows]
-    state = delta.argmax(1).astype(np.int8)
+    state = delta.argmax(1).astype(np.int32)
     for t in range(longest - 1, -1, -1):
         n = active[t]
         rows, s = begin[:n] + t, state[:n]
@@ -140,7 +145,7 @@ def label_words(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.n
 def identify(texts: list[str], model: dict, penalty: float) -> list[tuple[str, float]]:
     """(language, share of the letters that are labelled with it) for each text; no letter: ("und", 0)."""
     langs, out = model["langs"], [("und", 0.0)] * len(texts)
-    for g in _groups(texts):
+    for g in _groups(texts, 8_000_000 // max(len(langs), 4)):
         part = [texts[i] for i in g]
         c = _codes(part)
         # lower() may lengthen a text, so ends are taken from the lower-cased ones
@@ -151,7 +156,7 @@ def identify(texts: list[str], model: dict, penalty: float) -> list[tuple[str, f
         first = np.flatnonzero((c[at] != 0) & ((at == 0) | (c[at - 1] == 0)))
         starts = at[first]
         score = np.empty((len(first), len(langs)), np.float32)
-        step = 200_000
+        step = 800_000 // max(len(langs), 4)
         for a in range(0, len(first), step):
             lo, hi = first[a], first[a + step] if a + step < len(first) else len(at)
             score[a : a + step] = np.add.reduceat(model["logp"][f[lo:hi]].sum(1), first[a : a + step] - lo, 0)
@@ -177,7 +182,8 @@ def identify_language(docs: DataFrame, model: dict, penalty: float = 12.0, id_co
 
     Words are runs of letters; a word's script leaves only languages that were learnt with it. Whole
     texts are read, in one pass without a shuffle; the model is broadcast, its size is fixed by the
-    feature count and the number of languages. Null or letterless text gives ``und`` and 0; without
+    feature count and the number of languages. A task holds one text's words at a time if the text is
+    long, about 5 bytes a word and language. Null or letterless text gives ``und`` and 0; without
     any learnt language all rows give ``und``. Repeated rows and null ids are kept; other columns
     are not read.
     """

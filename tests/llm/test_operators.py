@@ -418,6 +418,23 @@ def test_language(spark):
         assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
 
 
+def test_two_hundred_languages(spark):
+    """Labels and back pointers beyond 127, and a rare language beyond the sample's bound."""
+    s = np.zeros((6, 200), np.float32)
+    s[:, 150] = 5
+    s[3:, 199] = 40
+    assert language.label_words(s, np.array([0, 6]), 2.0).tolist() == [150, 150, 150, 199, 199, 199]
+    rng = random.Random(4)
+    word = lambda k: "".join(chr(0x4E00 + 40 * k + rng.randrange(40)) for _ in range(4))
+    rows = [(i, " ".join(word(k) for _ in range(12)), f"l{k:03}") for i, k in enumerate([*range(200)] + [rng.randrange(200) for _ in range(2200)])]
+    rows += [(5000 + i, "banana bandana", "common") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in language.identify_language(df, language.fit(df, max_rows=2000)).collect()}
+    held = [r for r in rows[:2400] if got[r[0]].held_out]
+    assert max(int(r[2][1:]) for r in held) > 150 and len({r[2] for r in held}) > 127 and np.mean([got[i].lang_pred == lang for i, _, lang in held]) > 0.9
+    assert got[5001].lang_pred == "common"
+
+
 def test_language_spans_of_mixed_text():
     model = {"langs": ["a", "b"], "logp": np.zeros((language._SIZE, 2), np.float32), "scripts": np.ones((len(language.SCRIPT_STARTS), 2), bool)}
     _, f = language._features(language._codes(["xxxx"]))
@@ -448,6 +465,56 @@ def test_factorization_machine_learns_an_interaction(spark):
     assert toxicity.score_toxicity(df.limit(0), toxicity.fit(df, labels.limit(0))).collect() == []
 
 
+def test_factorization_machine_equals_the_pairwise_sum():
+    rng = np.random.default_rng(3)
+    texts = [" ".join(f"w{j}" for j in rng.integers(0, 30, rng.integers(0, 20))) for _ in range(60)] + ["", "unknown words only"]
+    terms = sorted({int(x) for t in texts[:40] for x in toxicity._terms([t])[0]})[:20]
+    model = {"bias": -0.7, "terms": np.array(terms, np.int32), "w": rng.normal(0, 1, len(terms)), "v": rng.normal(0, 1, (len(terms), 4))}
+    got = toxicity.score_texts(texts, model)
+    for text, s in zip(texts, got, strict=True):
+        have = [i for i, x in enumerate(terms) if x in {int(y) for w in text.split() for y in toxicity._terms([w])[0]}]
+        f = -0.7 + sum(model["w"][i] for i in have) + sum(float(model["v"][i] @ model["v"][j]) for i in have for j in have if i < j)
+        assert abs(s - 1 / (1 + np.exp(-f))) < 1e-9
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_factorization_machine_learns_a_pair_without_marginal_effects(seed):
+    """label = insult XOR group: neither word tells anything alone."""
+    rng = random.Random(seed)
+    texts, y = [], []
+    for _ in range(4000):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        texts.append(" ".join([*(["insult"] if a else []), *(["group"] if b else []), *[f"n{rng.randrange(50)}" for _ in range(8)]]))
+        y.append(int(a != b))
+    t, o = toxicity._terms(texts)
+    model = toxicity.fit_fm([np.unique(t[o[i] : o[i + 1]]) for i in range(3000)], np.array(y[:3000]))
+    right = (toxicity.score_texts(texts[3000:], model) >= 0.5) == np.array(y[3000:], bool)
+    assert right.mean() > 0.95
+
+
+def test_hash_share_at_any_size(spark):
+    from gridloom.llm.common import hash_limit, hash_share
+
+    low = -(1 << 63)
+    assert [hash_limit(x) for x in (1.0, 0.5, 2**-40, 1e-15, 0.0)] == [(1 << 63) - 1, -1, low + (1 << 24) - 1, low + 18446 - 1, low]
+    from pyspark.sql import functions as F
+
+    n = spark.range(400_000).where(hash_share(F.xxhash64("id"), 1e-4)).count()
+    assert 15 < n < 80 and spark.range(1000).where(hash_share(F.xxhash64("id"), 1.0)).count() == 1000
+
+
+def test_toxicity_sample_is_bounded_per_class_and_id(spark):
+    """A rare class is learnt beyond the bound, its base rate stays, and a hot id in either table counts once."""
+    ids = [i for i in range(8000) if zlib.crc32(str(i).encode()) % 4 != 2]
+    rare = set(ids[:60])
+    df = docs(spark, [(i, "awful x" if i in rare else f"x n{i % 7}") for i in ids] + [(ids[100], "awful")] * 500)
+    labels = spark.createDataFrame([(i, int(i in rare)) for i in ids] + [(ids[0], 0)] + [(ids[1], 1)] * 3000, "doc_id long, toxic int")
+    model = toxicity.fit(df, labels, max_rows=1000)
+    s = toxicity.score_texts(["awful x", "x n3"], model)
+    assert s[0] > 0.5 and s[1] < 0.05
+    assert abs(toxicity.fit(docs(spark, [(i, "x") for i in ids]), labels, max_rows=1000)["bias"] - np.log(60 / (len(ids) - 60))) < 0.4
+
+
 def test_toxicity_fit_learns_from_all_rows_under_its_bound(spark):
     """18,000 labelled rows: a word in 20 toxic ones has z > 4 over all of them, and not over half."""
     ids = [i for i in range(24_000) if zlib.crc32(str(i).encode()) % 4 != 2]
