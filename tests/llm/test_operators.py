@@ -167,10 +167,37 @@ def test_codec_equals_library(codec):
 
 
 def test_boundary_state_scan_equals_library(codec):
+    """Matrices of chunks cut anywhere, combined in any order, and independent backtraces."""
+    from functools import reduce
+
     rng = random.Random(4)
-    for _ in range(120):
-        s = "".join(rng.choice("abcdetheingstion_éß🙂1\n") for _ in range(rng.randint(1, 50)))
-        assert codec.scan_run("▁" + s, rng.randint(3, 9)) == codec.sp.encode(s)
+    P = sentencepiece_codec.product
+    texts = ["".join(rng.choice("abcdetheingstion_éß🙂1\n" + "  " * k) for _ in range(rng.randint(1, 60))) for k in range(4) for _ in range(60)]
+    for s in [*texts, " " * 40, ".................................." * 3, "the " * 30, "▁a▁ b"]:
+        chunks = sentencepiece_codec.cut_text(s, rng.randint(3, 40), codec.longest)
+        ms = [codec.matrix(c) for c in chunks]
+        at = rng.randint(0, len(ms))
+        whole = reduce(P, ms)
+        assert whole.shape == (1, 1) and whole[0, 0] == 0
+        if 0 < at < len(ms):
+            assert (P(reduce(P, ms[:at]), reduce(P, ms[at:])) == whole).all()
+        states = sentencepiece_codec.inner_states(ms, 0, 0)
+        parts = [codec.backtrace(c, i, o) for c, i, o in zip(chunks, states, states[1:], strict=False)]
+        assert [i for ids, _ in parts for i in ids] == codec.sp.encode(s), s
+        assert "".join(t for _, t in parts) == " " + s
+
+
+def test_giant_text_without_blanks_is_spread(spark, codec, monkeypatch):
+    monkeypatch.setattr(sentencepiece_codec, "FAN_IN", 3)
+    rng = random.Random(5)
+    rows = [(1, "".join(rng.choice("thequickbrownfoxéß🙂") for _ in range(999))), (2, " ".join("w" * rng.randint(1, 30) for _ in range(200))), (3, "漢字かな" * 300), (3, " " * 900)]
+    seen = []
+    real = sentencepiece_codec.chunk_states
+    monkeypatch.setattr(sentencepiece_codec, "chunk_states", lambda m: (seen.append(m), real(m))[1])
+    got = sorted((r.doc_id, r.ids, r.round_trip) for r in sentencepiece_codec.encode(docs(spark, rows), chunk=100).collect())
+    assert got == sorted((d, codec.sp.encode(t), True) for d, t in rows)
+    per = Counter(r["_uid"] for r in seen[0].select("_uid").collect())
+    assert sorted(per.values()) == sorted(-(-(len(t) + 1) // 100) for _, t in rows)
 
 
 def test_sentencepiece_operator(spark, codec):
@@ -185,6 +212,8 @@ def test_sentencepiece_operator(spark, codec):
     assert got == sorted(want, key=str)
     back = {r.doc_id: r.text for r in sentencepiece_codec.decode(out.where("doc_id in (1, 4)")).collect()}
     assert back == {1: "hello world", 4: long}
+    odd = spark.createDataFrame([(1, None), (None, [codec.blank]), (2, [])], "doc_id long, ids array<int>")
+    assert sorted(map(tuple, sentencepiece_codec.decode(odd).collect()), key=str) == [(1, None), (2, ""), (None, "")]
     assert sentencepiece_codec.encode(docs(spark, [])).collect() == []
 
 
