@@ -76,6 +76,14 @@ def depth_label(depth: Column) -> Column:
     return F.replace(F.replace(text, F.lit("."), F.lit("p")), F.lit("-"), F.lit("m"))
 
 
+def group_name(column: str) -> str:
+    """F10 for a column's own name, on the driver."""
+    if "__" not in column:
+        return "other"
+    head = column.split("__")[0]
+    return "lcc" if head == "C3S" else head
+
+
 def feature_group(column: Column) -> Column:
     """dataset of a column name: what stands before "__"; C3S is lcc; other without a prefix."""
     head = F.split_part(column, F.lit("__"), F.lit(1))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import days_since_epoch, month_start
+from gridloom.operators.windows import value_positions
 
 
 def monthly_rollup(weekly: DataFrame, target: str, flux: list[str], drop: list[str] | None = None, key: str = "station_id", time: str = "week") -> DataFrame:
@@ -74,10 +75,39 @@ def variance_decomposition(cells: DataFrame, value: str, area: str = "area_m2",
 
 
 def quantiles(df: DataFrame, value: str, probs: list[float], keys: list[str] | None = None, exact: bool = True) -> DataFrame:
-    """Linearly interpolated quantiles of the non-null values, one column p<percent> each; exact=False uses sketches."""
-    call = F.percentile if exact else F.percentile_approx
-    got = df.groupBy(*(keys or [])).agg(call(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"), F.count(value).alias("n"))
-    return got.select(*(keys or []), "n", *[F.col("_q")[i].alias(f"p{round(p * 100)}") for i, p in enumerate(probs)])
+    """Linearly interpolated quantiles of the non-null values, one column p<percent> each, and their number n.
+
+    Exact ones come from the values' positions in range partitions, so no task gathers a group;
+    exact=False uses sketches. Groups without any value have nulls.
+    """
+    keys = keys or []
+    names = [f"p{round(p * 100)}" for p in probs]
+    if not exact:
+        got = df.groupBy(*keys).agg(F.percentile_approx(value, F.array(*[F.lit(float(p)) for p in probs])).alias("_q"), F.count(value).alias("n"))
+        return got.select(*keys, "n", *[F.col("_q")[i].alias(c) for i, c in enumerate(names)])
+    sizes = df.groupBy(*keys).agg(F.count(value).alias("n"))
+    place = value_positions(df.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), "_v", keys)
+    total = sizes.select(*[F.col(k).alias(f"_n_{k}") for k in keys], F.col("n").alias("_n"))
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_n_{k}"))
+    place = place.join(total if keys else F.broadcast(total), same)
+    ends = []
+    for i, p in enumerate(probs):
+        at = (F.col("_n") - 1) * F.lit(float(p))
+        for tag, k in (("a", F.floor(at)), ("b", F.ceil(at))):
+            ends.append(F.max(F.when((F.col("_before") <= k) & (k < F.col("_before") + F.col("_count")), F.col("_v"))).alias(f"_{tag}{i}"))
+    found = place.groupBy(*keys).agg(*ends)
+    if keys:
+        found = found.select(*[F.col(k).alias(f"_f_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+        met = F.lit(True)
+        for k in keys:
+            met = met & F.col(k).eqNullSafe(F.col(f"_f_{k}"))
+        out = sizes.join(found, met, "left")
+    else:
+        out = sizes.join(F.broadcast(found))
+    part = [(F.col("n") - 1) * F.lit(float(p)) for p in probs]
+    return out.select(*keys, "n", *[(F.col(f"_a{i}") + (F.col(f"_b{i}") - F.col(f"_a{i}")) * (part[i] - F.floor(part[i]))).alias(c) for i, c in enumerate(names)])
 
 
 def level_summary(zones: DataFrame, value: str, inside: Column, with_station: Column) -> DataFrame:
@@ -95,8 +125,9 @@ def stations_per_zone(zones: DataFrame, stations: DataFrame, zone: str = "zone_i
 
 
 def depth_mean(layers: DataFrame, key: list[str], value: str, thickness: str, conversion: float = 1.0) -> DataFrame:
-    """A10: thickness-weighted mean over depth layers, in converted units."""
-    return layers.groupBy(*key).agg((F.sum(F.col(value) * F.col(thickness)) / F.sum(thickness) / conversion).alias(value))
+    """A10: thickness-weighted mean over depth layers, in converted units; null when any layer is."""
+    mean = F.sum(F.col(value) * F.col(thickness)) / F.sum(thickness) / conversion
+    return layers.groupBy(*key).agg(F.when(F.count(F.col(value) * F.col(thickness)) == F.count(F.lit(1)), mean).alias(value))
 
 
 def block_mean(cells: DataFrame, value: str, factor: int, row: str = "lat_idx", col: str = "lon_idx") -> DataFrame:

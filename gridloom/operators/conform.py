@@ -75,10 +75,17 @@ def in_months(time: Column, start: str | None, end: str | None) -> Column:
 
 
 def wrap_longitude(lon: Column) -> Column:
-    """0..360 to -180..180."""
+    """Longitudes of a 0..360 axis on -180..180."""
     return F.pmod(lon + 180, F.lit(360.0)) - 180
 
 
+def wrap_longitudes(df: DataFrame, lon: str = "lon") -> DataFrame:
+    """0..360 to -180..180 when the axis goes beyond 180; others stay as they are (so 180 and -180 stay apart)."""
+    top = df.agg(F.max(lon).alias("_top"))  # one row
+    wrapped = F.when(F.col("_top") > 180, wrap_longitude(F.col(lon))).otherwise(F.col(lon))
+    return df.join(F.broadcast(top)).withColumn(lon, wrapped).drop("_top")
+
+
 def squeeze(df: DataFrame, dim: str) -> DataFrame:
     """P10: keep index 0 of a dimension and drop it."""
     return df.where(F.col(dim) == 0).drop(dim)

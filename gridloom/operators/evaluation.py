@@ -9,19 +9,23 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.operators.aggregates import quantiles
-from gridloom.operators.windows import average_rank, empirical_cdf, holm
+from gridloom.operators.windows import average_rank, empirical_cdf, holm, value_positions
+from gridloom.sources.shared import materialize
 
 
 def moments(obs: str, sim: str) -> dict[str, Column]:
-    """R2: moment sums of one pass, over rows as they are."""
+    """R2: counts, means, central moments and squared errors of one pass; the variance of a constant is exactly 0."""
     o, s = F.col(obs), F.col(sim)
-    return {"n": F.count(F.lit(1)), "so": F.sum(o), "ss": F.sum(s), "soo": F.sum(o * o), "sss": F.sum(s * s), "sos": F.sum(o * s), "nulls": F.count_if(o.isNull() | s.isNull())}
 
+    def spread(c: Column) -> Column:
+        return F.when(F.max(c) == F.min(c), 0.0).otherwise(F.var_pop(c))
 
-def pearson(n: Column, so: Column, ss: Column, soo: Column, sss: Column, sos: Column) -> Column:
-    """Correlation from moments, null when a side is constant."""
-    vo, vs = F.greatest(soo / n - F.pow(so / n, 2), F.lit(0.0)), F.greatest(sss / n - F.pow(ss / n, 2), F.lit(0.0))
-    return F.try_divide(sos / n - so * ss / n / n, F.sqrt(vo * vs))
+    return {"n": F.count(F.lit(1)), "mo": F.avg(o), "ms": F.avg(s), "vo": spread(o), "vs": spread(s), "co": F.covar_pop(o, s), "sse": F.sum((s - o) * (s - o)), "nulls": F.count_if(o.isNull() | s.isNull())}
+
+
+def pearson(vo: Column, vs: Column, co: Column) -> Column:
+    """Correlation from central moments, null when a side is constant."""
+    return F.try_divide(co, F.sqrt(vo) * F.sqrt(vs))
 
 
 def station_scores(pred: DataFrame, keys: list[str], means: DataFrame | None = None, drop_nulls: bool = False, least: int = 1, obs: str = "obs", sim: str = "sim") -> DataFrame:
@@ -29,7 +33,8 @@ def station_scores(pred: DataFrame, keys: list[str], means: DataFrame | None = N
 
     With ``drop_nulls`` pairs with a null are left out and ``least`` pairs are needed, and kge is
     null when the mean of obs is 0; without, a null makes all metrics null. means: keys that occur
-    in it and ``mean``. One aggregation of moment sums centred on each station's first value.
+    in it and ``mean``. One aggregation of central moments, so large offsets don't cancel; a constant
+    side leaves r and what is made of it null.
     """
     df = pred.where(F.col(obs).isNotNull() & F.col(sim).isNotNull()) if drop_nulls else pred
     m = df.groupBy(*keys).agg(*[c.alias(k) for k, c in moments(obs, sim).items()])
@@ -38,13 +43,10 @@ def station_scores(pred: DataFrame, keys: list[str], means: DataFrame | None = N
         m = m.join(means.select(*[k for k in keys if k in means.columns], F.col("mean").alias("_m")), [k for k in keys if k in means.columns], "left")
     else:
         m = m.withColumn("_m", F.lit(None).cast("double"))
-    n, so, ss, soo, sss, sos = (F.col(c) for c in ("n", "so", "ss", "soo", "sss", "sos"))
-    mo, ms = so / n, ss / n
-    vo, vs = F.greatest(soo / n - mo * mo, F.lit(0.0)), F.greatest(sss / n - ms * ms, F.lit(0.0))
-    sse = F.greatest(soo - sos * 2 + sss, F.lit(0.0))
-    r = F.try_divide(sos / n - mo * ms, F.sqrt(vo * vs))
+    n, mo, ms, vo, vs, sse = (F.col(c) for c in ("n", "mo", "ms", "vo", "vs", "sse"))
+    r = pearson(vo, vs, F.col("co"))
     alpha = F.try_divide(F.sqrt(vs), F.sqrt(vo))
-    from_mean = soo - F.col("_m") * so * 2 + F.col("_m") * F.col("_m") * n
+    from_mean = n * (vo + F.pow(mo - F.col("_m"), 2))
     out = {
         "nse": F.lit(1.0) - F.try_divide(sse, from_mean),
         "nse_classic": F.lit(1.0) - F.try_divide(sse, n * vo),
@@ -113,32 +115,49 @@ def chi2_survival(x: float, k: int) -> float:
     return front * f
 
 
+def signed_rank_p(n: int, w: float) -> float:
+    """Exact two-sided p of the signed-rank statistic without ties: subsets of the ranks 1 to n by their sum."""
+    ways = [1.0] + [0.0] * (n * (n + 1) // 2)
+    for rank in range(1, n + 1):
+        for total in range(len(ways) - 1, rank - 1, -1):
+            ways[total] += ways[total - rank]
+    return min(1.0, 2 * sum(ways[: int(w) + 1]) / 2.0**n)
+
+
+#: Most pairs for which p is exact (if none is zero or tied).
+EXACT_PAIRS = 50
+
+
 def wilcoxon(scores: DataFrame) -> DataFrame:
     """Signed-rank test of each pair of experiments within a metric, zeros dropped: n, w, z, p_raw, median_diff.
 
-    scores: metric, experiment, station_id, score (complete cases). The p value is the normal
-    approximation with tie correction; ranks and sums are Spark windows and aggregates, p is a
-    pandas function of the aggregated rows.
+    scores: metric, experiment, station_id, score (complete cases). The p value is exact up to
+    EXACT_PAIRS pairs without zeros or ties, else the normal approximation with tie correction; ranks
+    come from range partitions, sums are aggregates, p is a pandas function of the aggregated rows.
     """
     a = scores.select("metric", "station_id", F.col("experiment").alias("model_a"), F.col("score").alias("_a"))
     b = scores.select("metric", "station_id", F.col("experiment").alias("model_b"), F.col("score").alias("_b"))
     d = a.join(b, ["metric", "station_id"]).where("model_a < model_b").withColumn("_d", F.col("_a") - F.col("_b")).where("_d is not null")
     keys = ["metric", "model_a", "model_b"]
-    mid = d.groupBy(*keys).agg(F.median("_d").alias("median_diff"), F.count(F.lit(1)).alias("n_stations"))
-    x = d.where("_d <> 0").withColumn("_m", F.abs("_d"))
-    x = x.withColumns({"_r": average_rank("_m", keys), "_t": F.count(F.lit(1)).over(Window.partitionBy(*keys, "_m"))})
-    s = x.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("_d") > 0, F.col("_r")).otherwise(0.0)).alias("_p"), F.sum(F.when(F.col("_d") < 0, F.col("_r")).otherwise(0.0)).alias("_q"), F.sum(F.col("_t") * F.col("_t") - 1).alias("_ties"))
+    d = materialize(d.withColumn("_m", F.abs("_d")), "differences")
+    mid = quantiles(d, "_d", [0.5], keys).select(*keys, F.col("p50").alias("median_diff"), F.col("n").alias("n_stations"))
+    x = d.where("_d <> 0").groupBy(*keys, "_m").agg(F.count_if(F.col("_d") > 0).alias("_up"), F.count_if(F.col("_d") < 0).alias("_down"))
+    place = value_positions(d.where("_d <> 0"), "_m", keys)
+    t, r = F.col("_count"), F.col("_before") + (F.col("_count") + 1) / 2
+    x = x.join(place, [*keys, "_m"])
+    s = x.groupBy(*keys).agg(F.sum(t).alias("n"), F.sum(r * F.col("_up")).alias("_p"), F.sum(r * F.col("_down")).alias("_q"), F.sum(t * (t * t - 1)).alias("_ties"))
     w = F.least("_p", "_q")
     n = F.col("n").cast("double")
     se = F.sqrt((n * (n + 1) * (n * 2 + 1) - F.col("_ties") / 2) / 24)
-    s = s.select(*keys, "n", w.alias("w"), F.try_divide(w - n * (n + 1) / 4, se).alias("z"))
+    s = s.select(*keys, "n", w.alias("w"), F.try_divide(w - n * (n + 1) / 4, se).alias("z"), (F.col("_ties") > 0).alias("_tied"))
     out = mid.join(s, keys, "left")
 
     @F.pandas_udf("double")
-    def p_value(z: pd.Series) -> pd.Series:
-        return z.map(_normal_two_sided)
+    def p_value(n: pd.Series, w: pd.Series, z: pd.Series, exact: pd.Series) -> pd.Series:
+        return pd.Series([signed_rank_p(int(k), x) if e else _normal_two_sided(y) for k, x, y, e in zip(n, w, z, exact, strict=True)], dtype="float64")
 
-    return out.withColumn("p_raw", p_value("z"))
+    exact = F.coalesce((F.col("n") <= EXACT_PAIRS) & (F.col("n") == F.col("n_stations")) & ~F.col("_tied"), F.lit(False))
+    return out.withColumn("p_raw", p_value("n", "w", "z", exact)).drop("_tied")
 
 
 def friedman(scores: DataFrame, n_experiments: int) -> DataFrame:
@@ -187,7 +206,8 @@ def p_matrix(pairs: DataFrame, experiments: list[str], p: str = "p_holm") -> Dat
 
 def clip_limit(scores: DataFrame, value: str, prob: float = 0.99) -> DataFrame:
     """Limit of an axis: quantile of absolute values."""
-    return scores.agg(F.percentile(F.abs(value), F.lit(prob)).alias("clip_limit"))
+    q = quantiles(scores.select(F.abs(value).alias("_v")), "_v", [prob])
+    return q.select(F.col(q.columns[-1]).alias("clip_limit"))
 
 
 def hydrograph(pred: DataFrame, start: str, end: str) -> DataFrame:

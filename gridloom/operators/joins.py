@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.operators.windows import value_positions
+
 #: Most products that become columns.
 MAX_PRODUCTS = 1000
 
@@ -83,8 +85,12 @@ def nearest_index(value: Column, origin: float, step: float, size: int | Column)
 
 def nearest_on_axis(points: DataFrame, column: str, axis: DataFrame, out: str, width: float) -> DataFrame:
     """J5 for irregular axes (idx, coord): half-open intervals between midpoints, met through buckets of ``width``."""
-    w = Window.orderBy("coord")  # an axis, not the cells
-    lo, hi = (F.col("coord") + F.lag("coord").over(w)) / 2, (F.col("coord") + F.lead("coord").over(w)) / 2
+    place = value_positions(axis.select("coord", "idx"), "coord", [])
+    order = axis.join(place.select("coord", F.col("_before").alias("_i")), "coord")
+    after = order.select((F.col("_i") - 1).alias("_i"), F.col("coord").alias("_next"))
+    before = order.select((F.col("_i") + 1).alias("_i"), F.col("coord").alias("_last"))
+    axis = order.join(after, "_i", "left").join(before, "_i", "left")
+    lo, hi = (F.col("coord") + F.col("_last")) / 2, (F.col("coord") + F.col("_next")) / 2
     span = points.agg(F.min(column).alias("_a"), F.max(column).alias("_z"))
     cells = axis.withColumns({"_lo": lo, "_hi": hi}).join(F.broadcast(span))
     first, last = F.greatest(F.coalesce("_lo", "_a"), F.col("_a")), F.least(F.coalesce("_hi", "_z"), F.col("_z"))

@@ -15,10 +15,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.operators.aggregates import ensemble
-from gridloom.operators.evaluation import pearson
+from gridloom.operators.evaluation import moments, pearson
 from gridloom.operators.ordering import sample_rows, top_n
-from gridloom.operators.windows import average_rank
-from gridloom.sources.shared import shared_dir
+from gridloom.operators.windows import value_positions
+from gridloom.sources.shared import materialize, shared_dir
 
 
 def assembler(numeric: list[str], categorical: list[str]) -> Pipeline:
@@ -52,7 +52,7 @@ def fit_member(rows: DataFrame, target: str, seed: int, rounds: int = 20, depth:
 def temporal_ensemble(matrix: DataFrame, target: str, numeric: list[str], categorical: list[str], seeds: list[int], keys: list[str], **options) -> tuple[DataFrame, list[dict]]:
     """M1 and M4: (keys, seed, obs, sim) on the test split, and a log row per seed; one preparation for all seeds."""
     rows, _ = prepare(matrix, numeric, categorical)
-    rows = rows.persist()
+    rows = materialize(rows, "prepared")
     known = rows.where(F.col(target).isNotNull())
     out, log = None, []
     for seed in seeds:
@@ -77,7 +77,7 @@ def grouped_cv(matrix: DataFrame, target: str, numeric: list[str], categorical:
     """
     spark = matrix.sparkSession
     rows, _ = prepare(matrix, numeric, categorical)
-    rows = rows.where(F.col(target).isNotNull()).persist()
+    rows = materialize(rows.where(F.col(target).isNotNull()), "prepared")
     parts, log = None, []
     for r in range(k):
         test, val = rows.where(F.col("fold") == r), rows.where(F.col("fold") == (r + 1) % k)
@@ -215,12 +215,16 @@ def attribution_summary(long: DataFrame, labels: DataFrame | None = None) -> Dat
 
 
 def value_response(long: DataFrame, categorical: list[str]) -> DataFrame:
-    """Spearman correlation of value and contribution; null for categories, under 3 rows and constants."""
-    known = long.where(F.col("value").isNotNull() & F.col("contribution").isNotNull())
-    r = known.withColumns({"_v": average_rank("value", ["feature"]), "_c": average_rank("contribution", ["feature"])})
-    v, c = F.col("_v"), F.col("_c")
-    m = r.groupBy("feature").agg(F.count(F.lit(1)).alias("n"), F.sum(v).alias("a"), F.sum(c).alias("b"), F.sum(v * v).alias("aa"), F.sum(c * c).alias("bb"), F.sum(v * c).alias("ab"))
-    rho = pearson(*[F.col(x) for x in ("n", "a", "b", "aa", "bb", "ab")])
+    """Spearman correlation of value and contribution; null for categories, under 3 rows and constants.
+
+    Ranks come from range partitions; a feature's rows are never sorted in one task.
+    """
+    known = long.where(F.col("value").isNotNull() & F.col("contribution").isNotNull()).select("feature", "value", "contribution")
+    for c in ("value", "contribution"):
+        place = value_positions(known, c, ["feature"])
+        known = known.join(place.select("feature", c, (F.col("_before") + (F.col("_count") + 1) / 2).alias(f"_r_{c}")), ["feature", c])
+    m = known.groupBy("feature").agg(*[c.alias(k) for k, c in moments("_r_value", "_r_contribution").items()])
+    rho = pearson(F.col("vo"), F.col("vs"), F.col("co"))
     return m.select("feature", "n", F.when(~F.col("feature").isin(categorical or [""]) & (F.col("n") >= 3), rho).alias("spearman"))
 
 

@@ -27,8 +27,8 @@ def worst_of(df: DataFrame, group: str, by: str, name: str) -> DataFrame:
 
 
 def sample_rows(df: DataFrame, row_id: str, n: int, seed: int) -> DataFrame:
-    """K5: n rows without replacement, the same for the same seed."""
-    return df.orderBy(F.xxhash64(F.col(row_id), F.lit(seed)), row_id).limit(n)
+    """K5: n rows without replacement, the same for the same seed: those with the least digest of id and seed."""
+    return df.orderBy(F.md5(F.concat_ws("/", F.col(row_id).cast("string"), F.lit(str(seed)))), row_id).limit(n)
 
 
 def first_stations(df: DataFrame, n: int, key: str = "station_id") -> DataFrame:

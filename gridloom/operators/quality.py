@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.functions.scalar import feature_group, month_end, null_count
+from gridloom.functions.scalar import group_name, month_end, null_count
 
 OUTCOMES = ["home", "rescued", "nearest_global", "no_valid", "dropped"]
 
@@ -29,23 +29,27 @@ def flagged(provenance: DataFrame) -> DataFrame:
     return provenance.where("outcome <> 'home'").orderBy("dataset", "station_id")
 
 
-def _long(store: DataFrame, keys: list[str]) -> DataFrame:
-    values = [c for c in store.columns if c not in keys]
-    rows = F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).isNull().alias("missing")) for c in values])
-    return store.select(*keys, F.inline(rows)).withColumn("dataset", feature_group(F.col("column")))
+def _by_dataset(columns: list[str]) -> dict[str, list[str]]:
+    found: dict[str, list[str]] = {}
+    for c in columns:
+        found.setdefault(group_name(c), []).append(c)
+    return found
 
 
 def static_completeness(store: DataFrame, key: str = "station_id") -> DataFrame:
     """Q3: per dataset: variables, affected stations, all-missing stations, missing percent, worst variable.
 
-    Nulls are counted per column first (one row per station and dataset, then per dataset).
+    One aggregation over the rows as they are; only its single row is turned into one per dataset.
     """
-    long = _long(store, [key])
-    st = long.groupBy("dataset", key).agg(F.count_if("missing").alias("m"), F.count(F.lit(1)).alias("v"))
-    a = st.groupBy("dataset").agg(F.max("v").alias("n_variables"), F.count_if(F.col("m") > 0).alias("n_affected"), F.count_if(F.col("m") == F.col("v")).alias("n_all_missing"), (F.sum("m") * 100.0 / F.sum("v")).alias("pct_missing"))
-    c = long.groupBy("dataset", "column").agg(F.count_if("missing").alias("m"))
-    worst = c.groupBy("dataset").agg(F.min_by("column", F.struct(-F.col("m"), "column")).alias("worst"))
-    return a.join(worst, "dataset")
+    sets = _by_dataset([c for c in store.columns if c != key])
+    if not sets:
+        return store.sparkSession.createDataFrame([], "dataset string, n_variables int, n_affected long, n_all_missing long, pct_missing double, worst string")
+    aggs = []
+    for d, cols in sets.items():
+        n = null_count(cols)
+        worst = F.array_min(F.array(*[F.struct((-F.count_if(F.col(c).isNull())).alias("m"), F.lit(c).alias("c")) for c in cols]))
+        aggs.append(F.struct(F.lit(d).alias("dataset"), F.lit(len(cols)).alias("n_variables"), F.count_if(n > 0).alias("n_affected"), F.count_if(n == len(cols)).alias("n_all_missing"), F.try_divide(F.sum(n) * 100.0, F.count(F.lit(1)) * len(cols)).alias("pct_missing"), worst["c"].alias("worst")))
+    return store.agg(F.array(*aggs).alias("a"), F.count(F.lit(1)).alias("n")).where("n > 0").select(F.inline("a"))
 
 
 def dynamic_completeness(store: DataFrame, coverage: DataFrame, key: str = "station_id", time: str = "time", skip: list[str] | None = None) -> DataFrame:
@@ -53,11 +57,17 @@ def dynamic_completeness(store: DataFrame, coverage: DataFrame, key: str = "stat
 
     A station is all-missing when any one column is null throughout, affected when any value is null.
     """
-    long = _long(store.drop(*(skip or [])), [key, time])
-    inside = long.join(coverage, "dataset").where((F.col(time) >= F.col("first")) & (F.col(time) <= month_end(F.col("last"))))
-    col = inside.groupBy("dataset", key, "column").agg(F.count_if("missing").alias("m"), F.count(F.lit(1)).alias("n"))
-    st = col.groupBy("dataset", key).agg(F.max((F.col("m") == F.col("n")).cast("int")).alias("gone"), F.sum("m").alias("m"), F.sum("n").alias("n"))
-    return st.groupBy("dataset").agg(F.count_if(F.col("m") > 0).alias("n_affected"), F.count_if(F.col("gone") == 1).alias("n_all_missing"), (F.sum("m") * 100.0 / F.sum("n")).alias("pct_missing"))
+    sets = _by_dataset([c for c in store.columns if c not in (key, time, *(skip or []))])
+    spans = coverage.groupBy().agg(*[f(F.when(F.col("dataset") == d, F.col(c))).alias(f"_{c}_{i}") for i, d in enumerate(sets) for f, c in ((F.min, "first"), (F.max, "last"))])
+    df = store.join(F.broadcast(spans))  # one row
+    per = []
+    for i, (d, cols) in enumerate(sets.items()):
+        inside = (F.col(time) >= F.col(f"_first_{i}")) & (F.col(time) <= month_end(F.col(f"_last_{i}")))
+        n = F.count_if(inside)
+        m = [F.count_if(inside & F.col(c).isNull()) for c in cols]
+        per.append(F.struct(F.lit(d).alias("dataset"), (n * len(cols)).alias("n"), sum(m[1:], m[0]).alias("m"), (F.greatest(*m, F.lit(0)) == n).alias("gone")))
+    st = df.groupBy(key).agg(F.array(*per).alias("a")).select(F.inline("a")).where("n > 0")
+    return st.groupBy("dataset").agg(F.count_if(F.col("m") > 0).alias("n_affected"), F.count_if("gone").alias("n_all_missing"), (F.sum("m") * 100.0 / F.sum("n")).alias("pct_missing"))
 
 
 def qc_table(completeness: DataFrame, summary: DataFrame, config: DataFrame) -> DataFrame:
@@ -75,9 +85,10 @@ def loss_reasons(stations: DataFrame, without_cell: DataFrame, incomplete: DataF
 
 
 def feature_nulls(store: DataFrame, key: str = "station_id") -> DataFrame:
-    """Q7: nulls per feature with its dataset and variable."""
-    n = _long(store, [key]).groupBy("dataset", "column").agg(F.count_if("missing").alias("n_null"), F.count(F.lit(1)).alias("n_rows"))
-    return n.withColumn("variable", F.element_at(F.split("column", "__"), -1)).orderBy(F.desc("n_null"), "column")
+    """Q7: nulls per feature with its dataset and variable, from one aggregation."""
+    cols = [c for c in store.columns if c != key]
+    aggs = [F.struct(F.lit(group_name(c)).alias("dataset"), F.lit(c).alias("column"), F.count_if(F.col(c).isNull()).alias("n_null"), F.count(F.lit(1)).alias("n_rows"), F.lit(c.split("__")[-1]).alias("variable")) for c in cols]
+    return store.agg(F.array(*aggs).alias("a")).select(F.inline("a")).where("n_rows > 0").orderBy(F.desc("n_null"), "column")
 
 
 def affected_datasets(nulls: DataFrame) -> DataFrame:

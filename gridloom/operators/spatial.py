@@ -91,13 +91,18 @@ def choose_cells(stations: DataFrame, valid: DataFrame, axes: Axes, radius_km: f
         open_ = open_.join(rescued.select(key), key, "left_anti")
     if on_no_valid == "nearest_global":
         size, ring = 16, 1
-        shortest = min(abs(axes.dlat) * KM_PER_DEGREE, abs(axes.dlon) * KM_PER_DEGREE * 0.1)
+
+        def clear(cells_away: int) -> Column:
+            """Km from a station within which no cell lies that is so many rows or columns away: along its meridian, or to another meridian at its latitude."""
+            turn = min(math.radians(cells_away * abs(axes.dlon)), math.pi / 2)
+            return F.least(F.lit(cells_away * abs(axes.dlat) * KM_PER_DEGREE), F.asin(F.cos(F.radians("lat")) * math.sin(turn)) * 6371.0088) * 0.9
+
         for _ in range(max_rounds):
             if open_.isEmpty():
                 break
             got = nearest(open_, tiles(size), size, ring, F.lit(True))
             everywhere = ring * size >= max(axes.n_lat, axes.n_lon)
-            sure = got if everywhere else got.where(F.col("dist_km") <= ring * size * shortest * 0.9)
+            sure = got if everywhere else got.join(open_.select(key, clear(ring * size).alias("_clear")), key).where("dist_km <= _clear")
             sure = materialize(sure.withColumn("outcome", F.lit("nearest_global")).select(*cols), "global")
             found.append(sure)
             open_ = open_.join(sure.select(key), key, "left_anti")

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gridloom.sources.shared import materialize
+
 
 def series(key: str = "station_id", time: str = "time"):
     return Window.partitionBy(key).orderBy(time)
@@ -67,11 +69,14 @@ def snap_months(df: DataFrame, key: str, time: str) -> DataFrame:
 
 
 def central_difference(column: str, line: str, position: str) -> Column:
-    """Half the difference of the neighbours, one-sided at an edge, null next to a null."""
+    """Half the difference of the neighbours, one-sided at an edge, null next to a null or without neighbours.
+
+    A neighbour is the row one position away; where the table has none, there is an edge.
+    """
     w = Window.partitionBy(line).orderBy(position)
+    has_before = F.coalesce(F.col(position) - F.lag(position).over(w) == 1, F.lit(False))
+    has_after = F.coalesce(F.lead(position).over(w) - F.col(position) == 1, F.lit(False))
     before, after = F.lag(column).over(w), F.lead(column).over(w)
-    # a neighbour that is missing in the table is an edge; one that is null is not
-    has_before, has_after = F.lag(F.lit(1)).over(w).isNotNull(), F.lead(F.lit(1)).over(w).isNotNull()
     return (
         F.when(has_before & has_after, (after - before) / 2)
         .when(has_after, after - F.col(column))
@@ -79,6 +84,26 @@ def central_difference(column: str, line: str, position: str) -> Column:
     )
 
 
+def value_positions(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
+    """(parts, column, _count, _before): rows with each value, and rows of the same parts with a smaller one.
+
+    Equal values are counted first; the distinct ones are dealt to range partitions, numbered within
+    each, and shifted by the sums of the partitions before, one row per partition and part. No task
+    holds more than its range, however few parts there are. Nulls come first.
+    """
+    counts = df.groupBy(*parts, column).agg(F.count(F.lit(1)).alias("_count"))
+    dealt = materialize(counts.repartitionByRange(*parts, column).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt.groupBy(*parts, "_range").agg(F.sum("_count").alias("_s"))
+    shift = sums.select(*[F.col(p).alias(f"_s_{p}") for p in parts], F.col("_range").alias("_s_range"), F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_shift"))
+    same = F.col("_range") == F.col("_s_range")
+    for p in parts:
+        same = same & F.col(p).eqNullSafe(F.col(f"_s_{p}"))
+    within = Window.partitionBy("_range", *parts).orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    placed = dealt.withColumn("_in", F.coalesce(F.sum("_count").over(within), F.lit(0))).join(shift, same)
+    return placed.select(*parts, column, "_count", (F.col("_in") + F.col("_shift")).alias("_before"))
+
+
 def empirical_cdf(column: str, parts: list[str], tie: str) -> Column:
     """Position / count in ascending order, ties in the order of ``tie``."""
     w = Window.partitionBy(*parts)
@@ -86,7 +111,8 @@ def empirical_cdf(column: str, parts: list[str], tie: str) -> Column:
 
 
 def stride_sample(df: DataFrame, keys: list[str], step: int, most: int) -> DataFrame:
-    """Every ``step``-th key in order, ``most`` at most; keys are table names, not rows of data."""
-    ranked = df.select(*keys).distinct().withColumn("_k", F.row_number().over(Window.orderBy(*keys)) - 1)
-    picked = ranked.where((F.col("_k") % step == 0) & (F.col("_k") < step * most)).drop("_k")
+    """Every ``step``-th key in order, ``most`` at most; null keys are left out."""
+    known = df.where(" and ".join(f"`{k}` is not null" for k in keys))
+    place = value_positions(known.select(F.struct(*keys).alias("_key")).distinct(), "_key", [])
+    picked = place.where((F.col("_before") % step == 0) & (F.col("_before") < step * most)).select("_key.*")
     return df.join(picked, keys, "left_semi")

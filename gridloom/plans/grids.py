@@ -67,9 +67,15 @@ def p7(t: Tables):
     return P.bbox(t.grid, 8.0, 54.9, 12.5, 55.3).select("cell_id", "value")
 
 
-@query("p9_wrap_longitude", sql="SELECT s_suppkey, CASE WHEN CAST(s_suppkey * 91 % 360 AS DOUBLE) >= 180 THEN CAST(s_suppkey * 91 % 360 AS DOUBLE) - 360 ELSE CAST(s_suppkey * 91 % 360 AS DOUBLE) END AS lon FROM supplier")
+@query("p9_wrap_longitude", sql="WITH x AS (SELECT s_suppkey, CAST(s_suppkey * 91 % 360 AS DOUBLE) AS lon FROM supplier), m AS (SELECT max(lon) AS top FROM x) SELECT s_suppkey, CASE WHEN top > 180 AND lon >= 180 THEN lon - 360 ELSE lon END AS lon FROM x CROSS JOIN m")
 def p9(t: Tables):
-    return t.read("supplier").select("s_suppkey", P.wrap_longitude((F.col("s_suppkey") * 91 % 360).cast("double")).alias("lon"))
+    return P.wrap_longitudes(t.read("supplier").select("s_suppkey", (F.col("s_suppkey") * 91 % 360).cast("double").alias("lon")))
+
+
+@query("p9_short_axis_stays", sql="SELECT s_suppkey, CAST(s_suppkey % 361 - 180 AS DOUBLE) AS lon FROM supplier")
+def p9_short(t: Tables):
+    # an axis from -180 to 180 stays as it is
+    return P.wrap_longitudes(t.read("supplier").select("s_suppkey", (F.col("s_suppkey") % 361 - 180).cast("double").alias("lon")))
 
 
 @query("p10_squeeze", sql="SELECT l_orderkey, l_partkey, l_suppkey, l_quantity FROM lineitem WHERE l_linenumber - 1 = 0")
@@ -148,6 +154,13 @@ SELECT h.station_id, CASE WHEN valid THEN y ELSE coalesce(b.lat_idx, g.lat_idx)
     return sql + f""" SELECT h.station_id, CASE WHEN valid THEN y ELSE b.lat_idx END AS lat_idx, CASE WHEN valid THEN x ELSE b.lon_idx END AS lon_idx, round(CASE WHEN valid THEN {_dist('y', 'x')} ELSE b.d END, 6) AS dist_km, CASE WHEN valid THEN 'home' WHEN b.d IS NOT NULL THEN 'rescued' ELSE {lost} END AS outcome, {'valid OR b.d IS NOT NULL' if policy == 'skip_well' else 'true'} AS keep FROM h LEFT JOIN b USING (station_id)"""
 
 
+def chosen_cte(radius: float, policy: str) -> str:
+    """The chosen cells, not rounded, as the table ch."""
+    sql = _sampled(radius, policy)
+    at = sql.rindex(" SELECT h.station_id, CASE WHEN valid")
+    return sql[:at] + ", ch AS (" + sql[at + 1 :].replace("round(CASE WHEN valid", "(CASE WHEN valid").replace(", 6) AS dist_km", ") AS dist_km") + ")"
+
+
 def _choose(t: Tables, radius: float, policy: str):
     got = G.choose_cells(t.station, t.grid.where("value is not null"), t.axes, radius, policy)
     return got.select("station_id", "lat_idx", "lon_idx", *r6("dist_km"), "outcome", "keep")
@@ -220,7 +233,10 @@ def g2(t: Tables):
     return G.rasterise(t.grid, _boxes(t)).select("cell_id", "poly_id")
 
 
-@query("g3_oversampled_mode", "grid", None)
+@query("g3_oversampled_mode", "grid", _BOX + """, fi AS (SELECT lat_idx * 5 + a AS r, lon_idx * 5 + b AS c, (55.5::DOUBLE + lat_idx * -0.025::DOUBLE) + ((a + 0.5::DOUBLE) / 5 - 0.5::DOUBLE) * -0.025::DOUBLE AS lat, (5.5::DOUBLE + lon_idx * 0.025::DOUBLE) + ((b + 0.5::DOUBLE) / 5 - 0.5::DOUBLE) * 0.025::DOUBLE AS lon FROM grid CROSS JOIN range(5) x(a) CROSS JOIN range(5) y(b)),
+pf AS (SELECT r, c, max(poly_id) AS p FROM fi JOIN box ON lon BETWEEN x0 AND x0 + 2 AND lat BETWEEN y0 AND y0 + 1.7::DOUBLE GROUP BY 1, 2),
+nn AS (SELECT r // 5 AS lat_idx, c // 5 AS lon_idx, p, row_number() OVER (PARTITION BY r // 5, c // 5 ORDER BY count(*) DESC, p) AS k FROM pf WHERE p <> 0 GROUP BY 1, 2, 3)
+SELECT g.lat_idx, g.lon_idx, CASE WHEN p <> 16 THEN p END AS poly_id FROM grid g LEFT JOIN nn ON nn.lat_idx = g.lat_idx AND nn.lon_idx = g.lon_idx AND k = 1""")
 def g3(t: Tables):
     fine = G.oversample(t.grid, t.axes, 5)
     on = G.rasterise(fine, _boxes(t))
@@ -303,7 +319,7 @@ def a9(t: Tables):
     return A.stations_per_zone(t.read("nation").select(F.col("n_nationkey").alias("zone_id")), st)
 
 
-@query("a10_depth_mean", sql="SELECT l_orderkey, round(sum(l_discount * 0.8537613::DOUBLE * l_quantity) / sum(l_quantity) / 10, 6) AS l_discount FROM lineitem GROUP BY 1")
+@query("a10_depth_mean", sql="SELECT l_orderkey, round(CASE WHEN count(l_discount * l_quantity) = count(*) THEN sum(l_discount * 0.8537613::DOUBLE * l_quantity) / sum(l_quantity) / 10 END, 6) AS l_discount FROM lineitem GROUP BY 1")
 def a10(t: Tables):
     return A.depth_mean(t.read("lineitem").withColumn("l_discount", F.col("l_discount") * UNIT), ["l_orderkey"], "l_discount", "l_quantity", 10.0).select("l_orderkey", *r6("l_discount"))
 
@@ -378,7 +394,11 @@ def a27(t: Tables):
     return A.raster_ratio(z, "n_cells", "cell_km2", "area_km2").select("zone_id", *r6("ratio"), "inside")
 
 
-@query("w11_central_difference", "grid", "SELECT cell_id, round(CASE WHEN lag(1) OVER w IS NOT NULL AND lead(1) OVER w IS NOT NULL THEN (lead(value) OVER w - lag(value) OVER w) / 2 WHEN lead(1) OVER w IS NOT NULL THEN lead(value) OVER w - value WHEN lag(1) OVER w IS NOT NULL THEN value - lag(value) OVER w END, 4) AS dz FROM grid WINDOW w AS (PARTITION BY lat_idx ORDER BY lon_idx)")
+#: Differences of the cells whose positions are one apart, met by position.
+_NEXT = "CASE WHEN {b}.cell_id IS NOT NULL AND {a}.cell_id IS NOT NULL THEN ({b}.{v} - {a}.{v}) / 2 WHEN {b}.cell_id IS NOT NULL THEN {b}.{v} - g.{v} WHEN {a}.cell_id IS NOT NULL THEN g.{v} - {a}.{v} END"
+
+
+@query("w11_central_difference", "grid", f"SELECT g.cell_id, round({_NEXT.format(a='a', b='b', v='value')}, 4) AS dz FROM grid g LEFT JOIN grid a ON a.lat_idx = g.lat_idx AND a.lon_idx = g.lon_idx - 1 LEFT JOIN grid b ON b.lat_idx = g.lat_idx AND b.lon_idx = g.lon_idx + 1")
 def w11(t: Tables):
     return t.grid.select("cell_id", F.round(W.central_difference("value", "lat_idx", "lon_idx"), 4).alias("dz"))
 
@@ -396,8 +416,8 @@ def _dem(t: Tables):
 _DEM = ", d AS (SELECT cell_id, lat_idx, lon_idx, lat, CAST(cell_id * 7919 % 1009 AS DOUBLE) AS dem, CAST(cell_id * 31 % 1100 AS DOUBLE) AS acc, CAST(1 << CAST(cell_id * 13 % 8 AS INTEGER) AS INTEGER) AS dir FROM grid)"
 
 
-@query("g5_terrain", "grid", _DEM + """, x AS (SELECT *, CASE WHEN lag(1) OVER r IS NOT NULL AND lead(1) OVER r IS NOT NULL THEN (lead(dem) OVER r - lag(dem) OVER r) / 2 WHEN lead(1) OVER r IS NOT NULL THEN lead(dem) OVER r - dem WHEN lag(1) OVER r IS NOT NULL THEN dem - lag(dem) OVER r END / (0.025::DOUBLE * 111320 * cos(radians(lat))) AS zx,
--CASE WHEN lag(1) OVER c IS NOT NULL AND lead(1) OVER c IS NOT NULL THEN (lead(dem) OVER c - lag(dem) OVER c) / 2 WHEN lead(1) OVER c IS NOT NULL THEN lead(dem) OVER c - dem WHEN lag(1) OVER c IS NOT NULL THEN dem - lag(dem) OVER c END / (0.025::DOUBLE * 111320) AS zy FROM d WINDOW r AS (PARTITION BY lat_idx ORDER BY lon_idx), c AS (PARTITION BY lon_idx ORDER BY lat_idx)),
+@query("g5_terrain", "grid", _DEM + f""", x AS (SELECT g.*, {_NEXT.format(a='a', b='b', v='dem')} / (0.025::DOUBLE * 111320 * cos(radians(g.lat))) AS zx, -{_NEXT.format(a='n', b='s', v='dem')} / (0.025::DOUBLE * 111320) AS zy FROM d g
+LEFT JOIN d a ON a.lat_idx = g.lat_idx AND a.lon_idx = g.lon_idx - 1 LEFT JOIN d b ON b.lat_idx = g.lat_idx AND b.lon_idx = g.lon_idx + 1 LEFT JOIN d n ON n.lon_idx = g.lon_idx AND n.lat_idx = g.lat_idx - 1 LEFT JOIN d s ON s.lon_idx = g.lon_idx AND s.lat_idx = g.lat_idx + 1),
 s AS (SELECT *, degrees(atan(sqrt(zx * zx + zy * zy))) AS slope FROM x)
 SELECT cell_id, round(slope, 6) AS slope, CASE WHEN slope >= 0.001 THEN round(((90 - degrees(atan2(-zy, -zx))) % 360 + 360) % 360, 4) END AS aspect, CASE WHEN acc > 0 THEN round(ln(acc * (0.025::DOUBLE * 111320 * 0.025::DOUBLE * 111320 * cos(radians(lat)) / 10000) / tan(radians(greatest(slope, 0.1)))), 6) END AS twi FROM s""")
 def g5(t: Tables):

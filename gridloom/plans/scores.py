@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gridloom.operators import aggregates as A
@@ -11,6 +12,7 @@ from gridloom.operators import features as E
 from gridloom.operators import joins as J
 from gridloom.operators import quality as Q
 from gridloom.operators import spatial as G
+from gridloom.plans.grids import chosen_cte
 from gridloom.plans.registry import query
 from gridloom.plans.series import r6
 from gridloom.plans.standins import EXPERIMENTS, SEEDS, Tables
@@ -20,10 +22,10 @@ from gridloom.sources.shared import materialize, shared_dir
 TEST = "2000-01-01"
 _CONS = ", cons AS (SELECT experiment, station_id, time, min(obs) AS obs, median(sim) AS sim FROM pred WHERE time >= DATE '2000-01-01' GROUP BY 1, 2, 3)"
 _MEANS = ", mn AS (SELECT station_id, avg(target) AS m FROM monthly WHERE time < DATE '2000-01-01' GROUP BY 1)"
-_MOM = _CONS + _MEANS + """, q AS (SELECT experiment, station_id, count(*) AS n, avg(obs) AS mo, avg(sim) AS ms, var_pop(obs) AS vo, var_pop(sim) AS vs, covar_pop(obs, sim) AS co, sum((sim - obs) * (sim - obs)) AS sse FROM cons GROUP BY 1, 2),
+_MOM = _CONS + _MEANS + """, q AS (SELECT experiment, station_id, count(*) AS n, avg(obs) AS mo, avg(sim) AS ms, CASE WHEN max(obs) > min(obs) THEN var_pop(obs) ELSE 0 END AS vo, CASE WHEN max(sim) > min(sim) THEN var_pop(sim) ELSE 0 END AS vs, covar_pop(obs, sim) AS co, sum((sim - obs) * (sim - obs)) AS sse FROM cons GROUP BY 1, 2),
 d AS (SELECT experiment, c.station_id, sum((obs - m) * (obs - m)) AS den FROM cons c JOIN mn USING (station_id) GROUP BY 1, 2),
-sc AS (SELECT q.experiment, q.station_id, n, 1 - sse / CASE WHEN den > 0 THEN den END AS nse, 1 - sse / CASE WHEN vo > 1e-3 THEN n * vo END AS nse_classic, co / CASE WHEN vo > 1e-3 AND vs > 1e-3 THEN sqrt(vo * vs) END AS r, CASE WHEN vo > 1e-3 THEN sqrt(vs) / sqrt(vo) END AS alpha, ms - mo AS bias, sqrt(sse / n) AS rmse, sse / n AS mse, mo, ms, vo FROM q LEFT JOIN d ON d.experiment = q.experiment AND d.station_id = q.station_id),
-k AS (SELECT *, 1 - sqrt(pow(r - 1, 2) + pow(alpha - 1, 2) + pow(ms / mo - 1, 2)) AS kge, 1 - sqrt(pow(r - 1, 2) + pow(alpha - 1, 2) + pow((ms - mo) / sqrt(CASE WHEN vo > 1e-3 THEN vo END), 2)) AS kge_a FROM sc)"""
+sc AS (SELECT q.experiment, q.station_id, n, 1 - sse / CASE WHEN den > 0 THEN den END AS nse, 1 - sse / CASE WHEN vo > 0 THEN n * vo END AS nse_classic, co / CASE WHEN vo > 0 AND vs > 0 THEN sqrt(vo * vs) END AS r, CASE WHEN vo > 0 THEN sqrt(vs) / sqrt(vo) END AS alpha, ms - mo AS bias, sqrt(sse / n) AS rmse, sse / n AS mse, mo, ms, vo FROM q LEFT JOIN d ON d.experiment = q.experiment AND d.station_id = q.station_id),
+k AS (SELECT *, 1 - sqrt(pow(r - 1, 2) + pow(alpha - 1, 2) + pow(ms / mo - 1, 2)) AS kge, 1 - sqrt(pow(r - 1, 2) + pow(alpha - 1, 2) + pow((ms - mo) / sqrt(CASE WHEN vo > 0 THEN vo END), 2)) AS kge_a FROM sc)"""
 
 
 def _cons(t: Tables):
@@ -55,10 +57,10 @@ def r2(t: Tables):
     return _scores(t).select("experiment", "station_id", "n", *[F.round(m, 4).alias(m) for m in _ALL])
 
 
-@query("r3_safe_pearson", "monthly", "SELECT station_id, round(CASE WHEN var_pop(flux) > 1e-3 AND var_pop(target) > 1e-3 THEN corr(flux, target) END, 5) AS r FROM monthly GROUP BY 1 HAVING count(*) > 2")
+@query("r3_safe_pearson", "monthly", "SELECT station_id, round(CASE WHEN max(flux) > min(flux) AND max(target) > min(target) THEN corr(flux, target) END, 5) AS r FROM monthly GROUP BY 1 HAVING count(*) > 2")
 def r3(t: Tables):
     m = t.monthly.groupBy("station_id").agg(*[c.alias(k) for k, c in R.moments("flux", "target").items()]).where("n > 2")
-    return m.select("station_id", F.round(R.pearson(*[F.col(c) for c in ("n", "so", "ss", "soo", "sss", "sos")]), 5).alias("r"))
+    return m.select("station_id", F.round(R.pearson(F.col("vo"), F.col("vs"), F.col("co")), 5).alias("r"))
 
 
 @query("r4_pair_filtering", "monthly", ", p AS (SELECT station_id, CASE WHEN month(time) <> 3 THEN target END AS obs, CASE WHEN month(time) <> 7 THEN flux END AS sim FROM monthly), q AS (SELECT station_id, count(*) AS n, avg(sim - obs) AS bias, sqrt(avg((sim - obs) * (sim - obs))) AS rmse FROM p WHERE obs IS NOT NULL AND sim IS NOT NULL GROUP BY 1 HAVING count(*) >= 2) SELECT station_id, n, round(bias, 4) AS bias, round(rmse, 3) AS rmse FROM q")
@@ -145,23 +147,40 @@ _WX = _MOM + """, s AS (SELECT experiment, station_id, 'nse' AS metric, round(ns
 ok AS (SELECT metric, station_id FROM s WHERE score IS NOT NULL GROUP BY 1, 2 HAVING count(*) = 3), c AS (SELECT s.* FROM s JOIN ok USING (metric, station_id))"""
 
 
-@query("r7_wilcoxon", "pred", _WX + """, p AS (SELECT a.metric, a.experiment AS model_a, b.experiment AS model_b, a.score - b.score AS d FROM c a JOIN c b ON a.metric = b.metric AND a.station_id = b.station_id AND a.experiment < b.experiment),
-x AS (SELECT *, rank() OVER (PARTITION BY metric, model_a, model_b ORDER BY abs(d)) + (count(*) OVER (PARTITION BY metric, model_a, model_b, abs(d)) - 1) / 2.0 AS r FROM p WHERE d <> 0)
-SELECT p.metric, p.model_a, p.model_b, round(median(p.d), 4) AS median_diff, count(*) AS n_stations, max(w) AS w FROM p LEFT JOIN (SELECT metric, model_a, model_b, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w FROM x GROUP BY 1, 2, 3) y ON y.metric = p.metric AND y.model_a = p.model_a AND y.model_b = p.model_b GROUP BY 1, 2, 3""")
+_PAIR = "metric, model_a, model_b"
+#: Signed ranks and z of each pair; p from the error function's series, or from the ranks' subset sums.
+_SIGNED = _WX + f""", pr AS (SELECT a.metric, a.experiment AS model_a, b.experiment AS model_b, a.score - b.score AS d FROM c a JOIN c b ON a.metric = b.metric AND a.station_id = b.station_id AND a.experiment < b.experiment),
+nz AS (SELECT *, rank() OVER (PARTITION BY {_PAIR} ORDER BY abs(d)) + (count(*) OVER (PARTITION BY {_PAIR}, abs(d)) - 1) / 2.0 AS r, count(*) OVER (PARTITION BY {_PAIR}, abs(d)) AS t FROM pr WHERE d <> 0),
+sg AS (SELECT {_PAIR}, count(*) AS n, CAST(least(sum(CASE WHEN d > 0 THEN r ELSE 0 END), sum(CASE WHEN d < 0 THEN r ELSE 0 END)) AS DOUBLE) AS w, sum(t * t - 1) AS ties FROM nz GROUP BY ALL),
+md AS (SELECT {_PAIR}, median(d) AS median_diff, count(*) AS n_stations FROM pr GROUP BY ALL),
+zs AS (SELECT md.*, sg.n, sg.w, ties, (w - n * (n + 1) / 4.0::DOUBLE) / sqrt((n * (n + 1) * (2 * n + 1) - ties / 2.0::DOUBLE) / 24) AS z FROM md LEFT JOIN sg USING ({_PAIR})),
+er({_PAIR}, i, x, t, s) AS (SELECT {_PAIR}, 0, abs(z) / sqrt(2), abs(z) / sqrt(2), abs(z) / sqrt(2) FROM zs WHERE z IS NOT NULL UNION ALL SELECT {_PAIR}, i + 1, x, t * 2 * x * x / (2 * i + 3), s + t * 2 * x * x / (2 * i + 3) FROM er WHERE i < 400),
+ex({_PAIR}, n, w, k, d) AS (SELECT {_PAIR}, n, w, 0, list_transform(range(CAST(n * (n + 1) // 2 + 1 AS BIGINT)), lambda i: CASE WHEN i = 0 THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END) FROM zs WHERE n <= 50 AND ties = 0 AND n = n_stations UNION ALL SELECT {_PAIR}, n, w, k + 1, list_transform(range(len(d)), lambda i: d[i + 1] + CASE WHEN i > k THEN d[i - k] ELSE 0.0::DOUBLE END) FROM ex WHERE k < n),
+pv AS (SELECT zs.*, CASE WHEN ex.d IS NOT NULL THEN least(1.0::DOUBLE, 2 * list_sum(ex.d[1 : CAST(floor(ex.w) AS BIGINT) + 1]) / pow(2, ex.n)) WHEN er.s IS NOT NULL THEN greatest(0.0::DOUBLE, 1 - 2 / sqrt(pi()) * exp(-er.x * er.x) * er.s) END AS p FROM zs LEFT JOIN er ON er.i = 400 AND er.metric = zs.metric AND er.model_a = zs.model_a AND er.model_b = zs.model_b LEFT JOIN ex ON ex.k = ex.n AND ex.metric = zs.metric AND ex.model_a = zs.model_a AND ex.model_b = zs.model_b)"""
+
+
+@query("r7_wilcoxon", "pred", _SIGNED + f" SELECT {_PAIR}, round(median_diff, 4) AS median_diff, n_stations, n, w, round(z, 6) AS z, round(p, 6) AS p_raw FROM pv")
 def r7(t: Tables):
-    return R.wilcoxon(_complete(t)).select("metric", "model_a", "model_b", F.round("median_diff", 4).alias("median_diff"), "n_stations", "w")
+    return R.wilcoxon(_complete(t)).select("metric", "model_a", "model_b", F.round("median_diff", 4).alias("median_diff"), "n_stations", "n", "w", F.round("z", 6).alias("z"), F.round("p_raw", 6).alias("p_raw"))
+
 
+_FRIEDMAN = """, fr AS (SELECT metric, experiment, rank() OVER (PARTITION BY metric, station_id ORDER BY score) + (count(*) OVER (PARTITION BY metric, station_id, score) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, station_id, score) AS t FROM c),
+fg AS (SELECT metric, experiment, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM fr GROUP BY 1, 2),
+f AS (SELECT metric, max(n) AS n_stations, (12.0::DOUBLE / (max(n) * 3 * 4) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(ties) / (max(n) * 24.0::DOUBLE)) AS chi2 FROM fg GROUP BY 1)"""
 
-@query("r8_friedman", "pred", _WX + """, r AS (SELECT metric, experiment, rank() OVER (PARTITION BY metric, station_id ORDER BY score) + (count(*) OVER (PARTITION BY metric, station_id, score) - 1) / 2.0::DOUBLE AS r, count(*) OVER (PARTITION BY metric, station_id, score) AS t FROM c),
-g AS (SELECT metric, experiment, sum(r) AS s, count(*) AS n, sum(t * t - 1) AS ties FROM r GROUP BY 1, 2)
-SELECT metric, max(n) AS n_stations, round((12.0::DOUBLE / (max(n) * 3 * 4) * sum(s * s) - 3 * max(n) * 4) / (1 - sum(ties) / (max(n) * 24.0::DOUBLE)), 6) AS chi2 FROM g GROUP BY 1""")
+
+@query("r8_friedman", "pred", _WX + _FRIEDMAN + " SELECT metric, n_stations, round(chi2, 6) AS chi2, round(CASE WHEN chi2 > 0 THEN exp(-chi2 / 2) ELSE 1 END, 8) AS p FROM f")
 def r8(t: Tables):
-    return R.friedman(_complete(t), 3).select("metric", "n_stations", F.round("chi2", 6).alias("chi2"))
+    return R.friedman(_complete(t), 3).select("metric", "n_stations", F.round("chi2", 6).alias("chi2"), F.round("p", 8).alias("p"))
+
 
+_HOLM = _SIGNED + _FRIEDMAN + f""", hr AS (SELECT *, row_number() OVER (PARTITION BY metric ORDER BY round(coalesce(p, 1), 12), model_a, model_b) AS k, count(*) OVER (PARTITION BY metric) AS m FROM pv),
+hp AS (SELECT *, max(least((m - k + 1) * coalesce(p, 1), 1)) OVER (PARTITION BY metric ORDER BY k ROWS UNBOUNDED PRECEDING) AS p_holm FROM hr)"""
 
-@query("r9_significance", "pred", None)
+
+@query("r9_significance", "pred", _HOLM + f" SELECT hp.metric, model_a, model_b, round(p, 6) AS p_raw, round(p_holm, 6) AS p_holm, round(CASE WHEN chi2 > 0 THEN exp(-chi2 / 2) ELSE 1 END, 8) AS friedman_p, p_holm < 0.05 AS sig_5pct FROM hp LEFT JOIN f ON f.metric = hp.metric")
 def r9(t: Tables):
-    return R.significance(_complete(t), 3)
+    return R.significance(_complete(t), 3).select("metric", "model_a", "model_b", F.round("p_raw", 6).alias("p_raw"), F.round("p_holm", 6).alias("p_holm"), F.round("friedman_p", 8).alias("friedman_p"), "sig_5pct")
 
 
 @query("r10_box_statistics", "pred", _sql_scores("rmse") + ", qu AS (SELECT experiment, quantile_cont(score, 0.25) AS a, quantile_cont(score, 0.5) AS b, quantile_cont(score, 0.75) AS c FROM s GROUP BY 1) SELECT experiment, round(a, 4) AS p25, round(b, 4) AS p50, round(c, 4) AS p75, round(min(score) FILTER (WHERE score >= a - 1.5 * (c - a)), 4) AS low, round(max(score) FILTER (WHERE score <= c + 1.5 * (c - a)), 4) AS high FROM s JOIN qu USING (experiment) GROUP BY 1, a, b, c")
@@ -175,9 +194,9 @@ def r10_cdf(t: Tables):
     return R.cdf_table(_long(t, ["rmse"]), ["experiment"]).select("experiment", "station_id", F.round("cdf", 9).alias("cdf"))
 
 
-@query("r10_p_matrix", "pred", None)
+@query("r10_p_matrix", "pred", _HOLM + ", bo AS (SELECT metric, model_a AS model, model_b AS other, p_holm FROM hp UNION ALL SELECT metric, model_b, model_a, p_holm FROM hp) SELECT metric, model, " + ", ".join(f"round(max(p_holm) FILTER (WHERE other = '{e}'), 6) AS {e}" for e in EXPERIMENTS) + " FROM bo GROUP BY 1, 2")
 def r10_matrix(t: Tables):
-    return R.p_matrix(R.significance(_complete(t), 3), list(EXPERIMENTS))
+    return R.p_matrix(R.significance(_complete(t), 3), list(EXPERIMENTS)).select("metric", "model", *r6(*EXPERIMENTS))
 
 
 @query("r10_clip_limit", "pred", _sql_scores("bias") + " SELECT round(quantile_cont(abs(score), 0.99), 4) AS clip_limit FROM s")
@@ -185,12 +204,12 @@ def r10_clip(t: Tables):
     return R.clip_limit(_long(t, ["bias"]), "score").select(F.round("clip_limit", 4).alias("clip_limit"))
 
 
-@query("r11_comparison_report", "pred", None)
+@query("r11_comparison_report", "pred", _HOLM + " SELECT s.metric, s.experiment, round(min(score), 6) AS v_min, round(median(score), 6) AS v_median, round(avg(score), 5) AS v_mean, round(max(score), 6) AS v_max, count(score) AS n, round(max(least_p), 6) AS least_p FROM c s LEFT JOIN (SELECT metric, model_a, min(p_holm) AS least_p FROM hp GROUP BY 1, 2) l ON l.metric = s.metric AND l.model_a = s.experiment GROUP BY 1, 2")
 def r11(t: Tables):
     s = _complete(t)
     summary = A.score_summary(s, ["metric", "experiment"])
     best = R.significance(s, 3).groupBy("metric", F.col("model_a").alias("experiment")).agg(F.min("p_holm").alias("least_p"))
-    return summary.join(best, ["metric", "experiment"], "left")
+    return summary.join(best, ["metric", "experiment"], "left").select("metric", "experiment", *r6("v_min", "v_median"), F.round("v_mean", 5).alias("v_mean"), *r6("v_max"), "n", *r6("least_p"))
 
 
 @query("r12_hydrograph", "pred", "SELECT station_id, time, round(min(obs), 6) AS obs, round(median(sim), 6) AS sim FROM pred WHERE experiment = 'm17' AND time BETWEEN DATE '2000-03-01' AND DATE '2001-03-01' GROUP BY 1, 2")
@@ -242,7 +261,13 @@ def j12(t: Tables):
     return J.merge_on_axes([a, b], k)
 
 
-@query("j16_rule_lookup", sql=None)
+_RULED = """WITH n AS (SELECT lower(p_type) || '__' || replace(p_name, ' ', '_') AS c, min(p_partkey) AS position FROM part GROUP BY 1),
+ru AS (SELECT DISTINCT 0 AS r, 'exact' AS match_type, lower(p_type) || '__' || replace(p_name, ' ', '_') AS k FROM part WHERE p_partkey % 5 = 0 UNION SELECT DISTINCT 1, 'base', lower(p_type) || '__' || split_part(p_name, ' ', 1) FROM part WHERE p_partkey % 7 = 0 UNION SELECT DISTINCT 2, 'prefix', substr(lower(p_type), 1, 3) FROM part),
+fi AS (SELECT c, match_type, k, row_number() OVER (PARTITION BY c ORDER BY r, -length(k)) AS i FROM n JOIN ru ON (r = 0 AND c = k) OR (r = 1 AND starts_with(c, k || '_')) OR (r = 2 AND starts_with(c, k))),
+na AS (SELECT n.c AS "column", n.position, match_type, k AS "key", match_type AS label FROM n LEFT JOIN fi ON fi.c = n.c AND i = 1)"""
+
+
+@query("j16_rule_lookup", sql=_RULED + ' SELECT "column", match_type, "key", label FROM na')
 def j16(t: Tables):
     return J.rule_lookup(_headers(t).select("column").distinct(), _rules(t))
 
@@ -282,10 +307,10 @@ def u1(t: Tables):
     return J.union_slices([a, b], ["k"])
 
 
-@query("u2_stack_layers", sql="SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_linenumber - 1 AS DOUBLE) AS depth FROM lineitem WHERE l_linenumber <= 3")
+@query("u2_stack_layers", sql="SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_linenumber - 1 AS DOUBLE) AS depth FROM lineitem")
 def u2(t: Tables):
     li = t.read("lineitem").select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber")
-    return J.stack_layers({float(d): li.where(F.col("l_linenumber") == d + 1) for d in range(3)})
+    return J.stack_layers({float(d): li.where(F.col("l_linenumber") == d + 1) for d in range(7)})
 
 
 @query("u2_stack_all_layers", sql="SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, CAST(l_linenumber - 1 AS DOUBLE) AS depth FROM lineitem")
@@ -323,44 +348,32 @@ def _experiments(t: Tables):
 def _tokens(t: Tables):
     n, c = t.read("nation"), t.read("customer")
     group = n.select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment"), F.lit("include_group").alias("op"), F.concat(F.lit("g"), (F.col("n_nationkey") % 7).cast("string")).alias("token"))
-    drop = c.where("c_custkey % 10 = 0").select(F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("experiment"), F.lit("exclude_feature").alias("op"), F.concat(F.lit("f"), (F.col("c_custkey") % 200).cast("string")).alias("token"))
+    # every customer's key is a feature that its nation excludes
+    drop = c.select(F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("experiment"), F.lit("exclude_feature").alias("op"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("token"))
     return group.unionByName(drop.distinct())
 
 
 def _meta(t: Tables):
-    return _all_meta(t).where("position < 200")
-
-
-def _all_meta(t: Tables):
     return t.read("part").select(F.concat(F.lit("f"), F.col("p_partkey").cast("string")).alias("feature"), F.concat(F.lit("g"), (F.col("p_size") % 7).cast("string")).alias("group"), F.col("p_partkey").alias("position"), F.date_add(F.lit("2020-01-01").cast("date"), F.col("p_size")).alias("time_end"))
 
 
-def _all_tokens(t: Tables):
-    """The groups of _tokens, and every customer's key as a feature its nation excludes."""
-    drop = t.read("customer").select(F.concat(F.lit("e"), F.col("c_nationkey").cast("string")).alias("experiment"), F.lit("exclude_feature").alias("op"), F.concat(F.lit("f"), F.col("c_custkey").cast("string")).alias("token"))
-    return _tokens(t).where("op = 'include_group'").unionByName(drop.distinct())
-
-
 _RES = """WITH RECURSIVE e AS (SELECT n_nationkey AS k, CASE WHEN n_nationkey >= 5 THEN n_nationkey - 5 END AS b FROM nation),
 ch(k, a, d) AS (SELECT k, k, 0 FROM e UNION ALL SELECT ch.k, e.b, d + 1 FROM ch JOIN e ON e.k = ch.a WHERE e.b IS NOT NULL),
-m AS (SELECT p_partkey AS f, p_size % 7 AS g, p_size FROM part WHERE p_partkey < 200),
-nm AS (SELECT k AS a, f, 0 AS o FROM e JOIN m ON m.g = k % 7 UNION ALL SELECT DISTINCT c_nationkey, c_custkey % 200, 1 FROM customer WHERE c_custkey % 10 = 0),
+m AS (SELECT p_partkey AS f, p_size % 7 AS g, p_size FROM part),
+nm AS (SELECT k AS a, f, 0 AS o FROM e JOIN m ON m.g = k % 7 UNION ALL SELECT DISTINCT c_nationkey, c_custkey, 1 FROM customer),
 n1 AS (SELECT a, f, max(o) AS o FROM nm GROUP BY 1, 2),
 l AS (SELECT ch.k, n1.f, min_by(n1.o, d) AS o FROM ch JOIN n1 ON n1.a = ch.a GROUP BY 1, 2),
 res AS (SELECT 'e' || l.k AS experiment, 'f' || l.f AS feature, l.f AS position, m.p_size FROM l JOIN m ON m.f = l.f WHERE l.o = 0)"""
 
 
-_RES_ALL = _RES.replace(" WHERE p_partkey < 200", "").replace("c_custkey % 200, 1 FROM customer WHERE c_custkey % 10 = 0", "c_custkey, 1 FROM customer")
-
-
 @query("u3_resolve_features", sql=_RES + " SELECT experiment, feature, position FROM res")
 def u3(t: Tables):
     return X.resolve_features(_experiments(t), _tokens(t), _meta(t))
 
 
-@query("u3_resolve_all_features", sql=_RES_ALL + " SELECT experiment, feature, position FROM res")
+@query("u3_resolve_all_features", sql=_RES + " SELECT experiment, feature, position FROM res")
 def u3_all(t: Tables):
-    return X.resolve_features(_experiments(t), _all_tokens(t), _all_meta(t))
+    return u3(t)
 
 
 _HULL = " SELECT 'e' || k AS experiment, DATE '2020-01-05' AS time_end, n.natural_end, CASE WHEN n.natural_end IS NULL THEN 'no end' WHEN DATE '2020-01-05' < n.natural_end THEN 'cap' WHEN DATE '2020-01-05' > n.natural_end THEN 'beyond' ELSE 'natural' END AS note FROM e LEFT JOIN (SELECT experiment, CAST(min(DATE '2020-01-01' + CAST(p_size AS INTEGER)) AS DATE) AS natural_end FROM res GROUP BY 1) n ON n.experiment = 'e' || k"
@@ -372,16 +385,17 @@ def e11(t: Tables):
     return X.hull_notes(u3(t), _meta(t), hull)
 
 
-@query("e11_hull_notes_all", sql=_RES_ALL + _HULL)
+@query("e11_hull_notes_all", sql=_RES + _HULL)
 def e11_all(t: Tables):
     hull = _experiments(t).select("experiment", F.lit("2020-01-05").cast("date").alias("time_end"))
-    return X.hull_notes(u3_all(t), _all_meta(t), hull)
+    return X.hull_notes(u3(t), _meta(t), hull)
 
 
-@query("e11_config_problems", sql=None)
+@query("e11_config_problems", sql=_RES + """, to_ AS (SELECT 'e' || c_nationkey AS experiment, 'unknown feature' AS problem, 'f' || c_custkey AS token FROM (SELECT DISTINCT c_nationkey, c_custkey FROM customer) WHERE c_custkey NOT IN (SELECT f FROM m) UNION ALL SELECT 'e' || k, 'unknown group', 'g' || k % 7 FROM e WHERE k % 7 NOT IN (SELECT g FROM m) UNION ALL SELECT 'e' || r_regionkey, 'unknown group', r_name FROM region WHERE r_name NOT IN (SELECT 'g' || g FROM m))
+SELECT * FROM to_ UNION ALL SELECT 'e' || k, 'unknown base', 'e' || b FROM e WHERE b IS NOT NULL AND b NOT IN (SELECT k FROM e) UNION ALL SELECT 'e' || k, 'no features left', NULL FROM e WHERE 'e' || k NOT IN (SELECT experiment FROM res)""")
 def e11_problems(t: Tables):
-    bad = _all_tokens(t).unionByName(t.read("region").select(F.concat(F.lit("e"), F.col("r_regionkey").cast("string")).alias("experiment"), F.lit("include_group").alias("op"), F.col("r_name").alias("token")))
-    return X.config_problems(_experiments(t), bad, _all_meta(t), u3_all(t))
+    bad = _tokens(t).unionByName(t.read("region").select(F.concat(F.lit("e"), F.col("r_regionkey").cast("string")).alias("experiment"), F.lit("include_group").alias("op"), F.col("r_name").alias("token")))
+    return X.config_problems(_experiments(t), bad, _meta(t), u3(t))
 
 
 @query("e11_merged_settings", sql="SELECT 'e' || n_nationkey AS experiment, u.key, CASE WHEN u.key = 'seed' AND n_regionkey = 1 THEN n_name WHEN u.key = 'rate' THEN 'shared' ELSE u.d END AS value FROM nation CROSS JOIN (VALUES ('seed', '7'), ('rate', '0.1'), ('depth', '5')) u(key, d)")
@@ -400,13 +414,13 @@ def e11_leak(t: Tables):
     return X.leakage(u3(t), _meta(t), spatial, "g3")
 
 
-@query("e11_leakage_all", sql=_RES_ALL + _LEAK)
+@query("e11_leakage_all", sql=_RES + _LEAK)
 def e11_leak_all(t: Tables):
     spatial = t.read("nation").where("n_regionkey = 2").select(F.concat(F.lit("e"), F.col("n_nationkey").cast("string")).alias("experiment"))
-    return X.leakage(u3_all(t), _all_meta(t), spatial, "g3")
+    return X.leakage(u3(t), _meta(t), spatial, "g3")
 
 
-@query("e12_feature_metadata", sql=None)
+@query("e12_feature_metadata", sql=_RULED + ' SELECT na.*, split_part("column", \'__\', 1) AS "group", upper(split_part("column", \'__\', 1)) AS driver FROM na')
 def e12(t: Tables):
     groups = t.read("part").select(F.lower("p_type").alias("group")).distinct().withColumn("driver", F.upper("group"))
     return X.feature_metadata(_headers(t), _rules(t), groups)
@@ -430,29 +444,38 @@ def _provenance(t: Tables):
     return materialize(got.select("station_id", F.lit("grid").alias("dataset"), "dist_km", "rescued", "outcome", "keep"), "provenance")
 
 
-@query("e1_static_store", "station grid", None)
+_CH = chosen_cte(2.0, "keep_nan")
+_E1 = _CH + ", e1 AS (SELECT s.*, g.value AS grid__value, g.code AS grid__code FROM station s LEFT JOIN ch ON ch.station_id = s.station_id LEFT JOIN grid g ON g.lat_idx = ch.lat_idx AND g.lon_idx = ch.lon_idx)"
+
+
+@query("e1_static_store", "station grid", _E1 + " SELECT * EXCLUDE (grid__value), round(grid__value, 6) AS grid__value FROM e1")
 def e1(t: Tables):
     spec = E.manifest([E.Spec("grid", "static", ("value", "code"), 2.0, "keep_nan", ("code",))])[0]
     values, _ = E.sample_dataset(t.station, t.grid, t.axes, spec)
-    return E.static_store(t.station, [values])
+    return E.static_store(t.station, [values]).withColumn("grid__value", F.round("grid__value", 6))
 
 
-@query("e2_dynamic_store", "station monthly", None)
+@query("e2_dynamic_store", "station monthly grid_month", chosen_cte(2.0, "skip_well") + " SELECT m.station_id, m.time, round(m.target, 6) AS target, g.v1 AS grid__v1, g.v2 AS grid__v2, m.flux AS zone__flux FROM monthly m LEFT JOIN ch ON ch.station_id = m.station_id LEFT JOIN grid_month g ON g.lat_idx = ch.lat_idx AND g.lon_idx = ch.lon_idx AND g.time = m.time")
 def e2(t: Tables):
     spec = E.Spec("grid", "monthly", ("v1", "v2"), 2.0, "skip_well")
     values, _ = E.sample_dataset(t.station, t.grid_month, t.axes, spec)
     # the grid's three months of 2000 meet the stations' months
-    return E.dynamic_store(t.monthly.select("station_id", "time", "target"), [values.where("time is not null")], zones=[t.monthly.select("station_id", "time", F.col("flux").alias("zone__flux"))])
+    return E.dynamic_store(t.monthly.select("station_id", "time", F.round("target", 6).alias("target")), [values.where("time is not null")], zones=[t.monthly.select("station_id", "time", F.col("flux").alias("zone__flux"))])
+
 
+_Q1 = _CH + """, q1 AS (SELECT 'grid' AS dataset, count(*) AS n_stations, """ + ", ".join(f"count(*) FILTER (WHERE outcome = '{o}') AS n_{o}" for o in Q.OUTCOMES) + """, count(*) FILTER (WHERE outcome = 'rescued') * 100.0::DOUBLE / count(*) AS pct_rescued, count(*) FILTER (WHERE outcome IN ('no_valid', 'dropped')) * 100.0::DOUBLE / count(*) AS pct_without_cell,
+median(dist_km) AS dist_km_median, quantile_cont(dist_km, 0.95) AS dist_km_p95, max(dist_km) AS dist_km_max, median(dist_km) FILTER (WHERE outcome = 'rescued') AS rescue_km_median, max(dist_km) FILTER (WHERE outcome = 'rescued') AS rescue_km_max FROM ch)"""
+_Q1_REAL = ["pct_rescued", "pct_without_cell", "dist_km_median", "dist_km_p95", "dist_km_max", "rescue_km_median", "rescue_km_max"]
 
-@query("q1_provenance_summary", "station grid", None)
+
+@query("q1_provenance_summary", "station grid", _Q1 + " SELECT * REPLACE (" + ", ".join(f"round({c}, 5) AS {c}" for c in _Q1_REAL) + ") FROM q1")
 def q1(t: Tables):
-    return Q.provenance_summary(_provenance(t))
+    return Q.provenance_summary(_provenance(t)).withColumns({c: F.round(c, 5) for c in _Q1_REAL})
 
 
-@query("q2_flagged_stations", "station grid", None)
+@query("q2_flagged_stations", "station grid", _CH + " SELECT station_id, 'grid' AS dataset, round(dist_km, 6) AS dist_km, outcome = 'rescued' AS rescued, outcome, true AS keep FROM ch WHERE outcome <> 'home'")
 def q2(t: Tables):
-    return Q.flagged(_provenance(t))
+    return Q.flagged(_provenance(t)).withColumn("dist_km", F.round("dist_km", 6))
 
 
 @query("q3_static_completeness", sql=f"WITH {_STORE} SELECT 'a' AS dataset, 2 AS n_variables, count(*) FILTER (WHERE a__q IS NULL OR a__n IS NULL) AS n_affected, count(*) FILTER (WHERE a__q IS NULL AND a__n IS NULL) AS n_all_missing, round((count(*) * 2 - count(a__q) - count(a__n)) * 100.0 / (count(*) * 2), 6) AS pct_missing, CASE WHEN count(a__n) <= count(a__q) THEN 'a__n' ELSE 'a__q' END AS worst FROM st UNION ALL SELECT 'b', 1, count(*) - count(b__k), count(*) - count(b__k), round((count(*) - count(b__k)) * 100.0 / count(*), 6), 'b__k' FROM st")
@@ -467,14 +490,20 @@ def q4(t: Tables):
     return Q.dynamic_completeness(d, cover).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
-@query("q5_qc_table", "station grid", None)
+_Q5 = _E1.replace(", homes AS", ", " + _STORE + ", homes AS", 1) + _Q1.removeprefix(_CH) + """, so AS (SELECT grid__value, grid__code, a__q, a__n, b__k FROM e1 LEFT JOIN st ON st.station_id = e1.station_id),
+nu AS (SELECT count(*) AS n, count(*) - count(grid__value) AS gv, count(*) - count(grid__code) AS gc, count(*) FILTER (WHERE grid__value IS NULL OR grid__code IS NULL) AS g1, count(*) FILTER (WHERE grid__value IS NULL AND grid__code IS NULL) AS g2, count(*) - count(a__q) AS aq, count(*) - count(a__n) AS an, count(*) FILTER (WHERE a__q IS NULL OR a__n IS NULL) AS a1, count(*) FILTER (WHERE a__q IS NULL AND a__n IS NULL) AS a2, count(*) - count(b__k) AS bk FROM so),
+co AS (SELECT 'grid' AS dataset, 2 AS n_variables, g1 AS n_affected, g2 AS n_all_missing, (gv + gc) * 100.0::DOUBLE / (2 * n) AS pct_missing, CASE WHEN gc >= gv THEN 'grid__code' ELSE 'grid__value' END AS worst FROM nu UNION ALL SELECT 'a', 2, a1, a2, (aq + an) * 100.0::DOUBLE / (2 * n), CASE WHEN an >= aq THEN 'a__n' ELSE 'a__q' END FROM nu UNION ALL SELECT 'b', 1, bk, bk, bk * 100.0::DOUBLE / n, 'b__k' FROM nu),
+qc AS (SELECT co.dataset, n_variables, n_affected, n_all_missing, round(pct_missing, 6) AS pct_missing, worst, n_rescued, r_name AS display, r_regionkey AS position, CASE WHEN co.dataset = 'grid' THEN 'nearest cell' ELSE 'polygon join' END AS method, round(dist_km_median * 1000, 1) AS dist_m_median, round(dist_km_max * 1000, 1) AS dist_m_max FROM co LEFT JOIN q1 ON q1.dataset = co.dataset LEFT JOIN region ON r_regionkey = CASE co.dataset WHEN 'grid' THEN 0 WHEN 'a' THEN 1 END)"""
+
+
+@query("q5_qc_table", "station grid", _Q5 + " SELECT * FROM qc")
 def q5(t: Tables):
     store = e1(t).select("station_id", "grid__value", "grid__code").join(_store(t), "station_id", "left")
     config = t.read("region").where("r_regionkey < 2").select(F.when(F.col("r_regionkey") == 0, "grid").otherwise("a").alias("dataset"), F.col("r_name").alias("display"), F.col("r_regionkey").alias("position"))
-    return Q.qc_table(Q.static_completeness(store), Q.provenance_summary(_provenance(t)), config)
+    return Q.qc_table(Q.static_completeness(store), Q.provenance_summary(_provenance(t)), config).withColumn("pct_missing", F.round("pct_missing", 6))
 
 
-@query("j17_qc_join", "station grid", None)
+@query("j17_qc_join", "station grid", _Q5 + " SELECT dataset, method, pct_missing, display FROM qc")
 def j17(t: Tables):
     return q5(t).select("dataset", "method", "pct_missing", "display")
 
@@ -582,27 +611,38 @@ def s9(t: Tables):
     return t.spark.read.parquet(path)
 
 
-@query("s10_grid_sink", "grid", "SELECT cell_id, lat_idx, lon_idx FROM grid")
+@query("s10_grid_sink", "grid", "SELECT cell_id, lat_idx, lon_idx, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 1) AS value, code FROM grid")
 def s10(t: Tables):
     g = t.grid.select("cell_id", "lat_idx", "lon_idx", "lat", "lon", "value", "code")
-    return IO.write_grid(g, _path(t, "grid"), {"value": "float", "code": "smallint"}, (5.0, -90.0, 16.0, 56.0)).select("cell_id", "lat_idx", "lon_idx")
+    return IO.write_grid(g, _path(t, "grid"), {"value": "float", "code": "smallint"}, (5.0, -90.0, 16.0, 56.0)).select("cell_id", "lat_idx", "lon_idx", F.round(F.col("value").cast("double"), 1).alias("value"), F.col("code").cast("int").alias("code"))
+
+
+def _wide_blocks(t: Tables, rows, keys: list[str]):
+    """Predictions written as wide files of 100 station columns each, and read back."""
+    block = [*keys, "block"]
+    p = rows.withColumns({"block": F.expr("cast(substr(station_id, 4) as bigint) div 100"), "station_id": (t.num % 100).cast("string")})
+    got = IO.long_results(IO.wide_results(p, [str(i) for i in range(100)], block), keys=block).where("obs is not null")
+    station = F.concat(F.lit("MW_"), (F.col("block") * 100 + F.col("station_id").cast("long")).cast("string"))
+    return got.select(*keys, station.alias("station_id"), "time", *r6("obs", "sim"))
 
 
-@query("s11_wide_results", "pred", "SELECT station_id, time, round(obs, 6) AS obs, round(sim, 6) AS sim FROM pred WHERE experiment = 'm13' AND seed = 1 AND CAST(substr(station_id, 4) AS INTEGER) < 10")
+@query("s11_wide_results", "pred", _CONS + " SELECT experiment, station_id, time, round(obs, 6) AS obs, round(sim, 6) AS sim FROM cons")
 def s11(t: Tables):
-    p = t.pred.where("experiment = 'm13' and seed = 1").where(t.num < 10)
-    ids = [r[0] for r in p.select("station_id").distinct().orderBy("station_id").limit(10).collect()]
-    return IO.long_results(IO.wide_results(p, ids)).where("obs is not null").select("station_id", "time", *r6("obs", "sim"))
+    return _wide_blocks(t, _cons(t), ["experiment"])
 
 
 @query("s11_all_wide_results", "pred", "SELECT experiment, seed, station_id, time, round(obs, 6) AS obs, round(sim, 6) AS sim FROM pred")
 def s11_all(t: Tables):
-    keys = ["experiment", "seed", "block"]
-    # blocks of 100 station columns, whatever the number of stations
-    p = t.pred.withColumns({"block": F.expr("cast(substr(station_id, 4) as bigint) div 100"), "station_id": (t.num % 100).cast("string")})
-    got = IO.long_results(IO.wide_results(p, [str(i) for i in range(100)], keys), keys=keys).where("obs is not null")
-    station = F.concat(F.lit("MW_"), (F.col("block") * 100 + F.col("station_id").cast("long")).cast("string"))
-    return got.select("experiment", "seed", station.alias("station_id"), "time", *r6("obs", "sim"))
+    return _wide_blocks(t, t.pred, ["experiment", "seed"])
+
+
+@query("r12_results_on_calendar", "pred monthly", _CONS + " SELECT c.experiment, c.station_id, m.time, round(c.obs, 6) AS obs, round(c.sim, 6) AS sim FROM cons c JOIN monthly m ON m.station_id = c.station_id AND m.time = c.time")
+def r12_results(t: Tables):
+    """Result files without dates get them back by each row's position in its station's test calendar."""
+    w = Window.partitionBy("experiment", "station_id").orderBy("time")
+    rows = _wide_blocks(t, _cons(t), ["experiment"]).withColumn("position", F.row_number().over(w) - 1).drop("time")
+    calendar = t.monthly.where(F.col("time") >= TEST).select("station_id", "time")
+    return R.attach_calendar(rows, calendar).select("experiment", "station_id", "time", "obs", "sim")
 
 
 @query("s12_report_sink", sql="SELECT CAST(p_partkey AS VARCHAR) AS p_partkey, CAST(round(p_retailprice / 7, 3) AS DOUBLE) AS price FROM part")
@@ -637,12 +677,16 @@ def m1(t: Tables):
     return ml.temporal_ensemble(m, "z", num, cat, [1, 2], ["station_id", "time"], **OPTIONS)[0]
 
 
+def _folded(t: Tables):
+    m, num, cat = _matrix(t)
+    return m.drop("split").withColumn("fold", (F.substring("station_id", 4, 20).cast("long") % 3).cast("int")), num, cat
+
+
 @query("m2_grouped_cv")
 def m2(t: Tables):
     from gridloom.operators import ml
 
-    m, num, cat = _matrix(t)
-    folded = m.drop("split").withColumn("fold", (F.substring("station_id", 4, 20).cast("long") % 3).cast("int"))
+    folded, num, cat = _folded(t)
     return ml.grouped_cv(folded, "z", num, cat, 3, [1, 2], 1, ["station_id", "time"], **OPTIONS)[0]
 
 
@@ -650,10 +694,10 @@ def m2(t: Tables):
 def m3(t: Tables):
     from gridloom.operators import ml
 
-    m, num, cat = _matrix(t)
-    rows, _ = ml.prepare(m.drop("split"), num, cat)
+    folded, num, cat = _folded(t)
+    _, log = ml.grouped_cv(folded, "z", num, cat, 3, [1], 1, ["station_id", "time"], **OPTIONS)
+    rows, _ = ml.prepare(folded, num, cat)
     rows = rows.where("z is not null")
-    log = t.read("region").select(F.lit(True).alias("picked"), (F.col("r_regionkey") + 2).cast("int").alias("rounds"))
     model = ml.deployment(rows, "z", log, [1], depth=4, least=5)[0]
     return model.transform(rows).select("station_id", "time", F.col("prediction").alias("sim"))
 
@@ -725,9 +769,10 @@ def x5(t: Tables):
     return ml.held_out_rows(t.station.select("station_id", (F.col("num") % 3).cast("int").alias("fold")), log).select("station_id", "fold", "seed")
 
 
-@query("x6_explanation_bundle")
+@query("x6_explanation_bundle", "attribution", """, be AS (SELECT feature FROM attribution GROUP BY 1 ORDER BY avg(abs(contribution)) DESC, feature LIMIT 2), ro AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM attribution) ORDER BY md5(row_id || '/7'), row_id LIMIT 300)
+SELECT feature, row_id, value, round(contribution, 6) AS contribution, upper(feature) AS label FROM attribution WHERE feature IN (SELECT feature FROM be) AND row_id IN (SELECT row_id FROM ro)""")
 def x6(t: Tables):
     from gridloom.operators import ml
 
     labels = t.attribution.select("feature").distinct().withColumn("label", F.upper("feature"))
-    return ml.explanation_bundle(t.attribution, 2, 300, 7, labels)
+    return ml.explanation_bundle(t.attribution, 2, 300, 7, labels).withColumn("contribution", F.round("contribution", 6))

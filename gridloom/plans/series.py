@@ -144,19 +144,18 @@ def j15(t: Tables):
 
 
 def _matrix_sql() -> str:
+    """Numbers as the matrix has them: cast to float, then compared at one decimal."""
     w = "PARTITION BY station_id ORDER BY time"
-    lags = ", ".join(f"round(lag(target, {k}) OVER ({w}), 1) AS target_lag{k}" for k in E.LAGS["monthly"])
-    means = ", ".join(f"round(avg(target) OVER ({w} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING), 1) AS target_rmean{k}" for k in E.MEANS["monthly"])
-    return f", m AS (SELECT station_id, time, round(flux, 1) AS flux, {lags}, {means} FROM monthly) SELECT m.*, CAST(s.zone2 AS VARCHAR) AS zone2, CAST(s.num AS DOUBLE) AS num FROM m JOIN station s USING (station_id)"
+    made = {f"target_lag{k}": f"lag(target, {k}) OVER ({w})" for k in E.LAGS["monthly"]}
+    made |= {f"target_rmean{k}": f"avg(target) OVER ({w} ROWS BETWEEN {k} PRECEDING AND 1 PRECEDING)" for k in E.MEANS["monthly"]}
+    cols = ", ".join(f"round(CAST(CAST({x} AS FLOAT) AS DOUBLE), 1) AS {n}" for n, x in {"flux": "flux", "target": "target", **made}.items())
+    return f", m AS (SELECT station_id, time, {cols} FROM monthly) SELECT m.*, CAST(s.zone2 AS VARCHAR) AS zone2, CAST(s.num AS DOUBLE) AS num FROM m JOIN station s USING (station_id)"
 
 
 @query("e5_feature_matrix", "monthly station", _matrix_sql())
 def e5(t: Tables):
-    m = E.feature_matrix(t.monthly, ["target"], ["flux"], t.station.select("station_id", "zone2", "num"), ["zone2"]).drop("target")
-    # float columns are compared at one decimal from the double source
-    made = W.lag_features(["target"], E.LAGS["monthly"]) | W.trailing_means(["target"], E.MEANS["monthly"])
-    exact = t.monthly.select("station_id", "time", *[F.round(c, 1).alias(n) for n, c in made.items()])
-    return m.select("station_id", "time", F.round(F.col("flux").cast("double"), 1).alias("flux"), "zone2", F.col("num").cast("double").alias("num")).join(exact, ["station_id", "time"])
+    m = E.feature_matrix(t.monthly, ["target"], ["flux"], t.station.select("station_id", "zone2", "num"), ["zone2"])
+    return m.select(*[F.round(F.col(c).cast("double"), 1).alias(c) if k == "float" else F.col(c) for c, k in m.dtypes])
 
 
 @query("e6_temporal_dataset", "monthly", ", s AS (SELECT station_id, avg(target) FILTER (WHERE time < DATE '2000-01-01') AS m, stddev_pop(target) FILTER (WHERE time < DATE '2000-01-01') AS d FROM monthly GROUP BY 1 HAVING count(*) FILTER (WHERE time < DATE '2000-01-01') >= 16) SELECT x.station_id, x.time, round((x.target - m) / CASE WHEN d = 0 THEN 1 ELSE d END, 6) AS z, CASE WHEN x.time < DATE '1999-01-01' THEN 'train' WHEN x.time < DATE '2000-01-01' THEN 'stop' ELSE 'test' END AS split FROM monthly x JOIN s USING (station_id)")
@@ -244,7 +243,7 @@ def k4(t: Tables):
     return K.worst_of(p, "p_brand", "p_size", "name")
 
 
-@query("k5_row_sample", sql=None)
+@query("k5_row_sample", sql="SELECT o_orderkey FROM orders ORDER BY md5(o_orderkey || '/7'), o_orderkey LIMIT 500")
 def k5(t: Tables):
     return K.sample_rows(t.read("orders"), "o_orderkey", 500, 7).select("o_orderkey")
 

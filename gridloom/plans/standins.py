@@ -113,4 +113,4 @@ def with_tables(names: list[str], sql: str) -> str:
     order: list[str] = []
     for n in names:
         order += [x for x in [*NEEDS.get(n, []), n] if x not in order]
-    return "WITH " + ", ".join(f"{n} AS ({CTE[n]})" for n in order) + " " + sql
+    return "WITH RECURSIVE " + ", ".join(f"{n} AS ({CTE[n]})" for n in order) + " " + sql

@@ -370,3 +370,119 @@ def test_group_series_query_returns_the_operators_rows(spark, sf, monkeypatch):
     whole = tables.read_group_series
     monkeypatch.setattr(tables, "read_group_series", lambda *a, **k: whole(*a, **k).limit(0))
     assert plans.registered()[0]["s7_group_series"](spark, sf).count() == 0
+
+
+def test_scores_do_not_cancel(spark):
+    """Constants without an exact binary form, and small steps on a large offset."""
+    o = [1e6 + 0.001 * i for i in range(50)]
+    s = [x + (0.0005 if i % 3 else -0.0008) for i, x in enumerate(o)]
+    rows_ = [("c", 0.1, 0.1 + 0.01 * i) for i in range(7)] + [("k", 0.1 + 0.01 * i, 0.3) for i in range(7)] + [("o", a, b) for a, b in zip(o, s, strict=True)]
+    got = {r.station_id: r for r in R.station_scores(spark.createDataFrame(rows_, "station_id string, obs double, sim double"), ["station_id"]).collect()}
+    assert got["c"].r is None and got["c"].nse_classic is None and got["c"].kge is None and got["c"].kge_a is None
+    assert got["k"].r is None and got["k"].alpha == 0.0 and got["k"].kge is None
+    d = np.array(s) - np.array(o)
+    assert got["o"].rmse == pytest.approx(math.sqrt((d**2).mean()), rel=1e-6)
+    assert got["o"].r == pytest.approx(np.corrcoef(np.array(o) - 1e6, np.array(s) - 1e6)[0, 1], rel=1e-6) and got["o"].r < 1
+    assert got["o"].nse_classic == pytest.approx(1 - (d**2).sum() / ((np.array(o) - np.mean(o)) ** 2).sum(), rel=1e-6)
+
+
+def test_gradient_stops_at_gaps(spark):
+    cells = spark.createDataFrame([(0, x, v) for x, v in ((0, 0.0), (1, 10.0), (5, 110.0), (6, 120.0), (9, 1.0), (11, 5.0), (12, None), (13, 7.0))], "y int, x int, v double")
+    got = {r.x: r.d for r in cells.select("x", W.central_difference("v", "y", "x").alias("d")).collect()}
+    assert got == {0: 10.0, 1: 10.0, 5: 10.0, 6: 10.0, 9: None, 11: None, 12: 1.0, 13: None}
+
+
+def test_depth_mean_needs_all_layers(spark):
+    df = spark.createDataFrame([(1, 4.0, 1.0), (1, None, 1.0), (2, 4.0, 1.0), (2, 8.0, 3.0)], "k int, v double, t double")
+    assert {r.k: r.v for r in A.depth_mean(df, ["k"], "v", "t").collect()} == {1: None, 2: 7.0}
+
+
+def test_longitudes_wrap_only_beyond_180(spark):
+    near = spark.createDataFrame([(180.0, 1), (-180.0, 2), (None, 3)], "lon double, _x int")
+    assert rows(P.wrap_longitudes(near)) == sorted([(180.0, 1), (-180.0, 2), (None, 3)], key=str)
+    far = spark.createDataFrame([(0.0,), (180.0,), (359.5,)], "lon double")
+    assert rows(P.wrap_longitudes(far)) == sorted([(0.0,), (-180.0,), (-0.5,)], key=str)
+    assert P.wrap_longitudes(near.limit(0)).collect() == []
+
+
+def test_value_positions_and_quantiles(spark):
+    rng = random.Random(8)
+    data = [(rng.choice(["a", "b", None]), rng.choice([None, *range(12)])) for _ in range(400)] + [("none", None)]
+    df = spark.createDataFrame([(k, None if v is None else float(v)) for k, v in data], "k string, v double").repartition(5)
+    got = {(r.k, r.v): (r["_count"], r["_before"]) for r in W.value_positions(df.where("v is not null"), "v", ["k"]).collect()}
+    known = [(k, float(v)) for k, v in data if v is not None]
+    assert got == {(k, v): (known.count((k, v)), sum(a == k and b < v for a, b in known)) for k, v in known}
+    q = {r.k: (r.n, r.p10, r.p50, r.p90) for r in A.quantiles(df, "v", [0.1, 0.5, 0.9], ["k"]).collect()}
+    for k in ("a", "b", None):
+        v = [b for a, b in known if a == k]
+        assert q[k][0] == len(v) and q[k][1:] == pytest.approx(tuple(np.quantile(v, [0.1, 0.5, 0.9])))
+    assert q["none"] == (0, None, None, None)
+    one = A.quantiles(df, "v", [0.25]).first()
+    assert one.n == len(known) and one.p25 == pytest.approx(np.quantile([b for _, b in known], 0.25))
+    assert A.quantiles(df.limit(0), "v", [0.25]).first().p25 is None
+
+
+def test_signed_rank_p_is_exact_for_few_pairs(spark):
+    s = [("m", e, f"s{i}", x) for i, (a, b) in enumerate([(1.0, 0.9), (2.0, 2.25), (3.0, 2.5), (4.0, 3.3), (5.0, 4.0), (6.0, 4.6)]) for e, x in (("a", a), ("b", b))]
+    r = R.wilcoxon(spark.createDataFrame(s, "metric string, experiment string, station_id string, score double")).first()
+    d = [a - b for a, b in [(1.0, 0.9), (2.0, 2.25), (3.0, 2.5), (4.0, 3.3), (5.0, 4.0), (6.0, 4.6)]]
+    order = sorted(d, key=abs)
+    signs = list(itertools.product([0, 1], repeat=6))
+    sums = [sum(k + 1 for k, up in enumerate(x) if up) for x in signs]
+    w = min(sum(k + 1 for k, x in enumerate(order) if x > 0), sum(k + 1 for k, x in enumerate(order) if x < 0))
+    assert r.w == w and r.p_raw == pytest.approx(2 * sum(x <= w for x in sums) / 64)
+    assert R.signed_rank_p(5, 0) == pytest.approx(2 / 32) and R.signed_rank_p(4, 5) == 1.0
+
+
+def test_row_sample_is_the_same_for_any_order(spark):
+    from gridloom.operators import ordering as K
+
+    df = spark.range(500).withColumnRenamed("id", "k")
+    a = [r.k for r in K.sample_rows(df, "k", 40, 3).collect()]
+    b = [r.k for r in K.sample_rows(df.repartition(7), "k", 40, 3).collect()]
+    assert sorted(a) == sorted(b) and len(set(a)) == 40 and sorted(a) != sorted(r.k for r in K.sample_rows(df, "k", 40, 4).collect())
+    assert 150 < np.mean(a) < 350 and K.sample_rows(df, "k", 900, 3).count() == 500
+
+
+def test_completeness_of_datasets(spark):
+    df = spark.createDataFrame([("s1", D(2000, 1, 1), 1.0, None, None), ("s1", D(2000, 2, 1), 1.0, 2.0, None), ("s2", D(2000, 1, 1), 1.0, 1.0, 3.0), ("s2", D(2000, 3, 1), None, None, None)], "station_id string, time date, a__x double, a__y double, b__z double")
+    from gridloom.operators import quality as Q
+
+    cover = spark.createDataFrame([("a", D(2000, 1, 1), D(2000, 2, 1)), ("b", D(2000, 1, 1), D(2000, 1, 1))], "dataset string, first date, last date")
+    assert rows(Q.dynamic_completeness(df, cover)) == [("a", 1, 0, pytest.approx(100 / 6)), ("b", 1, 1, 50.0)]
+    st = spark.createDataFrame([("s1", 1.0, None, None), ("s2", None, None, 1.0)], "station_id string, a__x double, a__y double, C3S__z double")
+    assert rows(Q.static_completeness(st)) == [("a", 2, 2, 1, 75.0, "a__y"), ("lcc", 1, 1, 1, 50.0, "C3S__z")]
+    assert rows(Q.feature_nulls(st))[0] == ("a", "a__x", 1, 2, "x") and Q.static_completeness(st.limit(0)).collect() == []
+
+
+def test_ensembles_folds_and_deployment(spark):
+    from gridloom.operators import ml
+
+    rng = random.Random(9)
+    data = [(f"s{i % 12}", i, rng.random(), rng.choice("xy"), ["train", "stop", "test"][i % 3], i % 12 % 3) for i in range(240)]
+    df = spark.createDataFrame([(s, t, a, c, 2 * a + (c == "x"), split, fold) for s, t, a, c, split, fold in data], "station_id string, time int, a double, c string, y double, split string, fold int")
+    truth = {(r.station_id, r.time): r for r in df.collect()}
+    options = {"rounds": 4, "depth": 3, "least": 2}
+    out, log = ml.temporal_ensemble(df, "y", ["a"], ["c"], [1, 2], ["station_id", "time"], **options)
+    got = out.collect()
+    assert sorted((r.station_id, r.time, r.seed) for r in got) == sorted((s, t, k) for s, t, *_, split, _f in data if split == "test" for k in (1, 2))
+    assert all(r.obs == truth[r.station_id, r.time].y and abs(r.sim - r.obs) < 0.6 for r in got)
+    for e in log:
+        assert len(e["losses"]) == 4 and e["losses"][e["rounds"] - 1] == min(e["losses"]) and e["model"].getNumTrees == e["rounds"]
+    assert {(r.seed, r.round): r.loss for r in ml.loss_history(log, spark).collect()} == {(e["seed"], i + 1): x for e in log for i, x in enumerate(e["losses"])}
+    imp = ml.importances(log, ["a", "c"], spark).groupBy("seed").agg(F.sum("importance").alias("s")).collect()
+    assert len(imp) == 2 and all(r.s == pytest.approx(1) for r in imp)
+    cv, members = ml.grouped_cv(df.drop("split"), "y", ["a"], ["c"], 3, [1, 2], 1, ["station_id", "time"], **options)
+    got = cv.collect()
+    assert sorted((r.station_id, r.time, r.fold) for r in got) == sorted((s, t, f) for s, t, *_, f in data)
+    assert all(r.ens_median == r.ens_mean and r.obs == truth[r.station_id, r.time].y for r in got)
+    by = {}
+    for m in members.collect():
+        by.setdefault(m.fold, []).append(m)
+    assert all(len(v) == 2 and [m.rmse for m in v if m.picked] == [min(m.rmse for m in v)] for v in by.values())
+    prepared, _ = ml.prepare(df.drop("split"), ["a"], ["c"])
+    picked = sorted(m.rounds for v in by.values() for m in v if m.picked)
+    models = ml.deployment(prepared, "y", members, [5, 6], depth=3, least=2)
+    assert [m.getNumTrees for m in models] == [picked[1]] * 2
+    parts = [spark.createDataFrame([("r", "f", 1.0, x), ("r", "g", 2.0, -x)], "row_id string, feature string, value double, contribution double") for x in (1.0, 4.0)]
+    assert rows(ml.ensemble_attributions(parts)) == [("r", "f", 1.0, 2.5), ("r", "g", 2.0, -2.5)]
