@@ -55,7 +55,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     row = F.col(row_col).cast("long") if row_col else F.lit(None).cast("long")
     base = docs.select(F.col(id_col).cast("long").alias("doc_id"), row.alias("row"), text_or_empty(text_col).alias("text"))
 
-    def tokens(rows: pa.RecordBatch, seen: set) -> np.ndarray:
+    def tokens(rows: pa.RecordBatch, seen: set) -> tuple[np.ndarray]:
         out = []
         for s in _sets(rows["text"].to_pylist(), n):
             if len(s):
@@ -65,9 +65,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                         seen.clear()
                     seen.add(d)
                     out.append(s)
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        return (np.concatenate(out) if out else np.zeros(0, np.uint64),)
 
-    shared, heavy = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(base.select("text"), tokens, (2, HEAVY), F.octet_length("text") / 6))
+    shared, heavy = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(base.select("text"), tokens, ((0, 2), (0, HEAVY)), F.octet_length("text") / 6))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

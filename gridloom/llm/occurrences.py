@@ -38,11 +38,11 @@ def bit_at(marks: Marks, tokens: np.ndarray) -> np.ndarray:
     return out
 
 
-def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set], np.ndarray], at_least: tuple[int, ...], expected: Column, most_bits: int = BITS) -> list[Marks]:
-    """Filters that mark the tokens counted ``at_least`` times.
+def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set], tuple[np.ndarray, ...]], at_least: tuple[tuple[int, int], ...], expected: Column, most_bits: int = BITS) -> list[Marks]:
+    """Filters that mark the tokens of a kind that are counted so many times: one for each (kind, least count) of ``at_least``.
 
-    ``tokens(some rows, set kept for the task)`` gives the tokens of the rows, ``expected`` is about
-    their number per row. Every token of every row is counted: tasks send sorted distinct 32-bit
+    ``tokens(some rows, set kept for the task)`` gives the tokens of the rows, an array for each
+    kind; ``expected`` is about their number per row. Every token of every row is counted: tasks send sorted distinct 32-bit
     fingerprints per bucket, with counts, so a frequent token is sent once per million tokens; a
     bucket is one group, and their number follows the input, so each stays at about a million
     fingerprints. Tokens that share 40 or more leading bits count together, and some others seem
@@ -54,48 +54,57 @@ def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set],
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         state: set = set()
-        held, size = [], 0
+        held: dict[int, list[np.ndarray]] = {}
+        size = 0
 
         def flush() -> pa.RecordBatch:
-            key, count = np.unique(np.concatenate(held) >> np.uint64(32 - bucket_bits), return_counts=True)
-            bucket = (key >> np.uint64(32)).astype(np.int32)
-            fp, count = key.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
-            edge = np.flatnonzero(np.diff(bucket)) + 1
-            cut = [0, *edge.tolist(), len(key)]
-            rows = [(int(bucket[a]), fp[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
-            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "fps", "counts"])
+            rows = []
+            for kind, parts in held.items():
+                key, count = np.unique(np.concatenate(parts) >> np.uint64(32 - bucket_bits), return_counts=True)
+                bucket = (key >> np.uint64(32)).astype(np.int32)
+                fp, count = key.astype(np.uint32), np.minimum(count, 255).astype(np.uint8)
+                edge = np.flatnonzero(np.diff(bucket)) + 1
+                cut = [0, *edge.tolist(), len(key)]
+                rows += [(int(bucket[a]), kind, fp[a:b].tobytes(), count[a:b].tobytes()) for a, b in zip(cut[:-1], cut[1:], strict=True)]
+            types = [pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], ["bucket", "kind", "fps", "counts"])
 
         for b in batches:
             for at in range(0, b.num_rows, 500):
-                t = tokens(b.slice(at, 500), state)
-                if len(t):
-                    held.append(t)
-                    size += len(t)
+                for kind, t in enumerate(tokens(b.slice(at, 500), state)):
+                    if len(t):
+                        held.setdefault(kind, []).append(t)
+                        size += len(t)
                 if size >= _FLUSH:
                     yield flush()
-                    held, size = [], 0
+                    held, size = {}, 0
         if size:
             yield flush()
 
     local = bits - bucket_bits
 
     def merge(table: pa.Table) -> pa.Table:
-        fp = np.concatenate([np.frombuffer(x, np.uint32) for x in table["fps"].to_pylist()])
-        count = np.concatenate([np.frombuffer(x, np.uint8) for x in table["counts"].to_pylist()]).astype(np.int64)
-        order = np.argsort(fp, kind="stable")
-        fp, count = fp[order], count[order]
-        first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
-        sums = np.add.reduceat(count, first)
-        one, two = _places(fp[first], local)
+        kinds = table["kind"].to_pylist()
         out = {"bucket": pa.array([table["bucket"][0].as_py()], pa.int32())}
-        for i, least in enumerate(at_least):
-            marks = np.zeros(1 << local, bool)
-            marks[one[sums >= least]] = marks[two[sums >= least]] = True
-            out[f"b{i}"] = pa.array([np.packbits(marks).tobytes()], pa.binary())
+        marks = [np.zeros(1 << local, bool) for _ in at_least]
+        for kind in set(kinds):
+            mine = table.filter(pa.array([k == kind for k in kinds]))
+            fp = np.concatenate([np.frombuffer(x, np.uint32) for x in mine["fps"].to_pylist()])
+            count = np.concatenate([np.frombuffer(x, np.uint8) for x in mine["counts"].to_pylist()]).astype(np.int64)
+            order = np.argsort(fp, kind="stable")
+            fp, count = fp[order], count[order]
+            first = np.flatnonzero(np.concatenate([[True], fp[1:] != fp[:-1]]))
+            sums = np.add.reduceat(count, first)
+            one, two = _places(fp[first], local)
+            for m, (of, least) in zip(marks, at_least, strict=True):
+                if of == kind:
+                    m[one[sums >= least]] = m[two[sums >= least]] = True
+        for i, m in enumerate(marks):
+            out[f"b{i}"] = pa.array([np.packbits(m).tobytes()], pa.binary())
         return pa.table(out)
 
     schema = "bucket int" + "".join(f", b{i} binary" for i in range(len(at_least)))
-    slices = rows.mapInArrow(emit, "bucket int, fps binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
+    slices = rows.mapInArrow(emit, "bucket int, kind int, fps binary, counts binary").groupBy("bucket").applyInArrow(merge, schema)
     maps = [np.zeros(1 << (bits - 3), np.uint8) for _ in at_least]
     width = 1 << (local - 3)
     for row in slices.toLocalIterator():  # at most 2**bits bits in all, for each map

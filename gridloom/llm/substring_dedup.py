@@ -12,10 +12,12 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import materialize, text_or_empty
 from gridloom.llm.occurrences import Marks, bit_at, occurrence_bitmaps
-from gridloom.llm.words import hash_words, spans_hash, windows
+from gridloom.llm.words import hash_words, windows
 
 #: A node is kept as a path's end when its hash has this many trailing zero bits: paths of 32 windows on average.
 CUT_BITS = 5
+#: A window that so many once-found paths list is heavy: its rows are dealt to SALTS tasks.
+HEAVY, SALTS = 1000, 32
 
 
 def _seeds(h: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray, int]:
@@ -49,8 +51,21 @@ def _live(d: np.ndarray, size: int, twice: Marks) -> np.ndarray | None:
     return np.cumsum(mark[:-1]) > 0
 
 
-def _paths(d: np.ndarray, live: np.ndarray, size: int) -> tuple:
-    """The text's paths between kept nodes that hold a live window: digest, end nodes (None at the text's ends), first and last window."""
+class _Source:
+    """A text's words joined by one blank, to read them at their coordinates."""
+
+    def __init__(self, text: str):
+        self.data = b" ".join(text.encode("utf-8", "replace").split())
+        gaps = np.flatnonzero(np.frombuffer(self.data, np.uint8) == 32)
+        self.first, self.last = np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(self.data)]])
+
+    def digests(self, begin: np.ndarray, stop: np.ndarray, size: int) -> list[bytes]:
+        """Digest of the words [begin, stop) of each span."""
+        return [hashlib.blake2b(self.data[a:z], digest_size=size).digest() for a, z in zip(self.first[begin].tolist(), self.last[stop - 1].tolist(), strict=True)]
+
+
+def _paths(text: str, d: np.ndarray, live: np.ndarray, size: int) -> tuple:
+    """The text's paths between kept nodes that hold a live window: digest of their words, end nodes (None at the text's ends), first and last window."""
     count = len(live)
     nodes = windows(d, size - 1)
     cut = np.flatnonzero(nodes & np.uint64((1 << CUT_BITS) - 1) == 0)
@@ -58,7 +73,7 @@ def _paths(d: np.ndarray, live: np.ndarray, size: int) -> tuple:
     begin, stop = np.concatenate([[0], cut]), np.concatenate([cut, [count]])
     used = np.flatnonzero(np.add.reduceat(live.astype(np.int64), begin) > 0)
     begin, stop = begin[used], stop[used]
-    digest = spans_hash(d, begin, stop + size - 1).view(np.int64).tolist()
+    digest = _Source(text).digests(begin, stop + size - 1, 16)
     ends = nodes.view(np.int64)
     src = [int(ends[a]) if a else None for a in begin.tolist()]
     dst = [int(ends[z]) if z < count else None for z in stop.tolist()]
@@ -69,7 +84,7 @@ def _sha(words: list[bytes]) -> str:
     return hashlib.sha256(b" ".join(words)).hexdigest()
 
 
-_SCAN = "row long, doc_id long, n_words long, kept_sha256 string, text string, path array<long>, src array<long>, dst array<long>, start array<int>, stop array<int>"
+_SCAN = "row long, doc_id long, n_words long, kept_sha256 string, text string, path array<binary>, src array<long>, dst array<long>, start array<int>, stop array<int>"
 
 
 def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -82,21 +97,25 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
       Windows without a repeated seed can't repeat; a text without any is finished in the scan
       (a bitmap of fixed size, false marks only cost work).
     - Local compaction: between two kept nodes (chosen by hash) a text's edges are one path, a row
-      with its end nodes, source coordinates and digest. Paths found at two or more source
-      coordinates are repeated as a whole.
+      with its end nodes, source coordinates and a 128-bit digest of the words that stand there.
+      Paths found at two or more source coordinates are repeated as a whole.
     - Joins compact chains of repeated paths over nodes that have one path in and one path out, by
       pointer doubling; a text's run through such a chain becomes one span.
     - Paths found once, and one copy of every repeated path, list those windows that may occur in
-      both or twice (bitmaps again); a window with two source coordinates marks its span, exactly.
+      both or twice (bitmaps again). A window with two source coordinates marks its span: besides
+      its rolling 64-bit hash the words read at both coordinates must agree in a 32-bit digest.
+
+    Rolling hashes only choose candidates and nodes; without the digests' agreement no word goes.
+    Windows in very many places are dealt to SALTS tasks each.
     """
     spark = docs.sparkSession
     base = docs.select(text_or_empty(text_col).alias("text"), F.col(id_col).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"))
 
-    def seeds(rows: pa.RecordBatch, _: set) -> np.ndarray:
+    def seeds(rows: pa.RecordBatch, _: set) -> tuple[np.ndarray]:
         h, o = _words(rows["text"].to_pylist())
-        return np.concatenate([np.zeros(0, np.uint64), *[_seeds(h[o[i] : o[i + 1]], size)[1] for i in range(rows.num_rows)]])
+        return (np.concatenate([np.zeros(0, np.uint64), *[_seeds(h[o[i] : o[i + 1]], size)[1] for i in range(rows.num_rows)]]),)
 
-    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, (2,), F.octet_length("text") / 55)[0])
+    twice = spark.sparkContext.broadcast(occurrence_bitmaps(base.select("text"), seeds, ((0, 2),), F.octet_length("text") / 55)[0])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -108,10 +127,10 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
                 for i, text in enumerate(texts):
                     d = h[o[i] : o[i + 1]]
                     live = _live(d, size, twice.value)
-                    found.append(([], [], [], [], []) if live is None else _paths(d, live, size))
+                    found.append(([], [], [], [], []) if live is None else _paths(text, d, live, size))
                     kept.append(None if live is None else text)
                     sha.append(_sha(text.encode("utf-8", "replace").split()) if live is None else None)
-                types = [pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
+                types = [pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.int32()]
                 lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], pa.array(np.diff(o)), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *lists], ["row", "doc_id", "n_words", "kept_sha256", "text", "path", "src", "dst", "start", "stop"])
 
@@ -146,33 +165,42 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
                 at = np.flatnonzero(live[x["start"] : x["stop"]]) + x["start"]
                 yield i, x["asks"], edge[at], at
 
-    def tokens(asks: bool):
-        def some(part: pa.RecordBatch, _: set) -> np.ndarray:
-            return np.concatenate([np.zeros(0, np.uint64), *[w for _, a, w, _ in spread(part) if a == asks]])
-
-        return some
+    def listing(part: pa.RecordBatch, _: set) -> tuple[np.ndarray, np.ndarray]:
+        """Windows of the paths found once, and of the copies."""
+        found = list(spread(part))
+        return tuple(np.concatenate([np.zeros(0, np.uint64), *[w for _, a, w, _ in found if a == asks]]) for asks in (True, False))
 
-    once, again = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(listed.select("text", "parts"), tokens(True), (1, 2), F.octet_length("text") / 20, 25))
-    other = spark.sparkContext.broadcast(occurrence_bitmaps(listed.select("text", "parts"), tokens(False), (1,), F.octet_length("text") / 20, 25)[0])
+    wanted = ((0, 1), (0, 2), (0, HEAVY), (1, 1))
+    once, again, heavy, other = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(listed.select("text", "parts"), listing, wanted, F.octet_length("text") / 10, 25))
 
     def candidates(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for start in range(0, b.num_rows, 500):
                 part = b.slice(start, 500)
-                rows, ask, wins, ats = [], [], [], []
+                texts = part["text"].to_pylist()
+                rows, ask, wins, ats, proofs, source = [], [], [], [], [], (-1, None)
                 for i, asks, w, at in spread(part):
                     on = bit_at(again.value, w) | bit_at(other.value, w) if asks else bit_at(once.value, w)
-                    wins.append(w[on])
-                    ats.append(at[on])
-                    rows.append(np.full(int(on.sum()), i))
-                    ask.append(np.full(int(on.sum()), asks))
+                    w, at = w[on], at[on]
+                    if not len(w):
+                        continue
+                    if source[0] != i:
+                        source = (i, _Source(texts[i]))
+                    wins.append(w)
+                    ats.append(at)
+                    rows.append(np.full(len(w), i))
+                    ask.append(np.full(len(w), asks))
+                    proofs.append(np.frombuffer(b"".join(source[1].digests(at, at + size, 4)), np.int32))
                 if rows:
-                    take = pa.array(np.concatenate(rows))
-                    yield pa.RecordBatch.from_arrays([part["row"].take(take), pa.array(np.concatenate(ask)), pa.array(np.concatenate(wins).view(np.int64)), pa.array(np.concatenate(ats).astype(np.int32))], ["row", "asks", "win", "at"])
-
-    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, at int"), "windows")
-    double = cand.groupBy("win").agg(F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("w"), F.max("asks").alias("asks")).where("w > 1 and asks").select("win")
-    marked = cand.where("asks").join(double, "win").select("row", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
+                    w = np.concatenate(wins)
+                    cols = [part["row"].take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ask)), pa.array(w.view(np.int64)), pa.array(np.concatenate(proofs)), pa.array(bit_at(heavy.value, w)), pa.array(np.concatenate(ats).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "asks", "win", "proof", "heavy", "at"])
+
+    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, proof int, heavy boolean, at int"), "windows")
+    double = cand.groupBy("win", "proof").agg(F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("w"), F.max("asks").alias("asks"), F.max("heavy").alias("heavy")).where("w > 1 and asks")
+    double = double.select("win", "proof", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
+    asked = cand.where("asks").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
+    marked = asked.join(double, ["win", "proof", "salt"]).select("row", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
     return table, whole.unionByName(marked)
 
 

@@ -113,14 +113,6 @@ def windows(h: np.ndarray, k: int) -> np.ndarray:
     return out
 
 
-def spans_hash(h: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """Hash of the word hashes in each [start, end)."""
-    up, down = _powers(_C, len(h) + 1)
-    sums = np.zeros(len(h) + 1, np.uint64)
-    np.cumsum(h * up[: len(h)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-
-
 def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
     """Sorted distinct k-word shingles; fewer words: the whole sequence as one; no words: empty."""
     if len(h) == 0:

@@ -330,11 +330,30 @@ def brute_substrings(rows, size):
 @pytest.mark.parametrize("seed", [1, 2, 3])
 def test_substring_dedup(spark, seed, monkeypatch):
     monkeypatch.setattr(substring_dedup, "CUT_BITS", 3)
+    monkeypatch.setattr(substring_dedup, "HEAVY", 3)
     rows = sample_texts(seed) + [(900, "again and " * 60), (901, " ".join(f"z{i}" for i in range(40)) + " mid " + " ".join(f"z{i}" for i in range(40)))]
     got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
     assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows, 35)
 
 
+def test_paths_are_told_apart_by_their_words():
+    """Equal rolling hashes don't make equal paths or windows."""
+    out = substring_dedup._Source("a b\tcd  e")
+    assert out.digests(np.array([0, 1]), np.array([2, 4]), 4) == [hashlib.blake2b(x, digest_size=4).digest() for x in (b"a b", b"b cd e")]
+    same, live = np.zeros(40, np.uint64), np.ones(6, bool)
+    one, two = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    digest = lambda t: substring_dedup._paths(t, same, live, 35)[0]
+    assert digest(one) == digest(one.replace(" ", "\n ")) and not set(digest(one)) & set(digest(two))
+
+
+def test_substring_dedup_of_a_long_periodic_text(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(f"{rng.randrange(10**9)}" for _ in range(90))) for i in range(4)]
+    rows += [(9, rows[0][1].replace(" ", "\n")), (10, "x " + " ".join(rows[1][1].split()[10:60]) + " y"), (11, "a " * 20_000 + rows[2][1])]
+    got = substring_dedup.substring_dedup(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_words, r.n_removed, r.kept_sha256) for r in got) == brute_substrings(rows, 35)
+
+
 def test_substring_dedup_empty(spark):
     assert substring_dedup.substring_dedup(docs(spark, [])).collect() == []
     assert [(r.n_words, r.n_removed) for r in substring_dedup.substring_dedup(docs(spark, [(1, None)]), texts=True).collect()] == [(0, 0)]
