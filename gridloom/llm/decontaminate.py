@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import slices, text_or_empty
+from gridloom.llm.common import materialize, slices, text_or_empty
 from gridloom.llm.words import hash_words, windows
 
 #: ASCII punctuation separates words here; letters outside ASCII stay.
@@ -111,15 +111,21 @@ def find_items(texts: list[str | None], index: dict) -> list[tuple[int, tuple[in
     return [(d, r) for d in sorted(hits) for r in match_text(h[o[d] : o[d + 1]], index, hits[d])]
 
 
-def item_blocks(items: DataFrame, error_rate: float, item_id: str, item_text: str) -> Iterator:
-    """Broadcast indexes of the items, each over at most about ``BLOCK_BYTES`` of their text."""
+def item_blocks(items: DataFrame, error_rate: float, item_id: str, item_text: str) -> tuple[int, Iterator]:
+    """How many blocks of at most about ``BLOCK_BYTES`` of text the items need, and the broadcast index of one after another."""
     query = items.select(F.col(item_id).cast("long").alias("i"), text_or_empty(item_text).alias("t")).where("t <> ''")
     total = query.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-2 * total // BLOCK_BYTES))
-    for k in range(blocks):
-        block = query.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == k) if blocks > 1 else query
-        listed = sorted(((r.i, r.t) for r in block.collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
-        yield items.sparkSession.sparkContext.broadcast(index_items(listed, error_rate))
+    if blocks > 1:
+        query = materialize(query.withColumn("b", F.pmod(F.xxhash64("i", "t"), F.lit(blocks))), "items")
+
+    def each() -> Iterator:
+        for k in range(blocks):
+            block = query.where(F.col("b") == k) if blocks > 1 else query
+            listed = sorted(((r.i, r.t) for r in block.select("i", "t").collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1]))
+            yield items.sparkSession.sparkContext.broadcast(index_items(listed, error_rate))
+
+    return blocks, each()
 
 
 def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
@@ -129,6 +135,7 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, id_
     substring of the document by floor(m * error_rate) word edits; it is cut into one piece more
     than that, so one piece must occur unchanged. Items are the query set: they are broadcast in
     blocks of at most ``BLOCK_BYTES`` of text, one pass over the documents each, without a shuffle.
+    With several blocks each pass is written before the next index is made, so one is held at a time.
     The best match of each (row, item) is returned. Items without words match nothing; null texts
     hold nothing; repeated rows and null ids are kept; empty tables give an empty result; other
     columns are not read.
@@ -148,8 +155,12 @@ def contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2, id_
         return task
 
     out = None
-    for index in item_blocks(items, error_rate, item_id, item_text):
+    blocks, indexes = item_blocks(items, error_rate, item_id, item_text)
+    for index in indexes:
         part = rows.mapInArrow(search(index), "doc_id long, item_id long, n_words int, distance int, end_word int")
+        if blocks > 1:
+            part = materialize(part, "contaminated")
+            index.destroy()
         out = part if out is None else out.unionByName(part)
     return out
 
@@ -166,6 +177,10 @@ def drop_contaminated(docs: DataFrame, items: DataFrame, error_rate: float = 0.2
 
         return task
 
-    for index in item_blocks(items, error_rate, item_id, item_text):
+    blocks, indexes = item_blocks(items, error_rate, item_id, item_text)
+    for index in indexes:
         docs = docs.mapInArrow(keep(index), docs.schema)
+        if blocks > 1:
+            docs = materialize(docs, "clean")
+            index.destroy()
     return docs

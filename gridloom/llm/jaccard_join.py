@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,10 +13,12 @@ from pyspark.sql import functions as F
 from gridloom.llm.common import materialize, text_or_empty
 from gridloom.llm.components import connected_components
 from gridloom.llm.occurrences import bit_at, occurrence_bitmaps
-from gridloom.llm.words import hash_words, set_digest, shingle_set
+from gridloom.llm.words import digest, hash_words, shingle_set
 
 #: A shingle in this many documents or more comes last in the order of prefixes.
 HEAVY = 32
+#: Rows of one shingle that a task pairs; longer lists are dealt to several tasks.
+LIST_ROWS = 20_000
 
 
 def _sets(texts: list[str | None], n: int) -> list[np.ndarray]:
@@ -30,7 +33,8 @@ def _signed(x: np.ndarray) -> np.ndarray:
 def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, class_key[, row_col]: documents linked when 100 * intersection >= percent * union.
 
-    Sets are the distinct n-word shingles (64-bit hashes) of lower-cased whole texts. The order of
+    Sets are the distinct n-word shingles (64-bit hashes) of lower-cased whole texts; sets and groups
+    are told apart by 128-bit digests. The order of
     prefixes is: shingles of one document, shared ones, heavy ones; it comes from counts over the
     whole corpus. Documents with the same prefix and set size form one group. Two linked sets share a
     prefix shingle, so:
@@ -39,8 +43,9 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
        list's pivot, the group with the fewest shingles before it; size and position filters apply.
        Groups expand to members (classes of equal sets), which are verified on their whole texts;
     2. the links so far give components. Members of one component need no further comparison;
-       within each list the members outside the pivot's component are paired with all members of
-       other components, filtered and verified in the same way.
+       within each list the members outside the pivot's component are paired with the members of
+       other components whose size allows a link, filtered and verified in the same way. Lists are
+       joined by size band, and long ones are dealt to several tasks.
 
     So every pair of the join is verified or already connected, and large groups of near copies
     cost a star, not all pairs. Equal sets are collapsed before any pair is made. Exchanges carry
@@ -59,7 +64,7 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
         out = []
         for s in _sets(rows["text"].to_pylist(), n):
             if len(s):
-                d = set_digest(s)
+                d = digest(s)
                 if d not in seen:
                     if len(seen) > 2_000_000:
                         seen.clear()
@@ -70,8 +75,8 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     shared, heavy = (spark.sparkContext.broadcast(m) for m in occurrence_bitmaps(base.select("text"), tokens, ((0, 2), (0, HEAVY)), F.octet_length("text") / 6))
 
     def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: set[int] = set()
-        had: set[int] = set()
+        seen: set[bytes] = set()
+        had: set[bytes] = set()
         for b in batches:
             for at in range(0, b.num_rows, 500):
                 part = b.slice(at, 500)
@@ -81,13 +86,13 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                     k = len(s)
                     size.append(k)
                     if not k:
-                        cid.append(0), gid.append(0), toks.append([]), poss.append([]), kept.append(None)
+                        cid.append(b""), gid.append(b""), toks.append([]), poss.append([]), kept.append(None)
                         continue
-                    cid.append(set_digest(s))
+                    cid.append(digest(s))
                     many = bit_at(shared.value, s)
                     rank = many.astype(np.int8) + (many & bit_at(heavy.value, s))
                     prefix = np.argsort(rank, kind="stable")[: k - -(-percent * k // 100) + 1]
-                    gid.append(set_digest(np.concatenate([s[prefix], np.array([k], np.uint64)])))
+                    gid.append(digest(np.concatenate([s[prefix], np.array([k], np.uint64)])))
                     at_ = np.flatnonzero(rank[prefix] > 0)
                     kept.append(text if len(at_) and cid[-1] not in had else None)
                     if len(had) > 2_000_000:
@@ -100,11 +105,11 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
                             seen.clear()
                         seen.add(gid[-1])
                         toks.append(_signed(s[prefix][at_])), poss.append(at_ + 1)
-                cols = [part["doc_id"], part["row"], pa.array(size, pa.int64()), pa.array(cid, pa.int64()), pa.array(gid, pa.int64()), pa.array(toks, pa.list_(pa.int64())), pa.array(poss, pa.list_(pa.int32())), pa.array(kept, pa.string())]
+                cols = [part["doc_id"], part["row"], pa.array(size, pa.int64()), pa.array(cid, pa.binary()), pa.array(gid, pa.binary()), pa.array(toks, pa.list_(pa.int64())), pa.array(poss, pa.list_(pa.int32())), pa.array(kept, pa.string())]
                 yield pa.RecordBatch.from_arrays(cols, ["doc_id", "row", "n", "cid", "gid", "toks", "poss", "text"])
 
     members = materialize(
-        base.mapInArrow(prefixes, "doc_id long, row long, n long, cid long, gid long, toks array<long>, poss array<int>, text string"),
+        base.mapInArrow(prefixes, "doc_id long, row long, n long, cid binary, gid binary, toks array<long>, poss array<int>, text string"),
         "prefixes",
     )
     classes = members.where("n > 0").groupBy("cid", "gid", "n").agg(F.min("doc_id").alias("rep_id"))
@@ -142,11 +147,15 @@ def ngram_jaccard_join(docs: DataFrame, n: int = 5, percent: int = 80, id_col: s
     # 2: what the stars left open
     placed = lists.join(classes.select("gid", "cid"), "gid").join(found.select(F.col("id").alias("cid"), F.col("component").alias("k")), "cid", "left")
     placed = materialize(placed.select("token", "pos", "n", "cid", F.coalesce("k", "cid").alias("k")), "placed")
-    mixed = placed.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("pos", "n", "cid", "k")).alias("p")).where("lo < hi").select("token", F.col("p.k").alias("main"))
-    open_ = placed.join(mixed, "token")
-    rest = open_.where("k <> main").select("token", F.col("pos").alias("pos2"), F.col("n").alias("n2"), F.col("cid").alias("cid2"), F.col("k").alias("k2"))
+    mixed = placed.groupBy("token").agg(F.min("k").alias("lo"), F.max("k").alias("hi"), F.min(F.struct("pos", "n", "cid", "k")).alias("p"), F.count(F.lit(1)).alias("c")).where("lo < hi")
+    mixed = mixed.select("token", F.col("p.k").alias("main"), F.ceil(F.col("c") / LIST_ROWS).cast("int").alias("salts"))
+    # sizes of linked sets differ by a factor of 100 / percent at most, so their bands by one
+    open_ = placed.join(mixed, "token").withColumn("band", F.floor(F.log(F.col("n").cast("double")) / math.log(100 / percent + 1e-9)) if percent < 100 else F.col("n"))
+    open_ = open_.withColumn("salt", F.pmod(F.xxhash64("cid"), F.col("salts")).cast("int"))
+    rest = open_.where("k <> main").select("token", F.col("pos").alias("pos2"), F.col("n").alias("n2"), F.col("cid").alias("cid2"), F.col("k").alias("k2"), F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)).alias("band"), "salts")
+    rest = rest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
     cond = (F.col("k") != F.col("k2")) & ((F.col("k") == F.col("main")) | (F.col("cid") < F.col("cid2")))
-    left = open_.join(rest, "token").where(cond & may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
+    left = open_.join(rest, ["token", "band", "salt"]).where(cond & may_link(F.col("n"), F.col("pos"), F.col("n2"), F.col("pos2")))
     again = _ordered(left.select(F.col("cid").alias("a"), F.col("cid2").alias("b"))).join(once, ["a", "b"], "left_anti")
     again = materialize(again, "pairs")
     if not again.isEmpty():
@@ -188,4 +197,4 @@ def _verify(texts: DataFrame, pairs: DataFrame, n: int, percent: int) -> DataFra
                         good.append(i)
                 yield pa.RecordBatch.from_arrays([part["a"].take(pa.array(good, pa.int64())), part["b"].take(pa.array(good, pa.int64()))], ["a", "b"])
 
-    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a long, b long")
+    return both.select("a", "b", "ta", "tb").mapInArrow(check, "a binary, b binary")

@@ -16,6 +16,7 @@ RULES = [
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 ]
+_LOWER = {c: c + 32 for c in range(65, 91)}
 #: Most bytes of rule text that are broadcast.
 MAX_RULE_BYTES = 64 << 20
 
@@ -23,11 +24,11 @@ MAX_RULE_BYTES = 64 << 20
 def build_trie(rules: list[tuple[str, str, str]]) -> dict:
     """Nested dicts: host labels from the right, then under "/" the path's whole segments; "=" has the endings (rest of the path, rule, verdict), longest first.
 
-    Of two rules with the same host and path, block wins.
+    Hosts are lower-cased (A-Z), as those of URLs are. Of two rules with the same host and path, block wins.
     """
     root: dict = {}
     for verdict, host, path in sorted(rules, key=lambda r: r[0] == "block"):
-        node = root
+        node, host = root, host.translate(_LOWER)
         for label in reversed([x for x in host.split(".") if x]):
             node = node.setdefault(label, {})
         node = node.setdefault("/", {})
@@ -40,7 +41,7 @@ def build_trie(rules: list[tuple[str, str, str]]) -> dict:
 
 
 def lookup(trie: dict, host: str, path: str) -> tuple[str, str] | None:
-    """The longest rule that fits: most host labels first, then the longest path."""
+    """The longest rule that fits, by the characters of host and path together; of equally long ones that with the longer host."""
     best, node = None, trie
     segments = path[1:].split("/") if path.startswith("/") else [path]
     for label in [*reversed(host.split(".")), None]:
@@ -55,7 +56,8 @@ def lookup(trie: dict, host: str, path: str) -> tuple[str, str] | None:
                 place = place.get(("seg", segments[i]))
                 if place is None:
                     break
-            best = found or best
+            if found and (best is None or len(found[0]) >= len(best[0])):
+                best = found
         if label is None or label not in node or label == "/":
             break
         node = node[label]
@@ -71,6 +73,9 @@ def filter_urls(
 ) -> DataFrame:
     """Host, path, the longest fitting rule and its verdict for each URL; no rule: ``default``.
 
+    A rule fits its host and all subdomains if the URL's path starts with the rule's. The rule with
+    most characters (host and path together) wins, then that with the longer host, then block.
+
     The rule list is broadcast; over ``MAX_RULE_BYTES`` of rule text it is refused. No shuffle. A null URL, or one
     without ``://``, has an empty host and path and fits no rule. Repeated rows and null ids are
     kept; an empty table gives an empty result; other columns are not read.

@@ -7,6 +7,8 @@ about 2**-56. Texts are hashed in blocks of half a MB, so memory doesn't follow
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 
 _U = np.uint64
@@ -120,8 +122,6 @@ def shingle_set(h: np.ndarray, k: int = 5) -> np.ndarray:
     return np.unique(windows(h, k)) if len(h) >= k else windows(h, len(h))
 
 
-def set_digest(tokens: np.ndarray) -> int:
-    """64-bit digest of a sorted token array and its size, as a signed integer."""
-    up, _ = _powers(_B, len(tokens) + 1)
-    d = mix(np.array([(mix(tokens) * up[: len(tokens)]).sum(dtype=np.uint64) + _U(len(tokens))], np.uint64))
-    return int(d.view(np.int64)[0])
+def digest(tokens: np.ndarray) -> bytes:
+    """128-bit digest of an array of tokens."""
+    return hashlib.blake2b(tokens.tobytes(), digest_size=16).digest()

@@ -78,6 +78,54 @@ def test_sharding_repeated_and_null_rows_and_reproducible(spark):
     assert next(r for r in got if r.doc_id is None).size == 16
 
 
+def feistel(x, a, b, seed, rounds=6):
+    """The permutation again, from its definition."""
+    prime, keys, z = 2147483647, [], seed % 2147483647
+    for _ in range(rounds):
+        z = (z * 48271 + 11) % prime
+        k = z
+        z = (z * 48271 + 11) % prime
+        keys.append((k, 1 + z % (prime - 1)))
+    left, right = divmod(x, b)
+    for i, (k, m) in enumerate(keys):
+        other, size = (right, a) if i % 2 == 0 else (left, b)
+        t = (other + k) % prime
+        shift = (t * t % prime * m + other) % prime
+        left, right = ((left + shift) % size, right) if i % 2 == 0 else (left, (right + shift) % size)
+    return left * b + right
+
+
+@pytest.mark.parametrize("n", [1, 5, 90, 1000])
+def test_shard_and_slot_equal_brute_force(spark, n):
+    import math
+
+    df = docs(spark, [(i, f"t{i}") for i in range(n)])
+    x = {r.doc_id: r["_x"] for r in sharding.numbered_rows(df, bucket_rows=7).collect()}
+    assert sorted(x.values()) == list(range(n))
+    a = max(1, math.ceil(math.sqrt(n)))
+    b = -(-n // a)
+    assert sorted(feistel(i, a, b, 20260101) for i in range(a * b)) == list(range(a * b))
+    for r in sharding.shard_rows(df, bucket_rows=7).collect():
+        p = feistel(x[r.doc_id], a, b, 20260101)
+        while p >= n:
+            p = feistel(p, a, b, 20260101)
+        assert (r.shard, r.slot) == (p % 40, p // 40)
+
+
+def test_cycle_walk_leaves_no_gap(spark):
+    """A grid much larger than the count: most rows walk, some beyond the single steps."""
+    from pyspark.sql import functions as F
+
+    df = spark.range(30).select(F.col("id").alias("_x"), F.lit(30).cast("long").alias("_total"), F.lit(40).cast("long").alias("_a"), F.lit(30).cast("long").alias("_b"))
+    got = {r["_x"]: r["_p"] for r in sharding.walk(sharding.permute(df, "_x", "_y", 3), 3).collect()}
+    for x, p in got.items():
+        y = feistel(x, 40, 30, 3)
+        while y >= 30:
+            y = feistel(y, 40, 30, 3)
+        assert p == y
+    assert sorted(got.values()) == list(range(30))
+
+
 def test_feistel_forms_agree(spark):
     from pyspark.sql import functions as F
 
@@ -113,6 +161,7 @@ def brute_components(rows):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_jaccard_join(spark, seed, monkeypatch):
     monkeypatch.setattr(jaccard_join, "HEAVY", 4)
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 3)
     rows = sample_texts(seed)
     got = jaccard_join.ngram_jaccard_join(docs(spark, rows), row_col="row").collect()
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
@@ -132,6 +181,17 @@ def test_jaccard_join_family_of_near_copies(spark):
     assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
 
 
+def test_jaccard_join_of_short_texts_with_a_common_shingle(spark, monkeypatch):
+    """One shingle in many unrelated short texts of all sizes, some of them linked only among themselves."""
+    monkeypatch.setattr(jaccard_join, "LIST_ROWS", 10)
+    rng = random.Random(6)
+    common = "the licence of this text is"
+    rows = [(i, common + " " + " ".join(f"u{rng.randrange(8)}" for _ in range(rng.randint(0, 9)))) for i in range(120)]
+    rows += [(200 + i, common + " open " + "x " * i) for i in range(12)] + [(300, "x" * 400_000 + " y"), (301, None)]
+    got = jaccard_join.ngram_jaccard_join(docs(spark, rows)).collect()
+    assert sorted((str(r.doc_id), r.n_shingles, str(r.component_id)) for r in got) == brute_components(rows)
+
+
 def test_jaccard_join_empty(spark):
     assert jaccard_join.ngram_jaccard_join(docs(spark, [])).collect() == []
     assert [tuple(r)[:3] for r in jaccard_join.ngram_jaccard_join(docs(spark, [(1, None)])).collect()] == [(1, 0, 1)]
@@ -409,6 +469,19 @@ def test_decontamination(spark):
     assert decontaminate.contaminated(docs(spark, []), bench).collect() == decontaminate.contaminated(docs(spark, rows), bench.limit(0)).collect() == []
 
 
+def test_decontamination_in_blocks(spark, monkeypatch):
+    rng = random.Random(13)
+    items = [(i, " ".join(f"v{rng.randrange(50)}" for _ in range(rng.randint(5, 30)))) for i in range(40)]
+    rows = [(i, "a b " + items[i % 40][1] + " c") for i in range(0, 90, 3)] + [(500, "nothing here"), (501, None), (502, ("z " * 60_000) + items[3][1])]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect()))
+    clean = sorted(map(str, decontaminate.drop_contaminated(docs(spark, rows), bench).collect()))
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
+    assert decontaminate.item_blocks(bench, 0.2, "item_id", "text")[0] > 5
+    assert sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect())) == whole and len(whole) >= 31
+    assert sorted(map(str, decontaminate.drop_contaminated(docs(spark, rows), bench).collect())) == clean and len(clean) == 2
+
+
 @pytest.mark.parametrize("first", [2, 48])
 def test_exact_dedup(spark, first, monkeypatch):
     monkeypatch.setattr(exact_dedup, "FIRST", first)
@@ -591,6 +664,14 @@ def test_url_filter(spark):
     assert url_filter.filter_urls(df.limit(0)).collect() == []
 
 
+def test_url_rules_by_total_length_and_any_case(spark):
+    rules = [("block", "com", "/very/long/path/"), ("allow", "example.com", "/very"), ("block", "Mixed.ORG", "/a"), ("allow", "x.io", "/bc"), ("block", "io", "/bc/d")]
+    urls = ["http://example.com/very/long/path/x", "http://example.com/very/x", "http://a.mixed.org/ab", "http://x.io/bc/d", "http://" + "h" * 100_000 + ".com/very/long/path/" + "p" * 300_000]
+    df = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    got = [(r.rule, r.verdict) for r in sorted(url_filter.filter_urls(df, rules).collect())]
+    assert got == [("com/very/long/path/", "block"), ("example.com/very", "allow"), ("mixed.org/a", "block"), ("x.io/bc", "allow"), ("com/very/long/path/", "block")]
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
