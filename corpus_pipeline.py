@@ -1,4 +1,9 @@
-"""The corpus pipeline: documents pass toxicity, exact and near deduplication and decontamination, and leave as tokens."""
+"""The corpus pipeline: documents pass toxicity, exact and near deduplication and decontamination, and leave as tokens.
+
+Every stage but the last returns the columns of its input, whatever else they hold or are called.
+Null texts and ids are rows like others: a null text counts as empty, so one such row stays; of
+repeated rows one stays; an empty table gives an empty result.
+"""
 
 from __future__ import annotations
 
@@ -15,20 +20,28 @@ def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return toxicity.drop_toxic(docs, model)
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """docs with a row key, written once so that the key is the same wherever it is read, and the key's name, which no column has."""
+    names, key = {c.lower() for c in docs.columns}, "_row"
+    while key in names:
+        key += "_"
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), "numbered"), key
+
+
 def exact_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of equal texts."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    kept = exact_dedup.exact_dedup(rows, row_col="_row").where("kept").select("_row")
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, key = _numbered(docs)
+    kept = exact_dedup.exact_dedup(rows, row_col=key).where("kept").select(key)
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near copies, that with the smallest doc_id; wordless documents stay."""
-    rows = docs.withColumn("_row", F.monotonically_increasing_id())
-    linked = materialize(jaccard_join.ngram_jaccard_join(rows, row_col="_row"), "linked-rows")
-    first = linked.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "_row")).alias("x"))
-    kept = first.select(F.col("x._row").alias("_row")).unionByName(linked.where("class_key is null").select("_row"))
-    return rows.join(kept, "_row", "left_semi").select(*docs.columns)
+    rows, key = _numbered(docs)
+    linked = materialize(jaccard_join.ngram_jaccard_join(rows, row_col=key), "linked-rows")
+    first = linked.where("class_key is not null").groupBy("class_key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col(key).alias("r"))).alias("x"))
+    kept = first.select(F.col("x.r").alias(key)).unionByName(linked.where("class_key is null").select(key))
+    return rows.join(kept, key, "left_semi").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
