@@ -47,30 +47,28 @@ def polygon_edges(polygons: DataFrame, ring: str = "ring", key: str = "poly_id")
 def points_in_polygons(points: DataFrame, polygons: DataFrame, bucket: float = 1.0, key: str = "station_id", first: Column | None = None) -> DataFrame:
     """Points with the poly_id they lie in (least id on ties, or by ``first``), null outside.
 
-    Points meet polygons through an equality join on buckets of the bounding boxes; the crossing
-    number of each candidate is an aggregate over the ring's own array, so no edge is shuffled. A
-    point on an edge counts as inside.
+    Points meet polygons through an equality join on buckets of the bounding boxes, and the edges of
+    those polygons through the same bucket of rows, so no ring travels whole. The crossing number is
+    a sum over edges; a point on an edge counts as inside.
     """
     b = F.lit(float(bucket))
     ring = F.col("ring")
+    polygons = polygons.withColumn("_ring", F.xxhash64("poly_id", "ring")).dropDuplicates(["poly_id", "_ring"])
     box = polygons.withColumns({"_x0": F.array_min(F.transform(ring, lambda p: p["x"])), "_x1": F.array_max(F.transform(ring, lambda p: p["x"])), "_y0": F.array_min(F.transform(ring, lambda p: p["y"])), "_y1": F.array_max(F.transform(ring, lambda p: p["y"]))})
+    box = box.select("poly_id", "_ring", "_x0", "_x1", "_y0", "_y1", (first if first is not None else F.col("poly_id")).alias("_order"))
     cells = box.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_x0") / b), F.floor(F.col("_x1") / b)))).withColumn("_by", F.explode(F.sequence(F.floor(F.col("_y0") / b), F.floor(F.col("_y1") / b))))
-    p = points.select(key, F.col("lon").alias("_px"), F.col("lat").alias("_py")).where("_px is not null and _py is not null")
+    p = points.select(key, F.col("lon").alias("_px"), F.col("lat").alias("_py")).where("_px is not null and _py is not null").distinct()
     p = p.withColumns({"_bx": F.floor(F.col("_px") / b), "_by": F.floor(F.col("_py") / b)})
-    near = p.join(cells, ["_bx", "_by"]).where("_px between _x0 and _x1 and _py between _y0 and _y1")
-    n = F.size(ring)
-
-    def cross(s: Column, i: Column) -> Column:
-        a, c = F.element_at(ring, i), F.element_at(ring, F.when(i == n, 1).otherwise(i + 1))
-        x, y = F.col("_px"), F.col("_py")
-        turn = (c["x"] - a["x"]) * (y - a["y"]) - (c["y"] - a["y"]) * (x - a["x"])
-        on = (turn == 0) & x.between(F.least(a["x"], c["x"]), F.greatest(a["x"], c["x"])) & y.between(F.least(a["y"], c["y"]), F.greatest(a["y"], c["y"]))
-        hit = ((a["y"] > y) != (c["y"] > y)) & ((turn > 0) == (c["y"] > a["y"]))
-        return F.struct((s["n"] + hit.cast("int")).alias("n"), (s["on"] | on).alias("on"))
-
-    got = F.aggregate(F.sequence(F.lit(1), n), F.struct(F.lit(0).alias("n"), F.lit(False).alias("on")), cross)
-    inside = near.withColumn("_g", got).where((F.col("_g.n") % 2 == 1) | F.col("_g.on"))
-    match = inside.groupBy(key).agg(F.min("poly_id").alias("poly_id") if first is None else F.max_by("poly_id", first).alias("poly_id"))
+    near = p.join(cells, ["_bx", "_by"]).where("_px between _x0 and _x1 and _py between _y0 and _y1").select(key, "_px", "_py", "_by", "poly_id", "_ring", "_order")
+    edges = polygon_edges(polygons, key="_ring")
+    edges = edges.withColumn("_by", F.explode(F.sequence(F.floor(F.least("y1", "y2") / b), F.floor(F.greatest("y1", "y2") / b))))
+    x, y, x1, y1, x2, y2 = (F.col(c) for c in ("_px", "_py", "x1", "y1", "x2", "y2"))
+    turn = (x2 - x1) * (y - y1) - (y2 - y1) * (x - x1)
+    on = (turn == 0) & x.between(F.least(x1, x2), F.greatest(x1, x2)) & y.between(F.least(y1, y2), F.greatest(y1, y2))
+    hit = ((y1 > y) != (y2 > y)) & ((turn > 0) == (y2 > y1))
+    met = near.join(edges, ["_ring", "_by"]).groupBy(key, "_px", "_py", "_ring", "poly_id", "_order").agg(F.count_if(hit).alias("n"), F.max(on).alias("on"))
+    inside = met.where((F.col("n") % 2 == 1) | F.col("on"))
+    match = inside.groupBy(key).agg(F.min("poly_id").alias("poly_id") if first is None else F.max_by("poly_id", "_order").alias("poly_id"))
     return points.join(match, key, "left")
 
 

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -179,7 +180,8 @@ def distance_to_class(cells: DataFrame, classes: list[int], res_deg: float, code
     """Euclidean distance in degrees from each cell to the nearest cell of each class; absent classes give no rows.
 
     Exact and separable: the nearest source row within each column (a window per class and column),
-    then the lower envelope of parabolas along each row, one row of one class per group.
+    then the lower envelope of parabolas along each row. Rows are dealt whole to tasks, which go
+    through them in order, many rows at a time.
     """
     present = cells.where(F.col(code).isin(classes)).select(F.col(code).alias("klass")).distinct()
     all_ = cells.select("lat_idx", "lon_idx", code).join(F.broadcast(present.limit(len(classes))))
@@ -189,28 +191,47 @@ def distance_to_class(cells: DataFrame, classes: list[int], res_deg: float, code
     down = F.first(src, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
     near = all_.withColumns({"_u": F.col("lat_idx") - up, "_d": down - F.col("lat_idx")}).withColumn("_g", F.least("_u", "_d").cast("double"))
 
-    def envelope(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("lon_idx")
-        x, g = pdf["lon_idx"].to_numpy(float), pdf["_g"].to_numpy(float)
-        known = np.flatnonzero(np.isfinite(g))
-        if not len(known):
-            return pdf.assign(distance=np.nan)[["klass", "lat_idx", "lon_idx", "distance"]]
-        f, hull, cut = g**2, [], []
-        for i in known:
-            while hull:
-                j = hull[-1]
-                s = ((f[i] + x[i] ** 2) - (f[j] + x[j] ** 2)) / (2 * (x[i] - x[j]))
-                if cut and s <= cut[-1]:
-                    hull.pop(), cut.pop()
-                else:
-                    break
-            if hull:
-                cut.append(((f[i] + x[i] ** 2) - (f[hull[-1]] + x[hull[-1]] ** 2)) / (2 * (x[i] - x[hull[-1]])))
-            hull.append(i)
-        best = np.asarray(hull)[np.searchsorted(np.asarray(cut), x)]
-        return pdf.assign(distance=np.sqrt((x - x[best]) ** 2 + f[best]) * res_deg)[["klass", "lat_idx", "lon_idx", "distance"]]
-
-    return near.select("klass", "lat_idx", "lon_idx", "_g").groupBy("klass", "lat_idx").applyInPandas(envelope, "klass int, lat_idx int, lon_idx int, distance double")
+    def along(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last row, which may go on in the next batch
+        for b in batches:
+            part = [b[c].to_numpy(zero_copy_only=False) for c in ("klass", "lat_idx", "lon_idx", "_g")]
+            part = part if held is None else [np.concatenate([h, p]) for h, p in zip(held, part, strict=True)]
+            edge = np.flatnonzero((np.diff(part[0]) != 0) | (np.diff(part[1]) != 0)) + 1
+            last = int(edge[-1]) if len(edge) else 0
+            held = [p[last:] for p in part]
+            if last:
+                yield distances([p[:last] for p in part], edge[:-1])
+        if held is not None and len(held[0]):
+            yield distances(held, np.zeros(0, np.int64))
+
+    def distances(part: list[np.ndarray], edge: np.ndarray) -> pa.RecordBatch:
+        cuts = [0, *edge.tolist(), len(part[0])]
+        away = [_row_distance(part[2][a:z].astype(float), part[3][a:z].astype(float)) * res_deg for a, z in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([*[pa.array(p.astype(np.int32)) for p in part[:3]], pa.array(np.concatenate(away))], ["klass", "lat_idx", "lon_idx", "distance"])
+
+    dealt = near.select("klass", "lat_idx", "lon_idx", "_g").repartition("klass", "lat_idx").sortWithinPartitions("klass", "lat_idx", "lon_idx")
+    return dealt.mapInArrow(along, "klass int, lat_idx int, lon_idx int, distance double")
+
+
+def _row_distance(x: np.ndarray, g: np.ndarray) -> np.ndarray:
+    """Distance from each position of a row to the nearest source, given the distance to it within each column: the lower envelope of parabolas."""
+    known = np.flatnonzero(np.isfinite(g))
+    if not len(known):
+        return np.full(len(x), np.nan)
+    f, hull, cut = g**2, [], []
+    for i in known:
+        while hull:
+            j = hull[-1]
+            s = ((f[i] + x[i] ** 2) - (f[j] + x[j] ** 2)) / (2 * (x[i] - x[j]))
+            if cut and s <= cut[-1]:
+                hull.pop(), cut.pop()
+            else:
+                break
+        if hull:
+            cut.append(((f[i] + x[i] ** 2) - (f[hull[-1]] + x[hull[-1]] ** 2)) / (2 * (x[i] - x[hull[-1]])))
+        hull.append(i)
+    best = np.asarray(hull)[np.searchsorted(np.asarray(cut), x)]
+    return np.sqrt((x - x[best]) ** 2 + f[best])
 
 
 def segments_to_cells(segments: DataFrame, axes: Axes) -> DataFrame:

@@ -177,6 +177,36 @@ def test_distance_to_class(spark):
         assert abs(d - 0.5 * min(math.hypot(y - b, x - a) for b, a, c in cells if c == k)) < 1e-9
 
 
+def test_distance_to_class_over_batch_borders(spark):
+    rng = random.Random(5)
+    cells = [(y, x, rng.choice([None] * 5 + [3])) for y in range(9) for x in range(11)]
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "4")
+    try:
+        got = {(r.lat_idx, r.lon_idx): r.distance for r in G.distance_to_class(spark.createDataFrame(cells, "lat_idx int, lon_idx int, code int"), [3], 1.0).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 99 and all(abs(d - min(math.hypot(y - b, x - a) for b, a, c in cells if c)) < 1e-9 for (y, x), d in got.items())
+
+
+def test_points_in_many_polygons_equal_brute_force(spark):
+    rng = random.Random(7)
+    polys = []
+    for i in range(25):
+        cx, cy = rng.uniform(0, 20), rng.uniform(0, 20)
+        polys.append((i, [(cx + rng.uniform(0.3, 4) * math.cos(t), cy + rng.uniform(0.3, 4) * math.sin(t)) for t in sorted(rng.uniform(0, 6.28) for _ in range(rng.randint(3, 40)))]))
+    polys.append((3, polys[9][1]))  # a second part of polygon 3
+    pts = [(f"p{i}", rng.uniform(-1, 21), rng.uniform(-1, 21)) for i in range(300)] + [("p0", None, 1.0)]
+
+    def odd(ring, x, y):
+        return sum((a[1] > y) != (b[1] > y) and x < a[0] + (y - a[1]) * (b[0] - a[0]) / (b[1] - a[1]) for a, b in zip(ring, ring[1:] + ring[:1], strict=True)) % 2
+
+    df = spark.createDataFrame(polys, "poly_id int, ring array<struct<x:double,y:double>>")
+    points = spark.createDataFrame([*pts, pts[5]], "station_id string, lon double, lat double")
+    got = sorted((r.station_id, r.poly_id) for r in J.points_in_polygons(points.where("lon is not null"), df, bucket=1.5).collect())
+    want = sorted((k, min((i for i, ring in polys if odd(ring, x, y)), default=None)) for k, x, y in [*pts[:-1], pts[5]])
+    assert sorted(map(str, got)) == sorted(map(str, want))
+
+
 def test_segments_to_cells(spark):
     axes = G.Axes(10.0, -1.0, 11, 0.0, 1.0, 11)
     s = spark.createDataFrame([(1.0, 9.0, 4.0, 9.0, 5), (4.0, 9.0, 4.0, 9.0, 7)], "x1 double, y1 double, x2 double, y2 double, code int")
