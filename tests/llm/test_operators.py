@@ -672,6 +672,21 @@ def test_url_rules_by_total_length_and_any_case(spark):
     assert got == [("com/very/long/path/", "block"), ("example.com/very", "allow"), ("mixed.org/a", "block"), ("x.io/bc", "allow"), ("com/very/long/path/", "block")]
 
 
+def test_very_long_texts(spark):
+    """A text of some MB among short ones, in the operators that read texts whole in one pass."""
+    long = ("banana kaboba " * 200_000).strip()
+    rows = [(0, long), (1, "banana"), (2, "привет мир"), (3, None)] + [(10 + i, ["banana kaboba nabaka", "привет мир слово"][i % 2]) for i in range(60)]
+    df = spark.createDataFrame([(i, t, ["aa", "ru"][i % 2]) for i, t in rows], "doc_id long, text string, lang string")
+    got = {r.doc_id: r for r in sharding.shard_rows(df).collect()}
+    assert got[0].size == len(long) + 16 and got[0].text_crc32 == zlib.crc32(long.encode()) and got[3].size == 16
+    model = language.fit(df)
+    label = {r.doc_id: r for r in language.identify_language(df, model).collect()}
+    assert label[0].lang_pred == label[1].lang_pred and label[0].score > 0.99 and label[3].lang_pred == "und"
+    labels = spark.createDataFrame([(10 + i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    score = {r.doc_id: r.score for r in toxicity.score_toxicity(df, toxicity.fit(df, labels)).collect()}
+    assert score[0] < 0.3 < score[2]
+
+
 def test_held_out_rule(spark):
     got = spark.range(50).select("id", held_out("id").alias("h")).collect()
     assert all(r.h == (zlib.crc32(str(r.id).encode()) % 4 == 2) for r in got)
