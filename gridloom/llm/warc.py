@@ -5,6 +5,7 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import os
 import re
 import uuid
 from collections.abc import Iterator
@@ -29,6 +30,13 @@ FILE_BYTES = 128 << 20
 BLOCK = 4 << 20
 
 
+def _folder(path: str) -> tuple[pyarrow.fs.FileSystem, str]:
+    """File system and place of a folder that Spark names by a URI or a local path."""
+    if "://" not in path and not path.startswith("file:"):
+        path = os.path.abspath(path)
+    return pyarrow.fs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", re.sub("^file:/(?!/)", "file:///", path)))
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     names: list[str]
@@ -45,7 +53,7 @@ class _ArchiveWriter(DataSourceArrowWriter):
         self.path, self.file_bytes = path, file_bytes
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> _Written:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs, root = _folder(self.path)
         fs.create_dir(f"{root}/_writing", recursive=True)
         names, out, size = [], None, 0
         for batch in iterator:
@@ -64,14 +72,14 @@ class _ArchiveWriter(DataSourceArrowWriter):
         return _Written(names)
 
     def commit(self, messages: list[_Written | None]) -> None:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs, root = _folder(self.path)
         fs.create_dir(f"{root}/_writing", recursive=True)
         for name in [n for m in messages if m for n in m.names]:
             fs.move(f"{root}/_writing/{name}", f"{root}/{name}")
         fs.delete_dir(f"{root}/_writing")
 
     def abort(self, messages: list[_Written | None]) -> None:
-        fs, root = pyarrow.fs.FileSystem.from_uri(self.path)
+        fs, root = _folder(self.path)
         if fs.get_file_info(f"{root}/_writing").type != pyarrow.fs.FileType.NotFound:
             fs.delete_dir(f"{root}/_writing")
 

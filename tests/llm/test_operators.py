@@ -329,6 +329,11 @@ def test_warc_returns_payloads_and_splits_archives(spark, tmp_path):
         assert got == {i: f"page {i} " * 50 for i in range(30)}
 
 
+def test_warc_folders(tmp_path):
+    for name in (str(tmp_path), f"file://{tmp_path}", f"file:{tmp_path}"):
+        assert warc._folder(name)[1].rstrip("/") == str(tmp_path)
+
+
 def test_warc_records_are_gzip_members(spark, tmp_path):
     import gzip
     import zlib as z
