@@ -137,10 +137,14 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
     table = materialize(base.mapInArrow(scan, _SCAN), "scanned")
     seen = table.where("text is not null").select("row", F.explode(F.arrays_zip("path", "src", "dst", "start", "stop")).alias("x")).select("row", "x.*")
     counted = seen.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start")).alias("one"), F.min("src").alias("src"), F.min("dst").alias("dst"), F.min(F.col("stop") - F.col("start")).alias("len"))
-    counted = materialize(counted, "path-counts")
-    chains = compact(counted.where("c > 1").select("path", "src", "dst", "len"))
+    # from here on a path is a number: the table is written once, so the numbers stay
+    counted = materialize(counted.withColumn("pid", F.monotonically_increasing_id()), "path-counts")
+    first = (F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))
+    placed = seen.select("row", "path", "start", "stop").join(counted.select("path", "pid", "c", "one"), "path")
+    placed = materialize(placed.select("row", "pid", "start", "stop", (F.col("c") > 1).alias("twice"), first.alias("first")), "placed")
+    chains = compact(counted.where("c > 1").select(F.col("pid").alias("path"), "src", "dst", "len"))
     runs = (
-        seen.select("row", "path", "start", "stop")
+        placed.where("twice").select("row", F.col("pid").alias("path"), "start", "stop")
         .join(chains, "path")
         .groupBy("row", "chain", (F.col("start") - F.col("offset")).alias("shift"))
         .agg(F.min("start").alias("a"), F.max("stop").alias("z"), F.collect_set(F.struct("start", "stop")).alias("each"))
@@ -150,9 +154,7 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
     whole = runs.select("row", F.explode(joined).alias("x")).select("row", "x.start", (F.col("x.stop") + (size - 1)).alias("end"))
 
     # windows of the paths found once (asks) and of one copy of each repeated path
-    told = seen.select("row", "path", "start", "stop").join(counted.select("path", "c", "one"), "path")
-    told = told.where((F.col("c") == 1) | ((F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))))
-    told = told.groupBy("row").agg(F.collect_list(F.struct("start", "stop", (F.col("c") == 1).alias("asks"))).alias("parts"))
+    told = placed.where("first or not twice").groupBy("row").agg(F.collect_list(F.struct("start", "stop", (~F.col("twice")).alias("asks"))).alias("parts"))
     listed = materialize(table.where("text is not null").select("row", "text").join(told, "row"), "listed")
 
     def spread(part: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
@@ -193,14 +195,19 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
                     proofs.append(np.frombuffer(b"".join(source[1].digests(at, at + size, 4)), np.int32))
                 if rows:
                     w = np.concatenate(wins)
-                    cols = [part["row"].take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ask)), pa.array(w.view(np.int64)), pa.array(np.concatenate(proofs)), pa.array(bit_at(heavy.value, w)), pa.array(np.concatenate(ats).astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(cols, ["row", "asks", "win", "proof", "heavy", "at"])
-
-    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, proof int, heavy boolean, at int"), "windows")
-    double = cand.groupBy("win", "proof").agg(F.sum(F.when(F.col("asks"), 1).otherwise(2)).alias("w"), F.max("asks").alias("asks"), F.max("heavy").alias("heavy")).where("w > 1 and asks")
-    double = double.select("win", "proof", F.explode(F.when(F.col("heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))).alias("salt"))
-    asked = cand.where("asks").withColumn("salt", F.when(F.col("heavy"), F.pmod(F.xxhash64("row", "at"), F.lit(SALTS)).cast("int")).otherwise(0))
-    marked = asked.join(double, ["win", "proof", "salt"]).select("row", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
+                    key = np.concatenate(proofs).astype(np.int64) << 1 | bit_at(heavy.value, w)
+                    cols = [part["row"].take(pa.array(np.concatenate(rows))), pa.array(np.concatenate(ask)), pa.array(w.view(np.int64)), pa.array(key), pa.array(np.concatenate(ats).astype(np.int32))]
+                    yield pa.RecordBatch.from_arrays(cols, ["row", "asks", "win", "key", "at"])
+
+    # key: the words' digest, and in the last bit whether the window is heavy; few and full columns keep the exchanges small
+    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, key long, at int"), "windows")
+    both = cand.groupBy("win", "key").agg(F.sum(F.when(F.col("asks"), F.lit(1)).otherwise(F.lit(1 << 32))).alias("w"))
+    asking, copies = F.col("w") % (1 << 32), F.floor(F.col("w") / (1 << 32))
+    is_heavy = F.col("key") % 2 != 0
+    salts = F.when(is_heavy, F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    double = both.where((asking >= 1) & (asking + copies > 1)).select("win", F.explode(F.transform(salts, lambda s: F.col("key") * SALTS + s)).alias("key"))
+    salt = F.when(is_heavy, F.pmod(F.xxhash64("row", "at"), F.lit(SALTS))).otherwise(0)
+    marked = cand.where("asks").select("win", (F.col("key") * SALTS + salt).alias("key"), "row", "at").join(double, ["win", "key"]).select("row", F.col("at").alias("start"), (F.col("at") + size).alias("end"))
     return table, whole.unionByName(marked)
 
 
