@@ -134,14 +134,14 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
                 lists = [pa.array([f[k] for f in found], pa.list_(t)) for k, t in enumerate(types)]
                 yield pa.RecordBatch.from_arrays([part["row"], part["doc_id"], pa.array(np.diff(o)), pa.array(sha, pa.string()), pa.array(kept, pa.string()), *lists], ["row", "doc_id", "n_words", "kept_sha256", "text", "path", "src", "dst", "start", "stop"])
 
-    table = materialize(base.mapInArrow(scan, _SCAN), "scanned")
+    table = materialize(base.mapInArrow(scan, _SCAN), "scanned", "zstd")
     seen = table.where("text is not null").select("row", F.explode(F.arrays_zip("path", "src", "dst", "start", "stop")).alias("x")).select("row", "x.*")
     counted = seen.groupBy("path").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("row", "start")).alias("one"), F.min("src").alias("src"), F.min("dst").alias("dst"), F.min(F.col("stop") - F.col("start")).alias("len"))
     # from here on a path is a number: the table is written once, so the numbers stay
     counted = materialize(counted.withColumn("pid", F.monotonically_increasing_id()), "path-counts")
     first = (F.col("one.row") == F.col("row")) & (F.col("one.start") == F.col("start"))
     placed = seen.select("row", "path", "start", "stop").join(counted.select("path", "pid", "c", "one"), "path")
-    placed = materialize(placed.select("row", "pid", "start", "stop", (F.col("c") > 1).alias("twice"), first.alias("first")), "placed")
+    placed = materialize(placed.select("row", "pid", "start", "stop", (F.col("c") > 1).alias("twice"), first.alias("first")), "placed", "zstd")
     chains = compact(counted.where("c > 1").select(F.col("pid").alias("path"), "src", "dst", "len"))
     runs = (
         placed.where("twice").select("row", F.col("pid").alias("path"), "start", "stop")
@@ -155,7 +155,7 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
 
     # windows of the paths found once (asks) and of one copy of each repeated path
     told = placed.where("first or not twice").groupBy("row").agg(F.collect_list(F.struct("start", "stop", (~F.col("twice")).alias("asks"))).alias("parts"))
-    listed = materialize(table.where("text is not null").select("row", "text").join(told, "row"), "listed")
+    listed = materialize(table.where("text is not null").select("row", "text").join(told, "row"), "listed", "zstd")
 
     def spread(part: pa.RecordBatch) -> Iterator[tuple[int, bool, np.ndarray, np.ndarray]]:
         """(row number, asks, hashes, positions) of the live windows of each listed path."""
@@ -200,7 +200,7 @@ def analyse(docs: DataFrame, size: int = 35, id_col: str = "doc_id", text_col: s
                     yield pa.RecordBatch.from_arrays(cols, ["row", "asks", "win", "key", "at"])
 
     # key: the words' digest, and in the last bit whether the window is heavy; few and full columns keep the exchanges small
-    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, key long, at int"), "windows")
+    cand = materialize(listed.mapInArrow(candidates, "row long, asks boolean, win long, key long, at int"), "windows", "zstd")
     both = cand.groupBy("win", "key").agg(F.sum(F.when(F.col("asks"), F.lit(1)).otherwise(F.lit(1 << 32))).alias("w"))
     asking, copies = F.col("w") % (1 << 32), F.floor(F.col("w") / (1 << 32))
     is_heavy = F.col("key") % 2 != 0
