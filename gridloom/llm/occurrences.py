@@ -42,11 +42,12 @@ def occurrence_bitmaps(rows: DataFrame, tokens: Callable[[pa.RecordBatch, set],
     """Filters that mark the tokens of a kind that are counted so many times: one for each (kind, least count) of ``at_least``.
 
     ``tokens(some rows, set kept for the task)`` gives the tokens of the rows, an array for each
-    kind; ``expected`` is about their number per row. Every token of every row is counted: tasks send sorted distinct 32-bit
-    fingerprints per bucket, with counts, so a frequent token is sent once per million tokens; a
-    bucket is one group, and their number follows the input, so each stays at about a million
-    fingerprints. Tokens that share 40 or more leading bits count together, and some others seem
-    marked: callers may only use the marks where a false one costs work, not results.
+    kind; ``expected`` is about their number per row. Every token of every row is counted: tasks send
+    sorted distinct 32-bit fingerprints per bucket, with counts, so a frequent token is sent once per
+    million tokens; a bucket is one group, and their number follows the input up to 2**20, so each
+    stays at about a million fingerprints up to 7 * 10**11 tokens and grows in proportion beyond.
+    Tokens that share 40 or more leading bits count together, and some others seem marked: callers
+    may only use the marks where a false one costs work, not results.
     """
     total = int(rows.agg(F.sum(expected)).first()[0] or 0)
     bits = min(most_bits, max(20, total.bit_length() + 3))
