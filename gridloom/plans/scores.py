@@ -139,7 +139,7 @@ def u6(t: Tables):
 
 
 def _complete(t: Tables):
-    s = _long(t, ["nse", "rmse"]).withColumn("score", F.round("score", 6))
+    s = materialize(_long(t, ["nse", "rmse"]).withColumn("score", F.round("score", 6)), "scores")
     return materialize(J.complete_cases(s.where("metric = 'nse'"), 3).unionByName(J.complete_cases(s.where("metric = 'rmse'"), 3)), "scores")
 
 
