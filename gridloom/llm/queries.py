@@ -73,6 +73,13 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(_read(spark, sf_dir, "pages"))
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import quality
+
+    docs = _read(spark, sf_dir, "documents")
+    return quality.score_quality(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -80,7 +87,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, pipeline]
+    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, op11_quality, pipeline]
     return {f.__name__: f for f in found}
 
 
