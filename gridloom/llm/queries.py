@@ -80,6 +80,12 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import conversation_trie
+
+    return conversation_trie.prefix_trie(_read(spark, sf_dir, "conversations")).drop("x1", "x2")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -87,7 +93,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, op11_quality, pipeline]
+    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, op11_quality, op13_conversation_trie, pipeline]
     return {f.__name__: f for f in found}
 
 
@@ -146,6 +152,23 @@ m AS (SELECT h.page_id, v, rh || rp AS rule, row_number() OVER (PARTITION BY h.p
 SELECT h.page_id, h.host, h.path, m.rule, coalesce(m.v, 'allow') AS verdict FROM h LEFT JOIN m ON m.page_id = h.page_id AND m.k = 1
 """
 
+OP13_SQL = """
+WITH c AS (SELECT conv_id, list({'r': coalesce(role, ''), 't': coalesce(text, '')} ORDER BY turn NULLS FIRST,
+      md5(length(coalesce(role, ''))::VARCHAR || ' ' || coalesce(role, '') || coalesce(text, ''))) AS l FROM conversations WHERE conv_id IS NOT NULL GROUP BY conv_id),
+h AS (SELECT conv_id, l, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(conv_id::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+      lambda a, b: list_reduce(list_prepend(xor(a, b), list_transform(range(8), lambda i: 0::BIGINT)),
+        lambda p, q: xor(p >> 1, CASE WHEN p & 1 = 1 THEN 3988292384 ELSE 0 END)))) % 6 AS h FROM c),
+b AS (SELECT h.conv_id, coalesce(o.l, [])[1 : h.h] || h.l[h.h + 1 :] AS l FROM h LEFT JOIN h o ON o.conv_id = h.conv_id - h.conv_id % 100),
+p AS (SELECT conv_id, l, unnest(range(len(l) + 1)) AS d FROM b),
+k AS (SELECT conv_id, d, len(l) = d AS ends, md5(l[1 : d]::VARCHAR) AS x, CASE WHEN d > 0 THEN md5(l[1 : d - 1]::VARCHAR) END AS up, CASE WHEN d > 0 THEN length(l[d].t) ELSE 0 END AS n FROM p),
+n AS (SELECT d, x, min(conv_id) AS conv_id, count(*) AS n_convs, max(up) AS up, max(n) AS n, string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (ends) AS ids FROM k GROUP BY d, x),
+q AS (SELECT n.*, m.conv_id AS parent_conv_id, coalesce(j.c, 0) AS n_children FROM n LEFT JOIN n m ON m.d = n.d - 1 AND m.x = n.up
+  LEFT JOIN (SELECT d, up, count(*) AS c FROM n GROUP BY d, up) j ON j.d = n.d + 1 AND j.up = n.x),
+s AS (SELECT k.d, k.x, sum((q.n_children = 0)::INT)::BIGINT AS n_leaves, sum((q.n_convs - 1) * q.n)::BIGINT AS saved FROM q JOIN k ON k.conv_id = q.conv_id AND k.d <= q.d GROUP BY k.d, k.x)
+SELECT q.conv_id, q.d AS depth, q.parent_conv_id, q.n_convs, q.n_children, s.n_leaves, s.saved AS saved_tokens, sha256(coalesce(q.ids, '')) AS ends_sha256
+FROM q JOIN s ON s.d = q.d AND s.x = q.x
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL}
+    return {"op2_jaccard_join": OP2_SQL, "op4_warc": OP4_SQL, "op5_substring_dedup": OP5_SQL, "op7_exact_dedup": OP7_SQL, "op10_url_filter": OP10_SQL, "op13_conversation_trie": OP13_SQL}
