@@ -80,6 +80,12 @@ def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_quality(docs, quality.fit(docs, _read(spark, sf_dir, "labels")))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from gridloom.llm import token_alignment
+
+    return token_alignment.align(_read(spark, sf_dir, "documents"))
+
+
 def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     from gridloom.llm import conversation_trie
 
@@ -93,7 +99,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, op11_quality, op13_conversation_trie, pipeline]
+    found = [op1_sharding, op2_jaccard_join, op3_sentencepiece, op4_warc, op5_substring_dedup, op6_decontaminate, op7_exact_dedup, op8_language, op9_toxicity, op10_url_filter, op11_quality, op12_token_alignment, op13_conversation_trie, pipeline]
     return {f.__name__: f for f in found}
 
 
