@@ -55,7 +55,11 @@ class Codec:
         self.pairs: dict[tuple[str, str], bool] = {}
 
     def encode(self, texts: list[str], first: bool = True) -> list[list[int]]:
-        """Ids of texts. first: the texts begin documents; else each begins with a blank that the library's dummy prefix stands for."""
+        """Ids of texts. first: the texts begin documents; else each begins with a blank that the library's dummy prefix stands for.
+
+        To the model U+2581 is a blank, so both are one symbol before a text is cut into words.
+        """
+        texts = [t.replace("▁", " ") for t in texts]
         if not self.splits:
             return self.sp.encode(texts if first else [t[1:] for t in texts], num_threads=1)
         split = [[w[1:] for w in _WORD.findall(" " + t if first else t)] for t in texts]
@@ -362,7 +366,7 @@ def encode(docs: DataFrame, model: str = MODEL, chunk: int = CHUNK, id_col: str
 
 
 def decode(coded: DataFrame, model: str = MODEL, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Texts of token id arrays; null ids give null text."""
+    """Texts of token id arrays; null ids give null text, no ids the empty text; repeated rows and null doc_ids are kept."""
     rows = coded.select(F.col(id_col).cast("long").alias("doc_id"), F.col(ids_col).cast("array<int>").alias("ids"))
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
