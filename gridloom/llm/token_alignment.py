@@ -17,6 +17,7 @@ import os
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +32,7 @@ B_FILE = "/opt/tokenizers/piece_bpe_32k.model"
 #: Characters of text that share a table of id pairs, and characters that are cut into words at once.
 BLOCK, PART = 4 << 20, 1 << 20
 #: Distinct words, and their characters, that are remembered.
-WORDS, CHARS = 150_000, 8 << 20
+WORDS, CHARS = 300_000, 8 << 20
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 
 
@@ -69,48 +70,81 @@ class Aligner:
         self.a_bytes = [special[i] if i in special else bytes(alphabet[c] for c in names.get(i, "")) for i in range(max(names) + 1)]
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in enumerate(pieces)]
+        self.spelling = np.array([str(i) for i in range(max(len(self.a_bytes), len(pieces)))], object)
         self.a_len, self.b_len = (np.array([len(x) for x in t], np.int64) for t in (self.a_bytes, self.b_bytes))
         self.clear()
 
     def clear(self) -> None:
         self.index: dict[str, int] = {}
         self.chars = 0
-        self.text: list[bytes] = []  # groups as text
-        self.good: list[bool] = []
+        self.text: list[str] = []  # groups as text
         self.parts: list[tuple[np.ndarray, ...]] = []
         self.flat: tuple[np.ndarray, ...] | None = None
-        self.tokens: list[tuple[np.ndarray, ...]] = []
 
-    def learn(self, words: list[str]) -> None:
-        """Encode and align words that aren't known yet: each is a blank and the word."""
+    def encode(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """Tokens of the words, each with a blank before it, one after the other.
+
+        Which words have the right bytes in both; where each word begins in the bytes of all; and for A and B ids, byte ends
+        and words of the tokens of these words. Words without white space at an end are encoded in one text, which both
+        tokenizers cut at the blanks; if their bytes don't come back so, and for others, each word is a text.
+        """
         raw = [b" " + w.encode("utf-8", "replace") for w in words]
         begin = np.concatenate([[0], np.cumsum([len(r) for r in raw])]).astype(np.int64)
-        chars = np.append(np.flatnonzero((np.frombuffer(b"".join(raw), np.uint8) & 0xC0) != 0x80), begin[-1])
+        data = b"".join(raw)
+        chars = np.append(np.flatnonzero((np.frombuffer(data, np.uint8) & 0xC0) != 0x80), begin[-1])
+        plain = all("▁" not in w and w and not (w[0].isspace() or w[-1].isspace()) for w in words)
+        whole = [" ".join(words)] if plain else words
+        a = [self.a.encode(" " + w, add_special_tokens=False) for w in whole]
+        b = self.b.encode(whole, return_type="proto", num_threads=1)
+        a_ids, b_parts = [x.ids for x in a], [[(p.id, p.begin, p.end) for p in x.pieces] for x in b]
+        n_a, n_b = np.array([len(x) for x in a_ids], np.int64), np.array([len(x) for x in b_parts], np.int64)
+        ida = np.fromiter(chain.from_iterable(a_ids), np.int64, n_a.sum())
+        off = np.fromiter(chain.from_iterable(chain.from_iterable(x.offsets for x in a)), np.int64, 2 * n_a.sum()).reshape(-1, 2)
+        got = np.fromiter(chain.from_iterable(chain.from_iterable(b_parts)), np.int64, 3 * n_b.sum()).reshape(-1, 3)
+        idb = got[:, 0]
+        bytes_a, bytes_b = (list(map(t.__getitem__, ids.tolist())) for t, ids in ((self.a_bytes, ida), (self.b_bytes, idb)))
+        text_of = np.array([0]) if plain else np.arange(len(words))  # the first word of each encoded text
+        ta, tb = np.repeat(text_of, n_a), np.repeat(text_of, n_b)
+        if plain:
+            good = np.ones(len(words), bool)
+            if not b"".join(bytes_a) == b"".join(bytes_b) == data:
+                if len(words) > 1:
+                    return self.halves(words)
+                good[:] = False
+        else:
+            ca, cb = np.cumsum(n_a).tolist(), np.cumsum(n_b).tolist()
+            good = np.array([b"".join(bytes_a[ca[i - 1] if i else 0 : ca[i]]) == b"".join(bytes_b[cb[i - 1] if i else 0 : cb[i]]) == raw[i] for i in range(len(words))], bool)
+
+        def ends(ids: np.ndarray, lens: np.ndarray, text: np.ndarray, lo: np.ndarray, hi: np.ndarray, coarse: np.ndarray) -> tuple[np.ndarray, ...]:
+            keep = good[text]
+            ids, text, lo, hi, coarse = ids[keep], text[keep], lo[keep], hi[keep], coarse[keep]
+            last = np.append(text[1:] != text[:-1], True) if len(text) else np.zeros(0, bool)
+            known = last | ((np.append(lo[1:], 0) >= hi) & (hi > lo))
+            end = _ends(lens[ids], coarse, known, begin[text])
+            return ids, end, np.searchsorted(begin, end, "left") - 1
+
         first = np.searchsorted(chars, begin)
-        a = self.a.encode_batch([" " + w for w in words], add_special_tokens=False)
-        b = self.b.encode(words, return_type="proto", num_threads=1)
-        a_ids, b_ids = [x.ids for x in a], [[p.id for p in x.pieces] for x in b]
-        good = [b"".join([self.a_bytes[i] for i in x]) == r == b"".join([self.b_bytes[i] for i in y]) for x, y, r in zip(a_ids, b_ids, raw, strict=True)]
-        use = np.flatnonzero(good)
-
-        def flat(lists: list[list]) -> tuple[np.ndarray, np.ndarray]:
-            counts = np.array([len(x) for x in lists], np.int64)
-            return np.array([i for x in lists for i in x], np.int64), counts
-
-        ida, na = flat([a_ids[i] for i in use])
-        idb, nb = flat([b_ids[i] for i in use])
-        wa, wb = np.repeat(use, na), np.repeat(use, nb)
-        span = np.array([o for i in use for o in a[i].offsets], np.int64).reshape(-1, 2)
-        last = np.append(wa[1:] != wa[:-1], True) if len(wa) else np.zeros(0, bool)
-        known = last | (np.append(span[1:, 0], 0) >= span[:, 1])
-        end_a = _ends(self.a_len[ida], chars[first[wa] + span[:, 1]], known, begin[wa])
-        span = np.array([(p.begin, p.end) for i in use for p in b[i].pieces], np.int64).reshape(-1, 2)
-        last = np.append(wb[1:] != wb[:-1], True) if len(wb) else np.zeros(0, bool)
-        known = last | ((np.append(span[1:, 0], 0) >= span[:, 1]) & (span[:, 1] > span[:, 0]))
-        end_b = _ends(self.b_len[idb], begin[wb] + 1 + span[:, 1], known, begin[wb])
-        cuts = np.intersect1d(end_a, end_b)
+        of_a = ends(ida, self.a_len, ta, off[:, 0], off[:, 1], chars[np.minimum(first[ta] + off[:, 1], len(chars) - 1)])
+        of_b = ends(idb, self.b_len, tb, got[:, 1], got[:, 2], begin[tb] + 1 + got[:, 2])
+        if plain and good.all() and not (np.isin(begin[1:], of_a[1]).all() and np.isin(begin[1:], of_b[1]).all()):
+            return self.halves(words)
+        return good, begin, *of_a, *of_b
+
+    def halves(self, words: list[str]) -> tuple[np.ndarray, ...]:
+        """encode of either half, put together."""
+        cut = len(words) // 2
+        x, y = self.encode(words[:cut]), self.encode(words[cut:])
+        at = x[1][-1]
+        return np.append(x[0], y[0]), np.append(x[1][:-1], y[1] + at), *(np.append(x[k], y[k] + shift) for k, shift in ((2, 0), (3, at), (4, cut), (5, 0), (6, at), (7, cut)))
+
+    def learn(self, words: list[str]) -> None:
+        """Encode and align words that aren't known yet: each is a blank and the word."""
+        n = len(words)
+        good, _, ida, end_a, wa, idb, end_b, wb = self.encode(words)
+        cuts = np.intersect1d(end_a, end_b, assume_unique=True)
         ga, gb = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
-        word = np.searchsorted(begin, cuts, "left") - 1  # the word of each group
+        word = np.zeros(len(cuts), np.int64)  # the word of each group
+        word[ga] = wa
         # linked pairs of ids of each group, with their number; equal ids of a group are counted first
         ua, ca = np.unique((ga << 20) + ida, return_counts=True)
         ub, cb = np.unique((gb << 20) + idb, return_counts=True)
@@ -119,52 +153,55 @@ class Aligner:
         at = np.repeat(np.arange(len(ua)), many)
         other = np.arange(len(at)) - np.repeat(np.cumsum(many) - many, many) + np.repeat(lo, many)
         pair = ((ua[at] & 0xFFFFF) << 20) + (ub[other] & 0xFFFFF)
-        links = ca[at] * cb[other]
-        order = np.lexsort((pair, word[ua[at] >> 20]))
-        owner, pair, links = word[ua[at] >> 20][order], pair[order], links[order]
-        new = np.append(True, (owner[1:] != owner[:-1]) | (pair[1:] != pair[:-1])) if len(owner) else np.zeros(0, bool)
-        start = np.flatnonzero(new)
-        links = np.add.reduceat(links, start) if len(start) else links
-        owner, pair = owner[start], pair[start]
-        n, base = len(words), len(self.text)
+        links, owner = ca[at] * cb[other], word[ua[at] >> 20]
+        owner, pair, links = _Block._merged(owner, pair, links)
         per = [np.bincount(x, y, n).astype(np.int64) for x, y in ((wa, None), (wb, None), (word, None), (owner, links))]
-        self.parts.append((*per, np.bincount(owner, minlength=n), pair, links))
+        self.parts.append((*per, np.bincount(owner, minlength=n), pair, links, good))
         self.flat = None
-        # the groups as text, and the tokens with their ends
-        sa, sb = list(map(str, ida.tolist())), list(map(str, idb.tolist()))
-        ea, eb = np.searchsorted(ga, np.arange(len(cuts)), "right").tolist(), np.searchsorted(gb, np.arange(len(cuts)), "right").tolist()
-        x = y = 0
-        texts: list[list[str]] = [[] for _ in words]
-        for w, i, j in zip(word.tolist(), ea, eb, strict=True):
-            texts[w].append(",".join(sa[x:i]) + "|" + ",".join(sb[y:j]))
-            x, y = i, j
-        self.text += [";".join(t).encode() for t in texts]
-        self.good += good
-        oa, ob = np.searchsorted(wa, np.arange(n + 1)), np.searchsorted(wb, np.arange(n + 1))
-        self.tokens += [(ida[oa[i] : oa[i + 1]], end_a[oa[i] : oa[i + 1]] - begin[i], idb[ob[i] : ob[i + 1]], end_b[ob[i] : ob[i + 1]] - begin[i]) for i in range(n)]
-        for i, w in enumerate(words):
-            self.index[w] = base + i
-            self.chars += len(w)
+        # the groups as text: tokens of A, then of B, group by group, each with what follows it
+        group, side = np.concatenate([ga, gb]), np.repeat([0, 1], [len(ga), len(gb)])
+        order = np.argsort(2 * group + side, kind="stable")
+        group, side, ids = group[order], side[order], np.concatenate([ida, idb])[order]
+        after = np.zeros(len(ids), np.int64)
+        if len(ids):
+            after[:-1] = np.where(group[1:] != group[:-1], np.where(word[group[1:]] != word[group[:-1]], 3, 2), side[1:] != side[:-1])
+            after[-1] = 3
+        spelled: list[str] = [""] * (2 * len(ids))
+        spelled[0::2] = self.spelling[ids].tolist()
+        spelled[1::2] = np.array([",", "|", ";", "\n"], object)[after].tolist()
+        texts, base = [""] * n, len(self.text)
+        for w, t in zip(np.unique(word).tolist(), "".join(spelled).split("\n"), strict=False):
+            texts[w] = t
+        self.text += texts
+        self.index.update(zip(words, range(base, base + n), strict=True))
+        self.chars += sum(map(len, words))
 
     def words(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Numbers of the words of all texts in a row, and each text's number of words."""
         split = [_CUT.split(t) for t in texts]
         all_ = [w for s in split for w in s]
-        new = list({w for w in all_ if w not in self.index})
+        ix = np.fromiter(map(self.index.get, all_, repeat(-1)), np.int64, len(all_))
+        missing = np.flatnonzero(ix < 0).tolist()
+        new = list({all_[i] for i in missing})
         if len(self.index) + len(new) > WORDS or self.chars + sum(map(len, new)) > CHARS:
             self.clear()
-            new = list(set(all_))
-        for at in range(0, len(new), 20_000):
-            self.learn(new[at : at + 20_000])
-        get = self.index.__getitem__
-        return np.fromiter(map(get, all_), np.int64, len(all_)), np.array([len(s) for s in split], np.int64)
+            new, missing = list(set(all_)), range(len(all_))
+        odd = [w for w in new if "▁" in w or not w or w[0].isspace() or w[-1].isspace()]
+        if odd:
+            self.learn(odd)
+            new = [w for w in new if w not in self.index]
+        for at in range(0, len(new), 4_000):
+            self.learn(new[at : at + 4_000])
+        if new or odd:
+            ix[missing] = np.fromiter((self.index[all_[i]] for i in missing), np.int64, len(missing))
+        return ix, np.array([len(s) for s in split], np.int64)
 
     def tables(self) -> tuple[np.ndarray, ...]:
         """n_a, n_b, n_groups, n_links of each word; places of its pairs; pairs and their links."""
         if self.flat is None:
             self.parts = [tuple(np.concatenate(x) for x in zip(*self.parts, strict=True))]
-            *per, count, pair, links = self.parts[0]
-            self.flat = (*per, np.concatenate([[0], np.cumsum(count)]), pair, links, np.array(self.good, bool))
+            *per, count, pair, links, good = self.parts[0]
+            self.flat = (*per, np.concatenate([[0], np.cumsum(count)]), pair, links, good)
         return self.flat
 
 
@@ -223,10 +260,11 @@ class _Block:
 
     @staticmethod
     def _merged(doc: np.ndarray, pair: np.ndarray, links: np.ndarray) -> tuple[np.ndarray, ...]:
-        order = np.lexsort((pair, doc))
-        doc, pair, links = doc[order], pair[order], links[order]
-        start = np.flatnonzero(np.append(True, (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1]))) if len(doc) else np.zeros(0, np.int64)
-        return doc[start], pair[start], np.add.reduceat(links, start) if len(start) else links
+        key = (doc << 40) + pair
+        order = np.argsort(key)
+        key, links = key[order], links[order]
+        start = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
+        return key[start] >> 40, key[start] & ((1 << 40) - 1), np.add.reduceat(links, start) if len(start) else links
 
     def _some(self, texts: list[str]) -> None:
         full = [i for i, t in enumerate(texts) if t]
@@ -237,7 +275,7 @@ class _Block:
             names, z = self.al.text, 0
             for i, k, ok in zip(full, n.tolist(), (got[:, 0] >= 0).tolist(), strict=True):
                 if ok:
-                    digests[i] = hashlib.sha256(b";".join([names[j] for j in ix[z : z + k].tolist()])).hexdigest()
+                    digests[i] = hashlib.sha256(";".join([names[j] for j in ix[z : z + k].tolist()]).encode()).hexdigest()
                 z += k
         self.counts.append(counts)
         self.digests += digests
@@ -250,7 +288,7 @@ class _Block:
             ix, _, got = self._count([part], [self.n])
             ok &= bool(got[0, 0] >= 0)
             total += got[0]
-            h.update((b";" if no else b"") + b";".join([self.al.text[j] for j in ix.tolist()]))
+            h.update(((";" if no else "") + ";".join([self.al.text[j] for j in ix.tolist()])).encode())
         if not ok:
             del self.pairs[mark:]
         self.counts.append(total[None] if ok else np.zeros((1, 4), np.int64))
@@ -352,13 +390,12 @@ def token_spans(docs: DataFrame, a_file: str = A_FILE, b_file: str = B_FILE, id_
         out: list[list[np.ndarray]] = [[], [], [], []]
         at = 0
         for part in _parts(text) if text else []:
-            ix, _ = al.words([part])
-            for j in ix.tolist():
-                if not al.good[j]:
-                    return [np.zeros(0, np.int64)] * 4
-                for k, x in enumerate(al.tokens[j]):
-                    out[k].append(x + at if k % 2 else x)
-                at += int(al.tokens[j][1][-1])
+            good, begin, ida, end_a, _, idb, end_b, _ = al.encode(_CUT.split(part))
+            if not good.all():
+                return [np.zeros(0, np.int64)] * 4
+            for k, x in enumerate((ida, end_a + at, idb, end_b + at)):
+                out[k].append(x)
+            at += int(begin[-1])
         return [np.concatenate(x) if x else np.zeros(0, np.int64) for x in out]
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
