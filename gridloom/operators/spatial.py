@@ -25,9 +25,23 @@ class Axes:
     def __init__(self, lat0: float, dlat: float, n_lat: int, lon0: float, dlon: float, n_lon: int):
         self.lat0, self.dlat, self.n_lat, self.lon0, self.dlon, self.n_lon = lat0, dlat, n_lat, lon0, dlon, n_lon
 
+    @property
+    def turn(self) -> float:
+        """Columns of a whole turn."""
+        return 360 / abs(self.dlon)
+
+    @property
+    def wraps(self) -> bool:
+        """Whether the columns go round the globe."""
+        return abs(self.turn - self.n_lon) < 1e-6
+
     def home(self, points: DataFrame) -> DataFrame:
-        """Nearest row and column of each point."""
-        return points.withColumns({"lat_idx": nearest_index(F.col("lat"), self.lat0, self.dlat, self.n_lat), "lon_idx": nearest_index(F.col("lon"), self.lon0, self.dlon, self.n_lon)})
+        """Nearest row and column of each point; columns of a global axis go on beyond either end."""
+        column = nearest_index(F.col("lon"), self.lon0, self.dlon, self.n_lon)
+        if self.wraps:
+            t = (F.col("lon") - F.lit(float(self.lon0))) / F.lit(float(self.dlon))
+            column = F.pmod(F.ceil(t - 0.5) if self.dlon > 0 else F.floor(t + 0.5), F.lit(self.n_lon)).cast("int")
+        return points.withColumns({"lat_idx": nearest_index(F.col("lat"), self.lat0, self.dlat, self.n_lat), "lon_idx": column})
 
     def lat(self, i: Column) -> Column:
         return F.lit(self.lat0) + i * F.lit(self.dlat)
@@ -47,16 +61,80 @@ def bbox_margin_deg(radius_km: float, res_deg: float) -> float:
     return radius_km / KM_PER_DEGREE + 3 * res_deg
 
 
-def choose_cells(stations: DataFrame, valid: DataFrame, axes: Axes, radius_km: float, on_no_valid: str, key: str = "station_id", max_rounds: int = 40) -> DataFrame:
+def _tiled(cells: DataFrame, size: int) -> DataFrame:
+    return cells.withColumns({"_ty": F.floor(F.col("lat_idx") / size), "_tx": F.floor(F.col("lon_idx") / size)})
+
+
+def _covering(points: DataFrame, axes: Axes, size: int, y: Column, x: Column, hy: Column, hx: Column) -> DataFrame:
+    """points once for each tile (_ty,_tx) that holds cells up to hy rows and hx columns away from the place (y, x).
+
+    The window's images one turn to the west and to the east count too, so it goes on across the antimeridian.
+    """
+
+    def tiles(at: Column, half: Column, n: int) -> Column:
+        lo, hi = F.floor(F.greatest(at - half, F.lit(0)) / size), F.floor(F.least(at + half, F.lit(n - 1)) / size)
+        return F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.expr("cast(array() as array<bigint>)"))
+
+    columns = F.array_distinct(F.concat(*[tiles(x + F.lit(k * axes.turn), hx, axes.n_lon) for k in (-1, 0, 1)]))
+    return points.withColumn("_ty", F.explode(tiles(y, hy, axes.n_lat))).withColumn("_tx", F.explode(columns))
+
+
+def _least(met: DataFrame, axes: Axes, key: str, keep: Column) -> DataFrame:
+    """The nearest cell of each key among the met ones; ties go to the lower row, then the lower column."""
+    met = met.withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), axes.lat(F.col("lat_idx")), axes.lon(F.col("lon_idx")))).where(keep)
+    best = met.groupBy(key).agg(F.min(F.struct("dist_km", "lat_idx", "lon_idx")).alias("b"))
+    return best.select(key, F.col("b.lat_idx").alias("lat_idx"), F.col("b.lon_idx").alias("lon_idx"), F.col("b.dist_km").alias("dist_km"))
+
+
+def nearest_on_sphere(points: DataFrame, cells: DataFrame, axes: Axes, key: str = "station_id", tile: int = 16) -> tuple[list[DataFrame], DataFrame]:
+    """The nearest of the cells (lat_idx, lon_idx) to each point, with its distance, in parts; and the points without any.
+
+    A round meets the open points with one cell of each tile, in the box around the circle that the round looks
+    at. The nearest of these bounds the distance to the nearest cell, and the cells in the box of that circle decide. A
+    box spans rows by the radius, and columns by the widest meridian that the circle touches, asin(sin r / cos lat);
+    where the circle holds a pole, all of them. A round without any cell doubles tiles and circle, so a point meets
+    a few tiles each time, and of cells hardly more than lie at its own distance.
+    """
+    earth = 6371.0088
+    y, x = ((F.col(c) - F.lit(float(o))) / F.lit(float(d)) for c, o, d in (("lat", axes.lat0, axes.dlat), ("lon", axes.lon0, axes.dlon)))
+
+    def circle(radius: Column) -> tuple[Column, Column]:
+        """Half the rows and half the columns of the box around a circle of so many km."""
+        r = F.least(radius / earth, F.lit(math.pi)) * (1 + 1e-9) + 1e-12
+        rows = F.degrees(r) / abs(axes.dlat) + 1
+        reach = F.sin(r) / F.greatest(F.cos(F.radians("lat")), F.lit(1e-300))
+        whole = (r + F.radians(F.abs("lat")) >= math.pi / 2) | (reach >= 1)
+        return rows, F.when(whole, F.lit(axes.turn)).otherwise(F.degrees(F.asin(F.least(reach, F.lit(1.0)))) / abs(axes.dlon) + 1)
+
+    if cells.isEmpty():
+        return [], points.select(key)
+    parts, open_, size = [], points.where("lat is not null and lon is not null"), tile
+    unplaced = points.where("lat is null or lon is null")
+    while not open_.isEmpty():
+        whole = size >= max(axes.n_lat, axes.n_lon)
+        one = _tiled(cells, size).groupBy("_ty", "_tx").agg(F.min(F.struct("lat_idx", "lon_idx")).alias("c")).select("_ty", "_tx", "c.*")
+        hy, hx = circle(F.lit(math.pi * earth if whole else size * min(abs(axes.dlat), abs(axes.dlon)) * KM_PER_DEGREE))
+        bound = _least(_covering(open_, axes, size, y, x, hy, hx).join(one, ["_ty", "_tx"]), axes, key, F.lit(True))
+        bound = materialize(bound.select(key, F.col("dist_km").alias("_most")), "bounds")
+        hy, hx = circle(F.col("_most"))
+        near = _covering(open_.join(bound, key), axes, size, y, x, hy, hx).join(_tiled(cells, size), ["_ty", "_tx"])
+        parts.append(materialize(_least(near, axes, key, F.col("dist_km") <= F.col("_most")), "nearest"))
+        open_ = open_.join(bound.select(key), key, "left_anti")
+        if whole:
+            break
+        open_, size = materialize(open_, "open"), size * 2
+    return parts, open_.select(key).unionByName(unplaced.select(key))
+
+
+def choose_cells(stations: DataFrame, valid: DataFrame, axes: Axes, radius_km: float, on_no_valid: str, key: str = "station_id") -> DataFrame:
     """G1 with J5, J6 and J7: one cell per station and how it was found.
 
     stations: key, lat, lon; valid: (lat_idx, lon_idx) of valid cells, once each. The home cell is
     taken when valid. Otherwise the window of cells that covers the radius (60 cells at most each
     way) is met with the valid cells by an equality join on coarse tiles, the nearest within the
     radius wins, ties go north, then west. Without one the policy decides: ``keep_nan`` (no_valid),
-    ``skip_well`` (dropped, keep false; the row stays) or ``nearest_global``, which widens the
-    ring of tiles round by round, for the stations still open only, and stops once no nearer cell
-    can exist.
+    ``skip_well`` (dropped, keep false; the row stays) or ``nearest_global``, the nearest valid cell on
+    the sphere. Windows go on across the antimeridian and hold all columns where they reach a pole.
     """
     if on_no_valid not in ("keep_nan", "skip_well", "nearest_global"):
         raise ValueError(on_no_valid)
@@ -69,47 +147,21 @@ def choose_cells(stations: DataFrame, valid: DataFrame, axes: Axes, radius_km: f
     found = [home.where("_valid").withColumn("outcome", F.lit("home")).select(*cols)]
     open_ = home.where("_valid is null").select(key, "lat", "lon", F.col("lat_idx").alias("_y"), F.col("lon_idx").alias("_x"))
 
-    def nearest(points: DataFrame, tiled: DataFrame, tile: int, ring: int, keep: Column) -> DataFrame:
-        around = points.withColumn("_ty", F.explode(F.sequence(F.floor(F.col("_y") / tile) - ring, F.floor(F.col("_y") / tile) + ring)))
-        around = around.withColumn("_tx", F.explode(F.sequence(F.floor(F.col("_x") / tile) - ring, F.floor(F.col("_x") / tile) + ring)))
-        met = around.join(tiled, ["_ty", "_tx"])
-        met = met.withColumn("dist_km", haversine_km(F.col("lat"), F.col("lon"), axes.lat(F.col("lat_idx")), axes.lon(F.col("lon_idx")))).where(keep)
-        best = met.groupBy(key).agg(F.min(F.struct("dist_km", "lat_idx", "lon_idx")).alias("b"))
-        return best.select(key, F.col("b.lat_idx").alias("lat_idx"), F.col("b.lon_idx").alias("lon_idx"), F.col("b.dist_km").alias("dist_km"))
-
-    def tiles(size: int) -> DataFrame:
-        return cells.withColumns({"_ty": F.floor(F.col("lat_idx") / size), "_tx": F.floor(F.col("lon_idx") / size)})
-
     if radius_km > 0:
         top = home.agg(F.max(F.abs("lat"))).first()[0] or 0.0
         shrink = max(math.cos(math.radians(top)), 0.1)
         hy = min(math.ceil(radius_km / (abs(axes.dlat) * KM_PER_DEGREE)), MAX_HALF_WINDOW)
         hx = min(math.ceil(radius_km / (abs(axes.dlon) * KM_PER_DEGREE * shrink)), MAX_HALF_WINDOW)
         size = max(hy, hx, 1)
-        inside = (F.abs(F.col("lat_idx") - F.col("_y")) <= hy) & (F.abs(F.col("lon_idx") - F.col("_x")) <= hx) & (F.col("dist_km") <= radius_km)
-        rescued = materialize(nearest(open_, tiles(size), size, 1, inside).withColumn("outcome", F.lit("rescued")).select(*cols), "rescued")
+        away = F.abs(F.col("lon_idx") - F.col("_x"))
+        inside = (F.abs(F.col("lat_idx") - F.col("_y")) <= hy) & (F.least(away, F.abs(axes.turn - away)) <= hx) & (F.col("dist_km") <= radius_km)
+        near = _covering(open_, axes, size, F.col("_y"), F.col("_x"), F.lit(hy), F.lit(hx)).join(_tiled(cells, size), ["_ty", "_tx"])
+        rescued = materialize(_least(near, axes, key, inside).withColumn("outcome", F.lit("rescued")).select(*cols), "rescued")
         found.append(rescued)
         open_ = open_.join(rescued.select(key), key, "left_anti")
     if on_no_valid == "nearest_global":
-        size, ring = 16, 1
-
-        def clear(cells_away: int) -> Column:
-            """Km from a station within which no cell lies that is so many rows or columns away: along its meridian, or to another meridian at its latitude."""
-            turn = min(math.radians(cells_away * abs(axes.dlon)), math.pi / 2)
-            return F.least(F.lit(cells_away * abs(axes.dlat) * KM_PER_DEGREE), F.asin(F.cos(F.radians("lat")) * math.sin(turn)) * 6371.0088) * 0.9
-
-        for _ in range(max_rounds):
-            if open_.isEmpty():
-                break
-            got = nearest(open_, tiles(size), size, ring, F.lit(True))
-            everywhere = ring * size >= max(axes.n_lat, axes.n_lon)
-            sure = got if everywhere else got.join(open_.select(key, clear(ring * size).alias("_clear")), key).where("dist_km <= _clear")
-            sure = materialize(sure.withColumn("outcome", F.lit("nearest_global")).select(*cols), "global")
-            found.append(sure)
-            open_ = open_.join(sure.select(key), key, "left_anti")
-            if everywhere:
-                break
-            size *= 2
+        parts, open_ = nearest_on_sphere(open_.select(key, "lat", "lon"), cells, axes, key)
+        found += [p.withColumn("outcome", F.lit("nearest_global")).select(*cols) for p in parts]
         last = "no_valid"
     else:
         last = "dropped" if on_no_valid == "skip_well" else "no_valid"

@@ -203,6 +203,18 @@ def j7(t: Tables):
     return _choose(t, 0.0, "nearest_global")
 
 
+_GLOBE = f""", h AS (SELECT s.*, greatest(0, least(359, floor((lat - 89.75::DOUBLE) / -0.5::DOUBLE + 0.5::DOUBLE)))::INTEGER AS y, (CAST(ceil((lon + 179.75::DOUBLE) / 0.5::DOUBLE - 0.5::DOUBLE) AS INTEGER) + 720) % 720 AS x FROM globe_station s),
+d AS (SELECT h.station_id, g.lat_idx, g.lon_idx, {hav('h.lat', 'h.lon', '(89.75::DOUBLE - 0.5::DOUBLE * g.lat_idx)', '(-179.75::DOUBLE + 0.5::DOUBLE * g.lon_idx)')} AS d, g.lat_idx = y AND g.lon_idx = x AS home FROM h CROSS JOIN globe g),
+k AS (SELECT *, row_number() OVER (PARTITION BY station_id ORDER BY home DESC, d, lat_idx, lon_idx) AS k FROM d)
+SELECT station_id, lat_idx, lon_idx, round(d, 6) AS dist_km, CASE WHEN home THEN 'home' ELSE 'nearest_global' END AS outcome FROM k WHERE k = 1"""
+
+
+@query("g1_nearest_on_the_globe", "globe globe_station", _GLOBE)
+def g1_globe(t: Tables):
+    got = G.choose_cells(t.globe_station, t.globe, t.globe_axes, 0.0, "nearest_global")
+    return got.select("station_id", "lat_idx", "lon_idx", *r6("dist_km"), "outcome")
+
+
 @query("j8_gather_values", "station grid", _CHOSEN + " SELECT h.station_id, g.value, g.code FROM h LEFT JOIN grid g ON g.lat_idx = y AND g.lon_idx = x")
 def j8(t: Tables):
     return G.gather(t.axes.home(t.station), t.grid, ["value", "code"])

@@ -75,6 +75,22 @@ class Tables:
             (F.expr("lat_idx div 8") * 100 + F.expr("lon_idx div 50")).cast("int").alias("zone_id"), pixel_area_m2(lat, RES, RES).alias("area_m2"),
         )
 
+    @cached_property
+    def globe_axes(self) -> Axes:
+        return Axes(89.75, -0.5, 360, -179.75, 0.5, 720)
+
+    @cached_property
+    def globe(self) -> DataFrame:
+        """Valid cells of a half-degree grid that goes round the globe."""
+        cell = F.col("o_orderkey") * 7919 % 259200
+        g = self.read("orders").select(F.expr("cast((o_orderkey * 7919 % 259200) div 720 as int)").alias("lat_idx"), (cell % 720).cast("int").alias("lon_idx"))
+        return g.where((F.col("lat_idx") * 7 + F.col("lon_idx") * 13) % 29 == 0).distinct()
+
+    @cached_property
+    def globe_station(self) -> DataFrame:
+        k = F.col("c_custkey")
+        return self.read("customer").select(k.alias("station_id"), ((k * 37 % 1799 - 899) / 10 + 0.013).alias("lat"), ((k * 911 % 3599 - 1799) / 10 + 0.0171).alias("lon"))
+
     @cached_property
     def grid_month(self) -> DataFrame:
         g = self.grid.withColumn("month", F.explode(F.array(*[F.lit(m) for m in (1, 2, 3)])))
@@ -101,6 +117,8 @@ CTE = {
     "monthly": "SELECT station_id, CAST(date_trunc('month', week) AS DATE) AS time, sum(flux) AS flux, avg(state) AS state, avg(target) AS target, CAST(date_diff('day', DATE '1970-01-01', CAST(date_trunc('month', week) AS DATE)) AS DOUBLE) AS time_days FROM weekly GROUP BY 1, 2, 6 HAVING avg(target) IS NOT NULL",
     "pred": "SELECT e.experiment, s.seed, station_id, time, target AS obs, target * (CAST((CAST(substr(station_id, 4) AS BIGINT) * s.seed + month(time)) % e.m - 6 AS DOUBLE) / 100 + 1) AS sim FROM monthly CROSS JOIN (VALUES ('m13', 13), ('m17', 17), ('m19', 19)) e(experiment, m) CROSS JOIN (VALUES (1), (2), (3)) s(seed)",
     "grid": "SELECT cell_id, lat_idx, lon_idx, CAST(2220 - lat_idx AS DOUBLE) / 40 AS lat, CAST(220 + lon_idx AS DOUBLE) / 40 AS lon, CASE WHEN (lat_idx * 7 + lon_idx * 13) % 11 <> 0 THEN o_totalprice * 0.8537613::DOUBLE END AS value, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS code, CAST((lat_idx // 8) * 100 + lon_idx // 50 AS INTEGER) AS zone_id, 40589641000000.0::DOUBLE * radians(0.025::DOUBLE) * abs(sin(radians(CAST(2220 - lat_idx AS DOUBLE) / 40 + 0.0125::DOUBLE)) - sin(radians(CAST(2220 - lat_idx AS DOUBLE) / 40 - 0.0125::DOUBLE))) AS area_m2 FROM (SELECT o_orderkey AS cell_id, CAST(o_orderkey // 401 AS INTEGER) AS lat_idx, CAST(o_orderkey % 401 AS INTEGER) AS lon_idx, o_totalprice, o_orderpriority FROM orders)",
+    "globe": "SELECT DISTINCT CAST((o_orderkey * 7919 % 259200) // 720 AS INTEGER) AS lat_idx, CAST(o_orderkey * 7919 % 259200 % 720 AS INTEGER) AS lon_idx FROM orders WHERE ((o_orderkey * 7919 % 259200) // 720 * 7 + o_orderkey * 7919 % 259200 % 720 * 13) % 29 = 0",
+    "globe_station": "SELECT c_custkey AS station_id, (c_custkey * 37 % 1799 - 899) / 10::DOUBLE + 0.013::DOUBLE AS lat, (c_custkey * 911 % 3599 - 1799) / 10::DOUBLE + 0.0171::DOUBLE AS lon FROM customer",
     "grid_month": "SELECT cell_id, lat_idx, lon_idx, lat, lon, zone_id, area_m2, make_date(2000, m, 1) AS time, CASE WHEN value IS NOT NULL THEN CAST((lat_idx * 3 + lon_idx * 5 + m) % 97 AS DOUBLE) / 10 END AS v1, CASE WHEN (cell_id + m) % 50 <> 0 THEN CAST(cell_id % 13 + m AS DOUBLE) END AS v2 FROM grid CROSS JOIN (VALUES (1), (2), (3)) x(m)",
     "class_year": "SELECT station_id, year, code FROM (SELECT *, row_number() OVER (PARTITION BY station_id, year ORDER BY n DESC, code) AS k FROM (SELECT o_custkey AS station_id, year(o_orderdate) AS year, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS code, count(*) AS n FROM orders GROUP BY 1, 2, 3)) WHERE k = 1",
     "attribution": "SELECT concat_ws('_', l_orderkey, l_linenumber, l_partkey, l_suppkey) AS row_id, f.feature, CASE f.feature WHEN 'l_quantity' THEN l_quantity WHEN 'l_discount' THEN l_discount ELSE l_tax END AS value, CASE f.feature WHEN 'l_quantity' THEN l_quantity - mq WHEN 'l_discount' THEN l_discount - md ELSE l_tax - mt END AS contribution FROM lineitem CROSS JOIN (SELECT avg(l_quantity) AS mq, avg(l_discount) AS md, avg(l_tax) AS mt FROM lineitem) CROSS JOIN (VALUES ('l_quantity'), ('l_discount'), ('l_tax')) f(feature)",
