@@ -674,7 +674,7 @@ def m1(t: Tables):
     from gridloom.operators import ml
 
     m, num, cat = _matrix(t)
-    return ml.temporal_ensemble(m, "z", num, cat, [1, 2], ["station_id", "time"], **OPTIONS)[0]
+    return ml.temporal_ensemble(m, "z", num, cat, [1, 2], ["station_id", "time"], **OPTIONS | {"rounds": 8, "patience": 3})[0]
 
 
 def _folded(t: Tables):
@@ -687,7 +687,7 @@ def m2(t: Tables):
     from gridloom.operators import ml
 
     folded, num, cat = _folded(t)
-    return ml.grouped_cv(folded, "z", num, cat, 3, [1, 2], 1, ["station_id", "time"], **OPTIONS)[0]
+    return ml.grouped_cv(folded, "z", num, cat, 3, [1, 2, 3], 2, ["station_id", "time"], **OPTIONS | {"patience": 2})[0]
 
 
 @query("m3_deployment")
@@ -721,26 +721,63 @@ def m5(t: Tables):
     return imp.unionByName(ml.loss_history(log, t.spark).select(F.concat(F.lit("round "), F.col("round").cast("string")).alias("name"), F.col("loss").alias("value")))
 
 
+@query("m5_split_importance")
+def m5_splits(t: Tables):
+    from gridloom.operators import ml
+
+    m, num, cat = _matrix(t)
+    rows, _ = ml.prepare(m, num, cat)
+    train = materialize(rows.where("z is not null and split = 'train'"), "rows")
+    members = [(s, ml.fit_member(train, "z", s, **OPTIONS)[0]) for s in (1, 2)]
+    return ml.split_importances(members, ml.feature_names(rows)).select(F.col("member").alias("seed"), "feature", "splits", "gain")
+
+
 def _attributed(t: Tables, seeds: list[int]):
     from gridloom.operators import ml
 
     m, num, cat = _matrix(t)
     rows, _ = ml.prepare(m, num, cat)
+    names = ml.feature_names(rows)
     rows = materialize(rows.where("z is not null").withColumn("row_id", F.concat_ws("/", "station_id", "time")).select("row_id", "features", "z", "split"), "rows")
-    parts = [ml.attributions(rows, ml.fit_member(rows.where("split = 'train'"), "z", s, **OPTIONS)[0], [*num, *cat], "row_id") for s in seeds]
-    return parts, cat
+    members = [(0, 1 / len(seeds), ml.fit_member(rows.where("split = 'train'"), "z", s, **OPTIONS)[0]) for s in seeds]
+    return ml.explain(rows, members, names, "row_id")
 
 
 @query("x1_attributions")
 def x1(t: Tables):
-    return _attributed(t, [1])[0][0]
+    return _attributed(t, [1])
 
 
 @query("x2_ensemble_attributions")
 def x2(t: Tables):
+    return _attributed(t, [1, 2])
+
+
+def _held_out(t: Tables):
+    """Attributions of the folds' test rows by the members that the cross-validation picked, the rows, and these members."""
+    from gridloom.operators import ml
+
+    folded, num, cat = _folded(t)
+    keyed = folded.withColumn("row_id", F.concat_ws("/", "station_id", "time"))
+    rows, members = ml.grouped_members(keyed, "z", num, cat, 3, [1, 2], 1, **OPTIONS | {"rounds": 4, "patience": 2})
+    return ml.held_out_attributions(rows, members, ml.feature_names(rows), "row_id"), rows, members
+
+
+@query("x5_held_out_explanation")
+def x5_explained(t: Tables):
+    return _held_out(t)[0]
+
+
+@query("x5_held_out_sums", "monthly", "SELECT station_id, time, CAST(CAST(substr(station_id, 4) AS BIGINT) % 3 AS INTEGER) AS fold, 0.0::DOUBLE AS gap FROM monthly WHERE station_id IN (SELECT station_id FROM monthly GROUP BY 1 HAVING count(*) FILTER (WHERE time < DATE '2000-01-01') >= 16)")
+def x5_sums(t: Tables):
+    """What the contributions and the base of a row miss of its fold's prediction: nothing."""
     from gridloom.operators import ml
 
-    return ml.ensemble_attributions(_attributed(t, [1, 2])[0])
+    long, rows, members = _held_out(t)
+    sums = long.groupBy("row_id").agg(F.sum("contribution").alias("s"))
+    pred = ml.fold_predictions(rows, members, "z", ["row_id", "station_id", "time"]).groupBy("row_id", "station_id", "time", "fold").agg(F.avg("sim").alias("sim"))
+    j = pred.join(sums, "row_id").join(ml.base_values(members), "fold")
+    return j.select("station_id", "time", "fold", F.abs(F.round(F.col("s") + F.col("base") - F.col("sim"), 6)).alias("gap"))
 
 
 def _summary(t: Tables):

@@ -57,6 +57,8 @@ HOLDS = {
     "m2_grouped_cv": lambda rows: finite(rows, "ens_median") and all(int(r.station_id[3:]) % 3 == r.fold for r in rows) and len({(r.station_id, r.time) for r in rows}) == len(rows),
     "m3_deployment": lambda rows: finite(rows, "sim") and len({(r.station_id, r.time) for r in rows}) == len(rows),
     "m5_loss_history": lambda rows: {f"round {k}" for k in range(1, 6)} < {r.name for r in rows} and finite(rows, "value"),
+    "m5_split_importance": lambda rows: finite(rows, "gain") and {r.seed for r in rows} == {1, 2} and all((r.splits > 0) == (r.gain > 0) for r in rows) and sum(r.splits for r in rows) > 10,
+    "x5_held_out_explanation": lambda rows: finite(rows, "contribution") and len({(r.row_id, r.feature) for r in rows}) == len(rows),
     "x1_attributions": lambda rows: finite(rows, "contribution") and len({(r.row_id, r.feature) for r in rows}) == len(rows),
     "x2_ensemble_attributions": lambda rows: finite(rows, "contribution") and len({(r.row_id, r.feature) for r in rows}) == len(rows),
 }
