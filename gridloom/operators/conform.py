@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import valid_value
+from gridloom.operators.windows import value_positions
 
 # Accepted spellings of coordinate names.
 COORDINATE_NAMES = {"latitude": "lat", "y": "lat", "longitude": "lon", "x": "lon", "valid_time": "time"}
@@ -17,10 +18,10 @@ def rename_coordinates(df: DataFrame) -> DataFrame:
 
 
 def axis_table(df: DataFrame, coord: str, descending: bool) -> DataFrame:
-    """(coord, idx) of an axis; only distinct coordinates are ranked, an axis, not the cells."""
+    """(coord, idx) of an axis; distinct coordinates are numbered by range partitions."""
     axis = df.select(coord).where(F.col(coord).isNotNull()).distinct()
-    order = F.col(coord).desc() if descending else F.col(coord)
-    return axis.withColumn("idx", F.row_number().over(Window.orderBy(order)) - 1)
+    place = value_positions(axis.select((-F.col(coord) if descending else F.col(coord)).alias("_c")), "_c", [])
+    return place.select((-F.col("_c") if descending else F.col("_c")).alias(coord), F.col("_before").cast("int").alias("idx"))
 
 
 def orient(df: DataFrame) -> DataFrame:

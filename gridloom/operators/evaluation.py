@@ -195,7 +195,7 @@ def box_statistics(scores: DataFrame, keys: list[str], value: str = "score") ->
 
 def cdf_table(scores: DataFrame, parts: list[str], value: str = "score") -> DataFrame:
     """R10 and W12."""
-    return scores.where(F.col(value).isNotNull()).withColumn("cdf", empirical_cdf(value, parts, "station_id"))
+    return empirical_cdf(scores.where(F.col(value).isNotNull()), value, parts, "station_id")
 
 
 def p_matrix(pairs: DataFrame, experiments: list[str], p: str = "p_holm") -> DataFrame:
@@ -210,9 +210,9 @@ def clip_limit(scores: DataFrame, value: str, prob: float = 0.99) -> DataFrame:
     return q.select(F.col(q.columns[-1]).alias("clip_limit"))
 
 
-def hydrograph(pred: DataFrame, start: str, end: str) -> DataFrame:
-    """Observation and ensemble median of each station and date in a window."""
-    return consolidate(pred.where(F.col("time").between(F.lit(start).cast("date"), F.lit(end).cast("date"))), ["station_id", "time"])
+def hydrograph(pred: DataFrame, start: str, end: str, keys: list[str] | None = None) -> DataFrame:
+    """Observation and ensemble median of each station and date (and more keys) in a window."""
+    return consolidate(pred.where(F.col("time").between(F.lit(start).cast("date"), F.lit(end).cast("date"))), [*(keys or []), "station_id", "time"])
 
 
 def attach_calendar(rows: DataFrame, calendar: DataFrame, position: str = "position", key: str = "station_id") -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gridloom.functions.scalar import group_name, month_end, null_count
+from gridloom.operators.aggregates import _matched, quantiles
 
 OUTCOMES = ["home", "rescued", "nearest_global", "no_valid", "dropped"]
 
@@ -13,15 +14,18 @@ OUTCOMES = ["home", "rescued", "nearest_global", "no_valid", "dropped"]
 def provenance_summary(provenance: DataFrame) -> DataFrame:
     """Q1: outcomes, shares and distances of each dataset."""
     total = F.count(F.lit(1))
-    far = F.when(F.col("rescued"), F.col("dist_km"))
-    return provenance.groupBy("dataset").agg(
+    counts = provenance.groupBy("dataset").agg(
         total.alias("n_stations"),
         *[F.count_if(F.col("outcome") == o).alias(f"n_{o}") for o in OUTCOMES],
         (F.count_if(F.col("rescued")) * 100.0 / total).alias("pct_rescued"),
         (F.count_if(F.col("outcome").isin("no_valid", "dropped")) * 100.0 / total).alias("pct_without_cell"),
-        F.median("dist_km").alias("dist_km_median"), F.percentile("dist_km", F.lit(0.95)).alias("dist_km_p95"), F.max("dist_km").alias("dist_km_max"),
-        F.median(far).alias("rescue_km_median"), F.max(far).alias("rescue_km_max"),
+        F.max("dist_km").alias("dist_km_max"), F.max(F.when(F.col("rescued"), F.col("dist_km"))).alias("rescue_km_max"),
     )
+    both = provenance.select("dataset", F.lit("dist_km").alias("_kind"), "dist_km").unionByName(provenance.where("rescued").select("dataset", F.lit("rescue_km").alias("_kind"), "dist_km"))
+    spread = quantiles(both, "dist_km", [0.5, 0.95], ["dataset", "_kind"])
+    own, far = F.col("_kind") == "dist_km", F.col("_kind") == "rescue_km"
+    spread = spread.groupBy("dataset").agg(F.max(F.when(own, F.col("p50"))).alias("dist_km_median"), F.max(F.when(own, F.col("p95"))).alias("dist_km_p95"), F.max(F.when(far, F.col("p50"))).alias("rescue_km_median"))
+    return _matched(counts, spread, ["dataset"], "left")
 
 
 def flagged(provenance: DataFrame) -> DataFrame:

@@ -104,10 +104,19 @@ def value_positions(df: DataFrame, column: str, parts: list[str]) -> DataFrame:
     return placed.select(*parts, column, "_count", (F.col("_in") + F.col("_shift")).alias("_before"))
 
 
-def empirical_cdf(column: str, parts: list[str], tie: str) -> Column:
-    """Position / count in ascending order, ties in the order of ``tie``."""
-    w = Window.partitionBy(*parts)
-    return F.row_number().over(w.orderBy(column, tie)) / F.count(F.lit(1)).over(w)
+def empirical_cdf(df: DataFrame, column: str, parts: list[str], tie: str) -> DataFrame:
+    """Df with ``cdf``, position / count in ascending order (nulls first), ties in the order of ``tie``.
+
+    Positions come from range partitions; no class is sorted in one task. Rows equal in all of these share the last position.
+    """
+    key = F.struct(F.col(column).alias("v"), F.col(tie).alias("t"))
+    place = value_positions(df.select(*parts, key.alias("_key")), "_key", parts)
+    total = place.groupBy(*parts).agg(F.sum("_count").alias("_total")).withColumnsRenamed({p: f"_t_{p}" for p in parts})
+    place = place.select(*[F.col(p).alias(f"_p_{p}") for p in parts], F.col("_key").alias("_k"), (F.col("_before") + F.col("_count")).alias("_at"))
+    same, all_ = key.eqNullSafe(F.col("_k")), F.lit(True)
+    for p in parts:
+        same, all_ = same & F.col(p).eqNullSafe(F.col(f"_p_{p}")), all_ & F.col(p).eqNullSafe(F.col(f"_t_{p}"))
+    return df.join(place, same).join(total, all_).select(*df.columns, (F.col("_at") / F.col("_total")).alias("cdf"))
 
 
 def stride_sample(df: DataFrame, keys: list[str], step: int, most: int) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from gridloom.functions import scalar as S
@@ -13,7 +15,8 @@ from gridloom.operators import windows as W
 from gridloom.plans.registry import query
 from gridloom.plans.series import r6
 from gridloom.plans.standins import RES, UNIT, Tables
-from gridloom.sources.tables import read_grid
+from gridloom.sources.shared import shared_dir
+from gridloom.sources.tables import read_grid, write_clustered_grid
 
 HAV = "2 * 6371.0088::DOUBLE * asin(sqrt(pow(sin(radians({b} - {a}) / 2), 2) + cos(radians({a})) * cos(radians({b})) * pow(sin(radians({d} - {c}) / 2), 2)))"
 
@@ -186,9 +189,9 @@ def j5(t: Tables):
     return t.axes.home(t.station).select("station_id", "lat_idx", "lon_idx")
 
 
-@query("j5_nearest_irregular", sql="WITH a AS (SELECT CAST(row_number() OVER (ORDER BY p_retailprice) - 1 AS INTEGER) AS idx, p_retailprice AS coord FROM (SELECT DISTINCT p_retailprice FROM part WHERE p_partkey % 3 = 0)), b AS (SELECT idx, coord, (coord + lag(coord) OVER (ORDER BY coord)) / 2 AS lo, (coord + lead(coord) OVER (ORDER BY coord)) / 2 AS hi FROM a) SELECT s_suppkey, b.idx FROM supplier JOIN b ON (lo IS NULL OR s_acctbal > lo) AND (hi IS NULL OR s_acctbal <= hi)")
+@query("j5_nearest_irregular", sql="WITH a AS (SELECT CAST(row_number() OVER (ORDER BY p_retailprice) - 1 AS INTEGER) AS idx, p_retailprice AS coord FROM (SELECT DISTINCT p_retailprice FROM part)), b AS (SELECT idx, coord, (coord + lag(coord) OVER (ORDER BY coord)) / 2 AS lo, (coord + lead(coord) OVER (ORDER BY coord)) / 2 AS hi FROM a) SELECT s_suppkey, b.idx FROM supplier JOIN b ON (lo IS NULL OR s_acctbal > lo) AND (hi IS NULL OR s_acctbal <= hi)")
 def j5_irregular(t: Tables):
-    axis = P.axis_table(t.read("part").where("p_partkey % 3 = 0").select(F.col("p_retailprice").alias("coord")), "coord", False)
+    axis = P.axis_table(t.read("part").select(F.col("p_retailprice").alias("coord")), "coord", False)
     return J.nearest_on_axis(t.read("supplier").select("s_suppkey", "s_acctbal"), "s_acctbal", axis, "idx", 50.0).select("s_suppkey", "idx")
 
 
@@ -225,6 +228,13 @@ def s6(t: Tables):
     return read_grid(t.grid, ["value"], t.station.where("zone2 = 1"), 3.0, RES, ["cell_id"])
 
 
+@query("s6_clustered_grid_scan", "station grid", "SELECT g.cell_id, g.value FROM grid g, (SELECT min(lat) - m AS a, max(lat) + m AS b, min(lon) - m AS c, max(lon) + m AS d FROM station, (SELECT 3.0::DOUBLE / 111.32::DOUBLE + 3 * 0.025::DOUBLE AS m) WHERE lat > 54 AND lon < 9 GROUP BY m) WHERE g.lat BETWEEN a AND b AND g.lon BETWEEN c AND d")
+def s6_clustered(t: Tables):
+    """The grid written in the order of a space-filling key; the stations' box reaches the scan as pushed filters."""
+    grid = write_clustered_grid(t.grid.select("cell_id", "lat_idx", "lon_idx", "lat", "lon", "value"), f"{shared_dir(t.spark)}/clustered-{uuid.uuid4().hex}", 1 << 16)
+    return read_grid(grid, ["value"], t.station.where("lat > 54 and lon < 9"), 3.0, RES, ["cell_id"])
+
+
 def _boxes(t: Tables):
     n = t.read("nation").select(F.col("n_nationkey").alias("poly_id"))
     x0, y0 = F.col("poly_id") % 5 * 2 + 5.5, F.expr("poly_id div 5") * 1.7 + 47.0
@@ -282,6 +292,26 @@ def g9(t: Tables):
     return A.zonal_means(t.grid_month, m, ["v1", "v2"]).select("zone_id", "time", *r6("v1", "v2"))
 
 
+PRODUCTS = {"p1": ["v1"], "p2": ["v2"], "both": ["v1", "v2"]}
+
+
+def _products_sql() -> str:
+    parts = []
+    for name, vs in PRODUCTS.items():
+        ok = {"p1": "ok1", "p2": "ok2", "both": "ok"}[name]
+        for v in vs:
+            for level, zone in (("zone_id", "zone_id"), ("band", "CAST(zone_id // 100 AS INTEGER)")):
+                mean = f"CASE WHEN coalesce(max(CASE WHEN {ok} THEN CAST({v} IS NULL AS INTEGER) END), 0) = 0 THEN sum(CASE WHEN {ok} THEN {v} * area_m2 END) / sum(CASE WHEN {ok} THEN area_m2 END) END"
+                parts.append(f"SELECT '{name}' AS product, '{v}' AS variable, '{level}' AS level, {zone} AS zone_id, time, round({mean}, 6) AS mean FROM grid_month JOIN mask USING (cell_id) GROUP BY 4, 5")
+    return _MASK + " " + " UNION ALL ".join(parts)
+
+
+@query("g9_zone_products", "grid_month", _products_sql())
+def g9_products(t: Tables):
+    cells = t.grid_month.withColumn("band", F.expr("cast(zone_id div 100 as int)"))
+    return A.zone_products(cells, PRODUCTS, ["zone_id", "band"]).withColumn("mean", F.round("mean", 6))
+
+
 _COV = "SELECT zone_id, sum(area_m2) AS a, coalesce(sum(CASE WHEN value IS NOT NULL THEN area_m2 END), 0) AS c, count(*) AS n_cells, count(value) AS n_valid FROM grid GROUP BY 1"
 
 
@@ -325,9 +355,9 @@ def a8(t: Tables):
     return s.select("zone_set", "n", *[F.round(c, 4).alias(c) for c in ("p10", "p50", "p90")], *r6("share"))
 
 
-@query("a9_stations_per_zone", "station", "SELECT n_nationkey AS zone_id, count(DISTINCT station_id) AS n_stations FROM nation LEFT JOIN station ON zone1 = n_nationkey AND num % 3 = 0 GROUP BY 1")
+@query("a9_stations_per_zone", "station", "SELECT n_nationkey AS zone_id, count(DISTINCT station_id) AS n_stations FROM nation LEFT JOIN station ON zone1 = n_nationkey GROUP BY 1")
 def a9(t: Tables):
-    st = t.station.where("num % 3 = 0").select("station_id", F.col("zone1").alias("zone_id"))
+    st = t.station.select("station_id", F.col("zone1").alias("zone_id"))
     return A.stations_per_zone(t.read("nation").select(F.col("n_nationkey").alias("zone_id")), st)
 
 
@@ -570,3 +600,35 @@ def f19(t: Tables):
 @query("f20_product_version", sql="SELECT o_orderkey, CASE WHEN year(o_orderdate) >= 1998 THEN 'v2' ELSE 'v1' END AS v FROM orders")
 def f20(t: Tables):
     return t.read("orders").select("o_orderkey", S.product_version(F.year("o_orderdate"), 1998, "v2", "v1").alias("v"))
+
+
+def _levels(t: Tables):
+    """Zones of two levels, with codes of which the fine begin with the coarse, and their stations."""
+    g = t.grid.groupBy("zone_id").agg(F.sum("area_m2").alias("area"), F.sum(F.when(F.col("value").isNotNull(), F.col("area_m2"))).alias("covered"))
+    band = F.expr("cast(zone_id div 100 as int)")
+    code = F.lpad(band.cast("string"), 6, "0")
+    fine = g.select(F.lit(2).alias("level"), "zone_id", F.when(F.col("zone_id") % 100 == 0, band).otherwise(-F.col("zone_id")).alias("core_id"), F.concat(code, F.lpad((F.col("zone_id") % 100).cast("string"), 2, "0")).alias("code"), "area", "covered")
+    coarse = g.groupBy(band.alias("zone_id")).agg(F.sum("area").alias("area"), F.sum("covered").alias("covered")).select(F.lit(1).alias("level"), "zone_id", F.col("zone_id").alias("core_id"), F.lpad(F.col("zone_id").cast("string"), 6, "0").alias("code"), "area", "covered")
+    st = t.station.withColumn("row", F.floor((55.5 - F.col("lat")) / 0.025 + 0.5).cast("int")).withColumn("col", F.floor((F.col("lon") - 5.5) / 0.025 + 0.5).cast("int"))
+    st = st.select("station_id", F.expr("row div 8").alias("y"), F.expr("col div 50").alias("x"))
+    both = st.select(F.lit(2).alias("level"), (F.col("y") * 100 + F.col("x")).cast("int").alias("zone_id"), "station_id").unionByName(st.select(F.lit(1).alias("level"), F.col("y").cast("int").alias("zone_id"), "station_id"))
+    return fine.unionByName(coarse), both
+
+
+_LEVELS = """, f AS (SELECT 2 AS level, zone_id, CASE WHEN zone_id % 100 = 0 THEN zone_id // 100 ELSE -zone_id END AS core_id, lpad(CAST(zone_id // 100 AS VARCHAR), 6, '0') AS parent, sum(area_m2) AS area, sum(CASE WHEN value IS NOT NULL THEN area_m2 END) AS covered FROM grid GROUP BY zone_id),
+z AS (SELECT level, zone_id, core_id, parent, area, covered FROM f UNION ALL SELECT 1, zone_id // 100, zone_id // 100, lpad(CAST(zone_id // 100 AS VARCHAR), 6, '0'), sum(area), sum(covered) FROM f GROUP BY zone_id // 100),
+st AS (SELECT station_id, CAST(floor((55.5::DOUBLE - lat) / 0.025::DOUBLE + 0.5::DOUBLE) AS BIGINT) // 8 AS y, CAST(floor((lon - 5.5::DOUBLE) / 0.025::DOUBLE + 0.5::DOUBLE) AS BIGINT) // 50 AS x FROM station),
+sb AS (SELECT 2 AS level, y * 100 + x AS zone_id, station_id FROM st UNION ALL SELECT 1, y, station_id FROM st),
+sn AS (SELECT level, zone_id, count(DISTINCT station_id) AS n_stations FROM sb GROUP BY 1, 2),
+tw AS (SELECT a.zone_id AS fine_id, b.zone_id AS coarse_id FROM z a JOIN z b ON a.level = 2 AND b.level = 1 AND a.core_id = b.core_id AND abs(a.area - b.area) <= 0.95::DOUBLE * greatest(a.area, b.area)),
+k AS (SELECT parent, count(*) AS n FROM z WHERE level = 2 GROUP BY 1),
+w AS (SELECT z.*, coalesce(covered, 0) / area >= 0.9 AS inside, n_stations, CASE WHEN level = 2 THEN zone_id IN (SELECT fine_id FROM tw) ELSE zone_id IN (SELECT coarse_id FROM tw) END AS twin, CASE WHEN level = 1 THEN coalesce(k.n, 0) END AS n_children FROM z LEFT JOIN sn USING (level, zone_id) LEFT JOIN k ON z.level = 1 AND k.parent = z.parent),
+x AS (SELECT 'all' AS zone_set, * FROM w UNION ALL SELECT 'inside', * FROM w WHERE inside UNION ALL SELECT 'with_station', * FROM w WHERE n_stations > 0)
+SELECT level, zone_set, count(area) AS n, round(quantile_cont(area, 0.1), 2) AS p10, round(quantile_cont(area, 0.5), 2) AS p50, round(quantile_cont(area, 0.9), 2) AS p90, CAST(coalesce(sum(n_stations), 0) AS BIGINT) AS n_stations, count(*) FILTER (WHERE twin) AS n_same, round(avg(n_children), 6) AS mean_children, round(count(area) / CAST((SELECT count(*) FROM z q WHERE q.level = x.level) AS DOUBLE), 6) AS share FROM x GROUP BY level, zone_set"""
+
+
+@query("g10_level_comparison", "grid station", _LEVELS)
+def g10_comparison(t: Tables):
+    zones, stations = _levels(t)
+    got = A.level_report(zones, stations, 2, 1, F.coalesce(F.col("covered"), F.lit(0.0)) / F.col("area") >= 0.9, 0.95)
+    return got.select("level", "zone_set", "n", *[F.round(c, 2).alias(c) for c in ("p10", "p50", "p90")], "n_stations", "n_same", *r6("mean_children", "share"))

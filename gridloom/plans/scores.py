@@ -74,10 +74,10 @@ def r5(t: Tables):
     return _cons(t).select("experiment", "station_id", "time", *r6("obs", "sim"), "n_seeds")
 
 
-@query("r5_seeds_side_by_side", "pred", "SELECT station_id, time, round(min(obs), 6) AS obs, " + ", ".join(f"round(max(sim) FILTER (WHERE seed = {s}), 6) AS sim_{s}" for s in SEEDS) + " FROM pred WHERE experiment = 'm13' GROUP BY 1, 2")
+@query("r5_seeds_side_by_side", "pred", "SELECT experiment, station_id, time, round(min(obs), 6) AS obs, " + ", ".join(f"round(max(sim) FILTER (WHERE seed = {s}), 6) AS sim_{s}" for s in SEEDS) + " FROM pred GROUP BY 1, 2, 3")
 def r5_wide(t: Tables):
-    w = R.seeds_side_by_side(t.pred.where("experiment = 'm13'"), ["station_id", "time"], SEEDS)
-    return w.select("station_id", "time", *r6("obs", *[f"sim_{s}" for s in SEEDS]))
+    w = R.seeds_side_by_side(t.pred, ["experiment", "station_id", "time"], SEEDS)
+    return w.select("experiment", "station_id", "time", *r6("obs", *[f"sim_{s}" for s in SEEDS]))
 
 
 @query("r6_pretest_means", "monthly", "SELECT station_id, round(CASE WHEN CAST(substr(station_id, 4) AS INTEGER) % 4 = 0 THEN 1.5 ELSE avg(target) END, 6) AS mean FROM monthly WHERE time < DATE '2000-01-01' GROUP BY station_id")
@@ -212,9 +212,9 @@ def r11(t: Tables):
     return summary.join(best, ["metric", "experiment"], "left").select("metric", "experiment", *r6("v_min", "v_median"), F.round("v_mean", 5).alias("v_mean"), *r6("v_max"), "n", *r6("least_p"))
 
 
-@query("r12_hydrograph", "pred", "SELECT station_id, time, round(min(obs), 6) AS obs, round(median(sim), 6) AS sim FROM pred WHERE experiment = 'm17' AND time BETWEEN DATE '2000-03-01' AND DATE '2001-03-01' GROUP BY 1, 2")
+@query("r12_hydrograph", "pred", "SELECT experiment, station_id, time, round(min(obs), 6) AS obs, round(median(sim), 6) AS sim FROM pred WHERE time BETWEEN DATE '2000-03-01' AND DATE '2001-03-01' GROUP BY 1, 2, 3")
 def r12(t: Tables):
-    return R.hydrograph(t.pred.where("experiment = 'm17'"), "2000-03-01", "2001-03-01").select("station_id", "time", *r6("obs", "sim"))
+    return R.hydrograph(t.pred, "2000-03-01", "2001-03-01", ["experiment"]).select("experiment", "station_id", "time", *r6("obs", "sim"))
 
 
 @query("r12_calendar", "monthly", "SELECT station_id, time, row_number() OVER (PARTITION BY station_id ORDER BY time) - 1 AS position FROM monthly WHERE time >= DATE '2000-01-01'")
@@ -617,6 +617,35 @@ def s10(t: Tables):
     return IO.write_grid(g, _path(t, "grid"), {"value": "float", "code": "smallint"}, (5.0, -90.0, 16.0, 56.0)).select("cell_id", "lat_idx", "lon_idx", F.round(F.col("value").cast("double"), 1).alias("value"), F.col("code").cast("int").alias("code"))
 
 
+@query("s9_resumable_stations", "monthly", "SELECT station_id, time, flux FROM monthly")
+def s9_stations(t: Tables):
+    """A store whose first run stops after some jobs; the second builds only what is missing."""
+    path, runs = _path(t, "stations-store"), []
+
+    def build(mine):
+        if len(runs) == 2:
+            runs.append(None)
+            raise RuntimeError("stopped")
+        runs.append(mine)
+        return t.monthly.join(mine, "station_id", "left_semi").select("station_id", "time", "flux")
+
+    per_job = max(1, t.station.count() // 5)
+    try:
+        IO.write_stations(t.station, build, path, per_job=per_job)
+    except RuntimeError:
+        IO.write_stations(t.station, build, path, per_job=per_job)
+    return t.spark.read.schema("time date, flux double, station_id string").parquet(path).select("station_id", "time", "flux")
+
+
+@query("s10_conforming_sink", "grid", "SELECT cell_id, CAST(dense_rank() OVER (ORDER BY lat DESC) - 1 AS INTEGER) AS lat_idx, CAST(dense_rank() OVER (ORDER BY lon) - 1 AS INTEGER) AS lon_idx, round(CAST(CAST(value AS FLOAT) AS DOUBLE), 1) AS value, code FROM grid")
+def s10_conforming(t: Tables):
+    """A grid with other coordinate names, rows from south to north and -9999 for no value comes back conforming."""
+    g = t.grid.select("cell_id", (F.lit(9999) - F.col("lat_idx")).alias("lat_idx"), "lon_idx", F.col("lat").alias("latitude"), F.col("lon").alias("longitude"), F.coalesce("value", F.lit(-9999.0)).alias("value"), "code")
+    spec = {"value": {"dtype": "float", "unit": "mm", "fill": -9999.0, "tier": "1"}, "code": {"dtype": "smallint", "unit": "1", "fill": -1}}
+    back = IO.save_grid(g, _path(t, "conforming"), spec, ["cell_id"], bounds=(5.0, -90.0, 16.0, 56.0))
+    return back.select("cell_id", "lat_idx", "lon_idx", F.round(F.col("value").cast("double"), 1).alias("value"), F.col("code").cast("int").alias("code"))
+
+
 def _wide_blocks(t: Tables, rows, keys: list[str]):
     """Predictions written as wide files of 100 station columns each, and read back."""
     block = [*keys, "block"]

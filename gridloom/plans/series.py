@@ -83,7 +83,8 @@ def w10(t: Tables):
 
 @query("w12_empirical_cdf", sql="SELECT o_orderkey, o_orderpriority, round(row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_totalprice, o_orderkey) / CAST(count(*) OVER (PARTITION BY o_orderpriority) AS DOUBLE), 9) AS cdf FROM orders")
 def w12(t: Tables):
-    return t.read("orders").select("o_orderkey", "o_orderpriority", F.round(W.empirical_cdf("o_totalprice", ["o_orderpriority"], "o_orderkey"), 9).alias("cdf"))
+    got = W.empirical_cdf(t.read("orders").select("o_orderkey", "o_orderpriority", "o_totalprice"), "o_totalprice", ["o_orderpriority"], "o_orderkey")
+    return got.select("o_orderkey", "o_orderpriority", F.round("cdf", 9).alias("cdf"))
 
 
 @query("w13_stride_sample", "monthly", ", k AS (SELECT station_id, row_number() OVER (ORDER BY station_id) - 1 AS i FROM (SELECT DISTINCT station_id FROM monthly)) SELECT station_id, time FROM monthly WHERE station_id IN (SELECT station_id FROM k WHERE i % 7 = 0 AND i < 70)")

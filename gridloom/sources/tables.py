@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gridloom.operators import conform as P
 from gridloom.operators.spatial import bbox_margin_deg
+from gridloom.sources.shared import materialize
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -120,6 +124,123 @@ def write_grid(df: DataFrame, path: str, types: dict[str, str], bounds: tuple[fl
     return back
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def write_stations(stations: DataFrame, build: Callable[[DataFrame], DataFrame], path: str, key: str = "station_id", per_job: int = 1000, overwrite: bool = False, limit: int | None = None) -> int:
+    """A store with one folder per station; only stations that it lacks are built. Returns how many were.
+
+    ``build`` makes the rows of some stations (a table of keys). Stations are dealt to jobs of about ``per_job``; a job
+    replaces its stations' folders as a whole and then lists them in ``_done``, which readers of the store don't see. A
+    run that breaks leaves whole stations; one whose job wasn't listed is built again, into the same folders, so nothing is
+    there twice. A station without rows is done too. limit: the first N stations in the order of their keys.
+    ``overwrite`` begins anew. Null keys are left out; repeated ones count once.
+    """
+    spark, done = stations.sparkSession, f"{path}/_done"
+    ids = stations.select(key).where(F.col(key).isNotNull()).distinct()
+    if limit is not None:
+        ids = ids.orderBy(key).limit(limit)
+    if overwrite:
+        _delete(spark, path)
+    if exists(spark, done):
+        ids = ids.join(spark.read.schema(ids.schema).parquet(done), key, "left_anti")
+    todo = materialize(ids, "stations")
+    n = todo.count()
+    jobs = -(-n // per_job)
+    for j in range(jobs):
+        mine = todo.where(F.pmod(F.xxhash64(key), F.lit(jobs)) == j)
+        build(mine).repartition(key).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(key).parquet(path)
+        mine.coalesce(1).write.mode("append").parquet(done)
+    return n
+
+
+def morton(y: Column, x: Column) -> Column:
+    """The bits of two indexes below 2^20, in turns: cells near each other on the grid have near keys."""
+
+    def spread(v: Column) -> Column:
+        v = v.cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    return F.shiftleft(spread(y), 1).bitwiseOR(spread(x))
+
+
+def write_clustered_grid(df: DataFrame, path: str, group_bytes: int = 16 << 20) -> DataFrame:
+    """A grid written in the order of a space-filling key, so that files and row groups are patches of the grid.
+
+    Their smallest and largest lat and lon let a range filter skip most of them; ``read_grid`` sends that filter.
+    """
+    key = morton(F.col("lat_idx"), F.col("lon_idx"))
+    spread = df.withColumn("_key", key).repartitionByRange("_key").sortWithinPartitions("_key").drop("_key")
+    spread.write.mode("overwrite").option("compression", "zstd").option("parquet.block.size", group_bytes).parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+#: What a conforming variable must declare.
+REQUIRED = ["unit", "fill"]
+
+
+def footer_summary(spark: SparkSession, path: str, columns: list[str]) -> Row:
+    """Rows, and the least and largest value of each column, of a Parquet table: aggregates that Spark answers from the footers alone."""
+    own = spark.newSession()
+    own.conf.set("spark.sql.sources.useV1SourceList", "")
+    own.conf.set("spark.sql.parquet.aggregatePushdown", "true")
+    return own.read.parquet(path).agg(F.count(F.lit(1)).alias("rows"), *[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("min", F.min), ("max", F.max))]).first()
+
+
+def save_grid(df: DataFrame, path: str, variables: dict[str, dict], keep: list[str] | None = None, required: list[str] = REQUIRED, bounds: tuple[float, float, float, float] | None = None) -> DataFrame:
+    """A conforming grid table, mended where it can be and refused where it can't.
+
+    variables: for each its dtype, unit, fill, tier and whatever else its column's metadata shall hold. Coordinate names are
+    mended (P1), rows numbered from north to south and columns from west to east whatever the input's numbers (P2),
+    fill values, NaN and infinities become null (P3). Refused, with all reasons: a required key that is absent or empty
+    (P5), an unknown variable, values that the declared type can't hold, and, after the write, other types or
+    metadata than declared, values at the fill or cells outside the bounds (read from the footers), or a row that isn't north
+    of the next one. Cells without a coordinate are left out; repeated cells stay.
+    """
+    grid = P.rename_coordinates(df)
+    problems = [f"{v}: no such variable" for v in variables if v not in grid.columns]
+    problems += [f"{v}: {k} is missing" for v, spec in variables.items() for k in required if str(spec.get(k) if spec.get(k) is not None else "").strip() == ""]
+    if problems:
+        raise ValueError(f"{path}: {problems}")
+    fills = {v: spec["fill"] for v, spec in variables.items()}
+    grid = P.fills_to_null(P.orient(grid.drop("lat_idx", "lon_idx")), fills)
+    whole = ("tinyint", "smallint", "int", "bigint")
+
+    def typed(v: str, kind: str) -> Column:
+        return F.expr(f"try_cast({f'bround({v})' if kind in whole and dict(grid.dtypes)[v] in ('float', 'double') else v} AS {kind})")
+
+    lost = grid.agg(*[F.count_if(F.col(v).isNotNull() & typed(v, spec["dtype"]).isNull()).alias(v) for v, spec in variables.items()]).first()
+    problems = [f"{v}: {lost[v]} values don't fit {spec['dtype']}" for v, spec in variables.items() if lost[v]]
+    if problems:
+        raise ValueError(f"{path}: {problems}")
+    axes = [F.col("lat_idx").cast("int").alias("lat_idx"), F.col("lon_idx").cast("int").alias("lon_idx"), "lat", "lon"]
+    out = grid.select(*axes, *(keep or []), *[typed(v, spec["dtype"]).alias(v, metadata={k: x for k, x in spec.items() if k != "dtype"}) for v, spec in variables.items()])
+    write_clustered_grid(out, path)
+    back = df.sparkSession.read.parquet(path)
+    kinds, fields = dict(back.dtypes), {f.name: f.metadata for f in back.schema.fields}
+    problems = [f"{v}: written as {kinds[v]}" for v, spec in variables.items() if kinds[v] != spec["dtype"]]
+    problems += [f"{v}: metadata {fields[v]}" for v, spec in variables.items() if fields[v] != {k: x for k, x in spec.items() if k != "dtype"}]
+    ends = footer_summary(df.sparkSession, path, ["lat", "lon", *variables])
+    problems += [f"{v}: holds its fill {fills[v]}" for v in variables if ends[f"min_{v}"] is not None and fills[v] in (ends[f"min_{v}"], ends[f"max_{v}"])]
+    if bounds and ends["rows"]:
+        west, south, east, north = bounds
+        if not (south <= ends["min_lat"] and ends["max_lat"] <= north and west <= ends["min_lon"] and ends["max_lon"] <= east):
+            problems.append("cells outside the bounds")
+    for axis, sign in (("lat", -1), ("lon", 1)):
+        steps = back.groupBy(f"{axis}_idx").agg(F.min(axis).alias("a"), F.max(axis).alias("z"))
+        after = steps.select((F.col(f"{axis}_idx") - 1).alias(f"{axis}_idx"), F.col("a").alias("b"))
+        wrong = steps.join(after, f"{axis}_idx", "left").where((F.col("a") != F.col("z")) | ((F.col("b") - F.col("a")) * sign <= 0))
+        if not wrong.isEmpty():
+            problems.append(f"{axis} isn't in order")
+    if problems:
+        raise ValueError(f"{path}: {problems}")
+    return back
+
+
 def wide_results(pred: DataFrame, stations: list[str], keys: list[str] | None = None) -> DataFrame:
     """Long predictions (station_id, time, obs, sim) to <ID>_sim and <ID>_obs columns per keys and time."""
     wide = pred.groupBy(*(keys or []), "time").pivot("station_id", stations).agg(F.first("sim").alias("sim"), F.first("obs").alias("obs"))
