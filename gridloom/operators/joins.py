@@ -53,7 +53,8 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, bucket: float = 1
     """
     b = F.lit(float(bucket))
     ring = F.col("ring")
-    polygons = polygons.withColumn("_ring", F.xxhash64("poly_id", "ring")).dropDuplicates(["poly_id", "_ring"])
+    # rings are told apart by their polygon and 128 bits of their points
+    polygons = polygons.withColumn("_ring", F.struct("poly_id", F.md5(F.to_json("ring")).alias("points"))).dropDuplicates(["_ring"])
     box = polygons.withColumns({"_x0": F.array_min(F.transform(ring, lambda p: p["x"])), "_x1": F.array_max(F.transform(ring, lambda p: p["x"])), "_y0": F.array_min(F.transform(ring, lambda p: p["y"])), "_y1": F.array_max(F.transform(ring, lambda p: p["y"]))})
     box = box.select("poly_id", "_ring", "_x0", "_x1", "_y0", "_y1", (first if first is not None else F.col("poly_id")).alias("_order"))
     cells = box.withColumn("_bx", F.explode(F.sequence(F.floor(F.col("_x0") / b), F.floor(F.col("_x1") / b)))).withColumn("_by", F.explode(F.sequence(F.floor(F.col("_y0") / b), F.floor(F.col("_y1") / b))))
@@ -68,8 +69,11 @@ def points_in_polygons(points: DataFrame, polygons: DataFrame, bucket: float = 1
     hit = ((y1 > y) != (y2 > y)) & ((turn > 0) == (y2 > y1))
     met = near.join(edges, ["_ring", "_by"]).groupBy(key, "_px", "_py", "_ring", "poly_id", "_order").agg(F.count_if(hit).alias("n"), F.max(on).alias("on"))
     inside = met.where((F.col("n") % 2 == 1) | F.col("on"))
-    match = inside.groupBy(key).agg(F.min("poly_id").alias("poly_id") if first is None else F.max_by("poly_id", "_order").alias("poly_id"))
-    return points.join(match, key, "left")
+    match = inside.groupBy(key, "_px", "_py").agg(F.min("poly_id").alias("poly_id") if first is None else F.max_by("poly_id", "_order").alias("poly_id"))
+    # rows of one key may be different points
+    match = match.withColumnRenamed(key, "_key")
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("lon") == F.col("_px")) & (F.col("lat") == F.col("_py"))
+    return points.join(match, same, "left").drop("_key", "_px", "_py")
 
 
 def nearest_index(value: Column, origin: float, step: float, size: int | Column) -> Column:

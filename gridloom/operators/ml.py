@@ -16,6 +16,7 @@ from pyspark.ml.regression import GBTRegressionModel, GBTRegressor, RandomForest
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.functions.scalar import feature_group, window_label
 from gridloom.operators.aggregates import ensemble
 from gridloom.operators.evaluation import moments, pearson
 from gridloom.operators.ordering import sample_rows, top_n
@@ -408,9 +409,22 @@ def held_out_rows(matrix: DataFrame, log: DataFrame) -> DataFrame:
     return matrix.join(picked, "fold")
 
 
-def explanation_bundle(long: DataFrame, top: int, n_rows: int, seed: int, labels: DataFrame | None = None) -> DataFrame:
-    """Contributions and values of the most important features on sampled rows, with labels."""
+def explanation_bundle(long: DataFrame, top: int, n_rows: int, seed: int, labels: DataFrame | None = None, codes: DataFrame | None = None) -> DataFrame:
+    """Contributions and values of the most important features on sampled rows, with group (F10), window (F13), labels and, for categories, the category behind the code.
+
+    labels: feature, label; codes: feature, code, category (see ``category_codes``). A feature without either has null there.
+    """
     best = top_n(attribution_summary(long), "mean_abs", top, "feature").select("feature")
     ids = sample_rows(long.select("row_id").distinct(), "row_id", n_rows, seed)
     out = long.join(best, "feature", "left_semi").join(ids, "row_id", "left_semi")
+    out = out.withColumn("group", feature_group(F.col("feature"))).withColumn("window", window_label(F.col("feature")))
+    if codes is not None:
+        out = out.join(codes.select("feature", F.col("code").cast("double").alias("value"), "category"), ["feature", "value"], "left")
     return out if labels is None else out.join(labels, "feature", "left")
+
+
+def category_codes(model: PipelineModel) -> DataFrame:
+    """(feature, code, category) of the categories that ``prepare`` has indexed; one more code stands for unseen ones and nulls (category null)."""
+    indexed = [(st.getInputCol(), st.labels) for st in model.stages if hasattr(st, "labels")]
+    rows = [(c, i, label) for c, labels in indexed for i, label in enumerate([*labels, None])]
+    return SparkSession.active().createDataFrame(rows, "feature string, code int, category string")

@@ -202,30 +202,63 @@ def terrain_derivatives(cells: DataFrame, dlat: float, dlon: float, elevation: s
     return df.withColumns(out).drop("_zx", "_zy", *m)
 
 
-def height_above_drainage(cells: DataFrame, threshold: float = 1000.0, max_steps: int = 5000) -> DataFrame:
-    """Elevation above the first drainage cell downstream (D8), 0 at least; null without an outlet.
-
-    Pointer doubling: after round k every cell knows its drainage cell within 2**k steps, so 13
-    rounds cover 5000 sweeps; cells that are done leave the loop. cells: cell_id, lat_idx, lon_idx,
-    dem, acc, dir.
+def _tile_flow(table: pa.Table, tile: int) -> pa.Table:
+    """Within one tile: what each cell drains to there (base, steps), or the cell outside that its path leaves for (exit, steps)."""
+    r, c = table["lat_idx"].to_numpy().astype(np.int64), table["lon_idx"].to_numpy().astype(np.int64)
+    to_r, to_c = (table[x].cast(pa.int64()).fill_null(-(1 << 40)).to_numpy() for x in ("_r", "_c"))
+    drain, dem = table["_drain"].to_numpy(zero_copy_only=False), table["dem"].to_numpy(zero_copy_only=False).astype(float)
+    n = len(r)
+    place = np.full(tile * tile, -1)
+    place[(r % tile) * tile + c % tile] = np.arange(n)
+    here = (to_r // tile == r[0] // tile) & (to_c // tile == c[0] // tile)
+    leaves = ~drain & ~here & (to_r > -(1 << 40))
+    ahead = np.where(here & ~drain, place[np.where(here, (to_r % tile) * tile + to_c % tile, 0)], -1)
+    ends = ahead < 0
+    at, steps = np.where(ends, np.arange(n), ahead), np.where(ends, 0, 1)
+    for _ in range(int(np.ceil(np.log2(n + 1))) + 1):
+        if ends[at].all():
+            break
+        steps, at = steps + steps[at], at[at]
+    known = ends[at]  # others run in a circle
+    base = np.where(known & drain[at], dem[at], np.nan)
+    out = known & leaves[at]
+    names = ["cell_id", "lat_idx", "lon_idx", "dem", "hit", "base", "exit_r", "exit_c", "steps"]
+    hit = known & drain[at]
+    cols = [table["cell_id"], table["lat_idx"], table["lon_idx"], table["dem"], pa.array(hit), pa.array(base, mask=~hit | np.isnan(base)), pa.array(to_r[at], mask=~out), pa.array(to_c[at], mask=~out), pa.array(np.where(out, steps + 1, steps).astype(np.int64))]
+    return pa.table(cols, names=names)
+
+
+def height_above_drainage(cells: DataFrame, threshold: float = 1000.0, max_steps: int = 5000, tile: int = 512) -> DataFrame:
+    """Elevation above the first drainage cell downstream (D8), 0 at least; null without an outlet in ``max_steps`` steps.
+
+    Two levels: a task follows all paths inside a square of ``tile`` cells at once, which leaves one hop for each
+    cell: to its drainage cell, or out of the square. Pointer doubling then runs over the cells that paths enter squares
+    at only, and one join gives its result to the others. cells: cell_id, lat_idx, lon_idx, dem, acc, dir; each place once.
     """
-    steps = F.create_map(*[x for d, (r, c) in D8.items() for x in (F.lit(d), F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")))])
-    s = F.try_element_at(steps, F.col("dir").cast("int"))
+    moves = F.create_map(*[x for d, (r, c) in D8.items() for x in (F.lit(d), F.struct(F.lit(r).alias("r"), F.lit(c).alias("c")))])
+    s = F.try_element_at(moves, F.col("dir").cast("int"))
     drains = F.coalesce(F.col("acc") >= threshold, F.lit(False))
-    at = cells.select("cell_id", "dem", drains.alias("_drain"), (F.col("lat_idx") + s["r"]).alias("_r"), (F.col("lon_idx") + s["c"]).alias("_c"))
-    place = cells.select(F.col("cell_id").alias("_next"), F.col("lat_idx").alias("_r"), F.col("lon_idx").alias("_c"))
-    state = materialize(at.join(place, ["_r", "_c"], "left").select("cell_id", "dem", "_next", "_drain"), "drain")
-    done = state.where("_drain").select("cell_id", F.col("dem").alias("_base"))
-    live = state.where("not _drain and _next is not null").select("cell_id", "_next")
+    at = cells.select("cell_id", F.col("lat_idx").cast("long").alias("lat_idx"), F.col("lon_idx").cast("long").alias("lon_idx"), F.col("dem").cast("double").alias("dem"), drains.alias("_drain"), (F.col("lat_idx") + s["r"]).cast("long").alias("_r"), (F.col("lon_idx") + s["c"]).cast("long").alias("_c"))
+    kind = f"cell_id {dict(cells.dtypes)['cell_id']}, lat_idx long, lon_idx long, dem double, hit boolean, base double, exit_r long, exit_c long, steps long"
+    flow = materialize(at.groupBy(F.floor(F.col("lat_idx") / tile), F.floor(F.col("lon_idx") / tile)).applyInArrow(lambda key, t: _tile_flow(t, tile), kind), "tile-flow")
+    entered = flow.where("exit_r is not null").select(F.col("exit_r").alias("lat_idx"), F.col("exit_c").alias("lon_idx")).distinct()
+    doors = materialize(flow.join(entered, ["lat_idx", "lon_idx"]).select("lat_idx", "lon_idx", "hit", "base", "exit_r", "exit_c", "steps"), "doors")
+    done, live = doors.where("hit").select("lat_idx", "lon_idx", "base", "steps"), doors.where("exit_r is not null").select("lat_idx", "lon_idx", "exit_r", "exit_c", "steps")
     for _ in range(max(1, math.ceil(math.log2(max_steps)))):
         if live.isEmpty():
             break
-        base = done.select(F.col("cell_id").alias("_next"), "_base")
-        hop = live.select(F.col("cell_id").alias("_next"), F.col("_next").alias("_far"))
-        step = materialize(live.join(base.withColumn("_hit", F.lit(True)), "_next", "left").join(hop, "_next", "left").select("cell_id", "_base", "_hit", "_far"), "drain")
-        done = materialize(done.unionByName(step.where("_hit").select("cell_id", "_base")), "drained")
-        live = step.where("_hit is null and _far is not null").select("cell_id", F.col("_far").alias("_next"))
-    return cells.select("cell_id", "dem").join(done, "cell_id", "left").select("cell_id", F.greatest(F.col("dem") - F.col("_base"), F.when((F.col("dem") - F.col("_base")).isNotNull(), F.lit(0.0))).alias("hand"))
+        next_ = [F.col("lat_idx").alias("exit_r"), F.col("lon_idx").alias("exit_c")]
+        base = done.select(*next_, F.lit(True).alias("hit"), F.col("base"), F.col("steps").alias("_more"))
+        hop = live.select(*next_, F.col("exit_r").alias("_far_r"), F.col("exit_c").alias("_far_c"), F.col("steps").alias("_hop"))
+        step = live.join(base, ["exit_r", "exit_c"], "left").join(hop, ["exit_r", "exit_c"], "left")
+        step = materialize(step.select("lat_idx", "lon_idx", "hit", "base", "_far_r", "_far_c", (F.col("steps") + F.coalesce("_more", "_hop")).alias("steps")).where(F.col("steps") <= max_steps), "doors")
+        done = materialize(done.unionByName(step.where("hit").select("lat_idx", "lon_idx", "base", "steps")), "drained")
+        live = step.where("hit is null").select("lat_idx", "lon_idx", F.col("_far_r").alias("exit_r"), F.col("_far_c").alias("exit_c"), "steps")
+    reached = done.select(F.col("lat_idx").alias("exit_r"), F.col("lon_idx").alias("exit_c"), F.col("base").alias("_base"), F.col("steps").alias("_more"))
+    all_ = flow.join(reached, ["exit_r", "exit_c"], "left")
+    base = F.when(F.col("hit") & (F.col("steps") <= max_steps), F.col("base")).when(F.col("steps") + F.col("_more") <= max_steps, F.col("_base"))
+    above = F.col("dem") - base
+    return all_.select("cell_id", F.when(above.isNotNull(), F.greatest(above, F.lit(0.0))).alias("hand"))
 
 
 def distance_to_class(cells: DataFrame, classes: list[int], res_deg: float, code: str = "code") -> DataFrame:

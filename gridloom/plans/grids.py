@@ -467,7 +467,13 @@ def g5(t: Tables):
     return d.select("cell_id", *r6("slope"), F.round("aspect", 4).alias("aspect"), F.when(F.col("acc") > 0, F.round("twi", 6)).alias("twi"))
 
 
-@query("g6_height_above_drainage", "grid", None)
+_STEP = "CASE WHEN dir IN (1, 2, 128) THEN 1 WHEN dir IN (8, 16, 32) THEN -1 ELSE 0 END"
+_DOWN = "CASE WHEN dir IN (2, 4, 8) THEN 1 WHEN dir IN (32, 64, 128) THEN -1 ELSE 0 END"
+
+
+@query("g6_height_above_drainage", "grid", _DEM + f""", e AS (SELECT a.cell_id, n.cell_id AS next FROM d a JOIN d n ON n.lat_idx = a.lat_idx + {_DOWN.replace('dir', 'a.dir')} AND n.lon_idx = a.lon_idx + {_STEP.replace('dir', 'a.dir')} WHERE a.acc < 900),
+r(cell_id, spot) AS (SELECT cell_id, cell_id FROM d UNION SELECT r.cell_id, e.next FROM r JOIN e ON e.cell_id = r.spot)
+SELECT d.cell_id, CASE WHEN b.dem IS NOT NULL THEN greatest(d.dem - b.dem, 0) END AS hand FROM d LEFT JOIN (SELECT r.cell_id, o.dem FROM r JOIN d o ON o.cell_id = r.spot AND o.acc >= 900) b ON b.cell_id = d.cell_id""")
 def g6(t: Tables):
     return G.height_above_drainage(_dem(t), 900.0)
 

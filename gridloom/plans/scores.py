@@ -836,9 +836,11 @@ def x5(t: Tables):
 
 
 @query("x6_explanation_bundle", "attribution", """, be AS (SELECT feature FROM attribution GROUP BY 1 ORDER BY avg(abs(contribution)) DESC, feature LIMIT 2), ro AS (SELECT row_id FROM (SELECT DISTINCT row_id FROM attribution) ORDER BY md5(row_id || '/7'), row_id LIMIT 300)
-SELECT feature, row_id, value, round(contribution, 6) AS contribution, upper(feature) AS label FROM attribution WHERE feature IN (SELECT feature FROM be) AND row_id IN (SELECT row_id FROM ro)""")
+SELECT feature, row_id, value, round(contribution, 6) AS contribution, upper(feature) AS label, 'other' AS "group", 'static' AS "window", CASE WHEN feature = 'l_quantity' AND value <= 10 THEN 'q' || CAST(CAST(value AS INTEGER) AS VARCHAR) END AS category FROM attribution WHERE feature IN (SELECT feature FROM be) AND row_id IN (SELECT row_id FROM ro)""")
 def x6(t: Tables):
     from gridloom.operators import ml
 
     labels = t.attribution.select("feature").distinct().withColumn("label", F.upper("feature"))
-    return ml.explanation_bundle(t.attribution, 2, 300, 7, labels).withColumn("contribution", F.round("contribution", 6))
+    few = t.read("lineitem").select("l_quantity").distinct().where("l_quantity <= 10")
+    codes = few.select(F.lit("l_quantity").alias("feature"), F.col("l_quantity").alias("code"), F.concat(F.lit("q"), F.col("l_quantity").cast("int").cast("string")).alias("category"))
+    return ml.explanation_bundle(t.attribution, 2, 300, 7, labels, codes).withColumn("contribution", F.round("contribution", 6))
