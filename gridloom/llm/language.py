@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,6 +18,9 @@ SCRIPT_STARTS = np.array([0x0000, 0x0370, 0x0400, 0x0530, 0x0590, 0x0600, 0x0900
 BITS = 15  # features of each n-gram order
 _SIZE = 3 << BITS
 _LETTER = np.zeros(0x110000, bool)
+#: Characters of a text that are scored at once, about 100 bytes each at the peak.
+GIANT = 2_000_000
+_BREAK = re.compile(r"[\s!?;()\"。，、！？；]")
 
 
 def _letters() -> np.ndarray:
@@ -26,8 +30,8 @@ def _letters() -> np.ndarray:
 
 
 def _codes(texts: list[str]) -> np.ndarray:
-    """Lower-cased code points with 0 for what is no letter, texts set apart by zeros; text i's end is found by its zero runs."""
-    joined = "\0\0".join(texts).lower()
+    """Lower-cased code points with 0 for what is no letter, and two zeros behind each text, so a text's words end alike wherever it stands."""
+    joined = "".join([t + "\0\0" for t in texts]).lower()
     c = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32).copy()
     c[~_letters()[c]] = 0
     return c
@@ -142,38 +146,88 @@ def label_words(scores: np.ndarray, offsets: np.ndarray, penalty: float) -> np.n
     return labels
 
 
-def identify(texts: list[str], model: dict, penalty: float) -> list[tuple[str, float]]:
-    """(language, share of the letters that are labelled with it) for each text; no letter: ("und", 0)."""
+def _word_scores(texts: list[str], model: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """(scores by language, letters, text) of each word of the texts in a row; None without any letter."""
+    langs = model["langs"]
+    c = _codes(texts)
+    # lower() may lengthen a text, so ends are taken from the lower-cased ones
+    ends = np.cumsum([len(t.lower()) + 2 for t in texts])
+    at, f = _features(c)
+    if not len(at) or not langs:
+        return None
+    first = np.flatnonzero((c[at] != 0) & ((at == 0) | (c[at - 1] == 0)))
+    starts = at[first]
+    score = np.empty((len(first), len(langs)), np.float32)
+    step = 800_000 // max(len(langs), 4)
+    for a in range(0, len(first), step):
+        lo, hi = first[a], first[a + step] if a + step < len(first) else len(at)
+        score[a : a + step] = np.add.reduceat(model["logp"][f[lo:hi]].sum(1), first[a : a + step] - lo, 0)
+    script = np.searchsorted(SCRIPT_STARTS, c[starts], "right") - 1
+    fits = model["scripts"][script]
+    fits[~fits.any(1)] = True
+    score[~fits] = -1e6
+    return score, np.add.reduceat((c[at] != 0).astype(np.int64), first), np.searchsorted(ends, starts, "right")
+
+
+def _blocks(text: str, most: int) -> Iterator[str]:
+    """A long text in blocks of about ``most`` characters, cut behind white space or a mark that neither ends in a letter nor bears on the case of one."""
+    at = 0
+    while len(text) - at > most and (m := _BREAK.search(text, at + most)):
+        yield text[at : m.end()]
+        at = m.end()
+    yield text[at:]
+
+
+def identify_giant(text: str, model: dict, penalty: float, most: int) -> tuple[str, float]:
+    """``identify`` for one text of any length, whose words are scored in blocks.
+
+    Viterbi's vector goes from block to block, and with each state the letters that the best path to it has given to every
+    language, so no word is remembered and memory follows the block, not the text.
+    """
+    langs = model["langs"]
+    delta, letters = None, np.zeros((len(langs), len(langs)))
+    for part in _blocks(text, most):
+        got = _word_scores([part], model)
+        if got is None:
+            continue
+        for row, n in zip(got[0], got[1].tolist(), strict=True):
+            if delta is None:
+                delta = np.zeros(len(langs), np.float32)
+            else:
+                best = int(delta.argmax())
+                top = delta[best] - np.float32(penalty)
+                behind = delta < top
+                if behind.any():
+                    letters[behind] = letters[best]
+                    delta = np.where(behind, top, delta)
+            delta = delta + row
+            letters[np.diag_indices(len(langs))] += n
+    if delta is None:
+        return "und", 0.0
+    mine = letters[int(delta.argmax())]
+    return langs[int(mine.argmax())], float(mine.max() / mine.sum())
+
+
+def identify(texts: list[str], model: dict, penalty: float, giant: int = GIANT) -> list[tuple[str, float]]:
+    """(language, share of the letters that are labelled with it) for each text; no letter: ("und", 0). Texts beyond ``giant`` characters go block by block."""
     langs, out = model["langs"], [("und", 0.0)] * len(texts)
-    for g in _groups(texts, 8_000_000 // max(len(langs), 4)):
-        part = [texts[i] for i in g]
-        c = _codes(part)
-        # lower() may lengthen a text, so ends are taken from the lower-cased ones
-        ends = np.cumsum([len(t.lower()) + 2 for t in part])
-        at, f = _features(c)
-        if not len(at) or not langs:
+    short = [i for i, t in enumerate(texts) if len(t) <= giant]
+    for g in _groups([texts[i] for i in short], 8_000_000 // max(len(langs), 4)):
+        g = [short[k] for k in g]
+        got = _word_scores([texts[i] for i in g], model)
+        if got is None:
             continue
-        first = np.flatnonzero((c[at] != 0) & ((at == 0) | (c[at - 1] == 0)))
-        starts = at[first]
-        score = np.empty((len(first), len(langs)), np.float32)
-        step = 800_000 // max(len(langs), 4)
-        for a in range(0, len(first), step):
-            lo, hi = first[a], first[a + step] if a + step < len(first) else len(at)
-            score[a : a + step] = np.add.reduceat(model["logp"][f[lo:hi]].sum(1), first[a : a + step] - lo, 0)
-        script = np.searchsorted(SCRIPT_STARTS, c[starts], "right") - 1
-        fits = model["scripts"][script]
-        fits[~fits.any(1)] = True
-        score[~fits] = -1e6
-        size = np.add.reduceat((c[at] != 0).astype(np.int64), first)
-        of = np.searchsorted(ends, starts, "right")
-        offsets = np.searchsorted(of, np.arange(len(part) + 1))
+        score, size, of = got
+        offsets = np.searchsorted(of, np.arange(len(g) + 1))
         label = label_words(score, offsets, penalty)
-        weight = np.zeros((len(part), len(langs)))
+        weight = np.zeros((len(g), len(langs)))
         np.add.at(weight, (of, label), size)
         top, total = weight.argmax(1), weight.sum(1)
         for j, i in enumerate(g):
             if total[j]:
                 out[i] = (langs[top[j]], float(weight[j, top[j]] / total[j]))
+    for i in sorted(set(range(len(texts))) - set(short)):
+        out[i] = identify_giant(texts[i], model, penalty, giant)
     return out
 
 
@@ -182,8 +236,7 @@ def identify_language(docs: DataFrame, model: dict, penalty: float = 12.0, id_co
 
     Words are runs of letters; a word's script leaves only languages that were learnt with it. Whole
     texts are read, in one pass without a shuffle; the model is broadcast, its size is fixed by the
-    feature count and the number of languages. A task holds one text's words at a time if the text is
-    long, about 5 bytes a word and language. Null or letterless text gives ``und`` and 0; without
+    feature count and the number of languages. Long texts are scored in blocks of ``GIANT`` characters. Null or letterless text gives ``und`` and 0; without
     any learnt language all rows give ``und``. Repeated rows and null ids are kept; other columns
     are not read.
     """

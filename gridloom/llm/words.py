@@ -60,15 +60,18 @@ def _block(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _cut(text: bytes) -> list[bytes]:
-    """Pieces of about a block, cut at white space only."""
-    pieces = []
-    while len(text) > _BLOCK:
-        at = max(text.rfind(c, 1, _BLOCK) for c in (b" ", b"\n", b"\t"))
-        if at < 1:  # one word longer than a block
-            at = next((i for i in range(_BLOCK, len(text)) if text[i] in b" \t\n\v\f\r"), len(text))
-        pieces.append(text[:at])
-        text = text[at:]
-    return [*pieces, text]
+    """Pieces of about a block, cut at white space only; a word longer than a block is one piece."""
+    pieces, at, data = [], 0, np.frombuffer(text, np.uint8)
+    while len(text) - at > _BLOCK:
+        end = max(text.rfind(c, at + 1, at + _BLOCK) for c in (b" ", b"\n", b"\t"))
+        if end <= at:
+            end = at + _BLOCK
+            while end < len(text) and not (space := _IS_SPACE[data[end : end + _BLOCK]]).any():
+                end += _BLOCK
+            end = end + int(space.argmax()) if end < len(text) else len(text)
+        pieces.append(text[at:end])
+        at = end
+    return [*pieces, text[at:]]
 
 
 def hash_words(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -482,7 +482,7 @@ def test_decontamination_in_blocks(spark, monkeypatch):
     whole = sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect()))
     clean = sorted(map(str, decontaminate.drop_contaminated(docs(spark, rows), bench).collect()))
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 800)
-    assert decontaminate.item_blocks(bench, 0.2, "item_id", "text")[0] > 5
+    assert decontaminate._listed(bench, "item_id", "text")[1] > 800
     assert sorted(map(str, decontaminate.contaminated(docs(spark, rows), bench).collect())) == whole and len(whole) >= 31
     assert sorted(map(str, decontaminate.drop_contaminated(docs(spark, rows), bench).collect())) == clean and len(clean) == 2
 
