@@ -121,7 +121,7 @@ def temporal_ensemble(matrix: DataFrame, target: str, numeric: list[str], catego
         model, best, losses = fit_member(known.where("split = 'train'"), target, seed, stop=known.where("split = 'stop'"), **options)
         part = model.transform(rows.where("split = 'test'")).select(*keys, F.lit(seed).alias("seed"), F.col(target).alias("obs"), F.col("prediction").alias("sim"))
         out = part if out is None else out.unionByName(part)
-        log.append({"seed": seed, "rounds": best, "losses": losses, "model": model})
+        log.append({"seed": seed, "rounds": best, "losses": losses, "model": model, "features": feature_names(rows)})
     return out, log
 
 

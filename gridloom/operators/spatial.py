@@ -114,15 +114,14 @@ def nearest_on_sphere(points: DataFrame, cells: DataFrame, axes: Axes, key: str
         whole = size >= max(axes.n_lat, axes.n_lon)
         one = _tiled(cells, size).groupBy("_ty", "_tx").agg(F.min(F.struct("lat_idx", "lon_idx")).alias("c")).select("_ty", "_tx", "c.*")
         hy, hx = circle(F.lit(math.pi * earth if whole else size * min(abs(axes.dlat), abs(axes.dlon)) * KM_PER_DEGREE))
-        bound = _least(_covering(open_, axes, size, y, x, hy, hx).join(one, ["_ty", "_tx"]), axes, key, F.lit(True))
-        bound = materialize(bound.select(key, F.col("dist_km").alias("_most")), "bounds")
+        found = _least(_covering(open_, axes, size, y, x, hy, hx).join(one, ["_ty", "_tx"]), axes, key, F.lit(True))
+        bound = materialize(open_.join(found.select(key, F.col("dist_km").alias("_most")), key, "left"), "bounds")
         hy, hx = circle(F.col("_most"))
-        near = _covering(open_.join(bound, key), axes, size, y, x, hy, hx).join(_tiled(cells, size), ["_ty", "_tx"])
+        near = _covering(bound.where("_most is not null"), axes, size, y, x, hy, hx).join(_tiled(cells, size), ["_ty", "_tx"])
         parts.append(materialize(_least(near, axes, key, F.col("dist_km") <= F.col("_most")), "nearest"))
-        open_ = open_.join(bound.select(key), key, "left_anti")
+        open_, size = bound.where("_most is null").drop("_most"), size * 2
         if whole:
             break
-        open_, size = materialize(open_, "open"), size * 2
     return parts, open_.select(key).unionByName(unplaced.select(key))
 
 

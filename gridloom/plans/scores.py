@@ -746,7 +746,7 @@ def m5(t: Tables):
 
     m, num, cat = _matrix(t)
     _, log = ml.temporal_ensemble(m, "z", num, cat, [1], ["station_id", "time"], **OPTIONS)
-    imp = ml.importances(log, [*num, *cat], t.spark).select(F.col("feature").alias("name"), F.col("importance").alias("value"))
+    imp = ml.importances(log, log[0]["features"], t.spark).select(F.col("feature").alias("name"), F.col("importance").alias("value"))
     return imp.unionByName(ml.loss_history(log, t.spark).select(F.concat(F.lit("round "), F.col("round").cast("string")).alias("name"), F.col("loss").alias("value")))
 
 

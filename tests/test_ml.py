@@ -107,3 +107,18 @@ def test_division_equals_the_plain_polynomial():
     base = sum(v * np.prod([p[4] for p in r]) for v, r in leaves)
     full = [sum(v * all(lo < row[f] <= hi for f, lo, hi, *_ in r) for v, r in leaves) for row in x]
     assert np.allclose(phi.sum(1) + base, full)
+
+
+def test_ensemble_attributions_are_the_mean_of_the_members(spark, noisy):
+    rows, _ = ml.prepare(noisy, ["a", "b"], ["c"])
+    rows = rows.withColumn("row_id", F.col("time").cast("string"))
+    names = ml.feature_names(rows)
+    models = [ml.fit_member(rows.where("split = 'train'"), "y", s, rounds=3, depth=3, least=3)[0] for s in (1, 2)]
+    some = rows.where("time < 40")
+    both = {(r.row_id, r.feature): (r.value, r.contribution) for r in ml.explain(some, [(0, 0.5, m) for m in models], names, "row_id").collect()}
+    single = ml.ensemble_attributions([ml.attributions(some, m, names, "row_id") for m in models]).collect()
+    assert len(both) == len(single) == 40 * len(names)
+    for r in single:
+        value, contribution = both[r.row_id, r.feature]
+        assert value == r.value and contribution == pytest.approx(r.contribution)
+    assert ml.explain(some.limit(0), [(0, 1.0, models[0])], names, "row_id").count() == 0
