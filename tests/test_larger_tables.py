@@ -24,3 +24,15 @@ def test_covered_tiles_are_never_sent_to_all_tasks(spark):
     assert "SortMergeJoin" in plan(G._meet(covering, cells, False)) and "BroadcastExchange" not in plan(G._meet(covering, cells, False))
     sent = G._meet(covering, cells, True)
     assert "BuildRight" in plan(sent) and {r.station_id for r in sent.collect()} == {1, 2}
+
+
+def test_no_window_goes_through_the_rest_of_its_group_for_each_row(spark):
+    cells = spark.createDataFrame([(i, j, 1 if (i * 3 + j) % 7 == 0 else None) for i in range(9) for j in range(9)], "lat_idx int, lon_idx int, code int")
+    got = G.distance_to_class(cells, [1], 1.0)
+    assert "unboundedfollowing" not in plan(got).lower()
+    source = [(i, j) for i in range(9) for j in range(9) if (i * 3 + j) % 7 == 0]
+    for r in got.collect():
+        assert abs(r.distance - min(((r.lat_idx - i) ** 2 + (r.lon_idx - j) ** 2) ** 0.5 for i, j in source)) < 1e-9
+    filled = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 1, 7)], "k string, y int, v int").withColumn("v", W.back_fill("v", "k", "y"))
+    assert "unboundedfollowing" not in plan(filled).lower()
+    assert sorted((r.k, r.y, r.v) for r in filled.collect() if r.v) == [("a", 1, 5), ("a", 2, 5), ("b", 1, 7)]
