@@ -36,3 +36,10 @@ def test_no_window_goes_through_the_rest_of_its_group_for_each_row(spark):
     filled = spark.createDataFrame([("a", 1, None), ("a", 2, 5), ("a", 3, None), ("b", 1, 7)], "k string, y int, v int").withColumn("v", W.back_fill("v", "k", "y"))
     assert "unboundedfollowing" not in plan(filled).lower()
     assert sorted((r.k, r.y, r.v) for r in filled.collect() if r.v) == [("a", 1, 5), ("a", 2, 5), ("b", 1, 7)]
+
+
+def test_grid_sinks_take_rows_beyond_the_first_6000(spark, tmp_path):
+    keys = [0, 401 * 3000 + 5, 401 * 6000 + 7]
+    pq.write_table(pa.table({"o_orderkey": pa.array(keys, pa.int64()), "o_totalprice": [10.0, 20.0, 30.0], "o_orderpriority": ["1-URGENT", "2-HIGH", "5-LOW"]}), tmp_path / "orders.parquet")
+    for name in ("s10_grid_sink", "s10_conforming_sink"):
+        assert {r.cell_id for r in plans.registered()[0][name](spark, str(tmp_path)).collect()} == set(keys)
