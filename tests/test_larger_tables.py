@@ -43,3 +43,25 @@ def test_grid_sinks_take_rows_beyond_the_first_6000(spark, tmp_path):
     pq.write_table(pa.table({"o_orderkey": pa.array(keys, pa.int64()), "o_totalprice": [10.0, 20.0, 30.0], "o_orderpriority": ["1-URGENT", "2-HIGH", "5-LOW"]}), tmp_path / "orders.parquet")
     for name in ("s10_grid_sink", "s10_conforming_sink"):
         assert {r.cell_id for r in plans.registered()[0][name](spark, str(tmp_path)).collect()} == set(keys)
+
+
+def shifting(spark, kind, at):
+    """A column whose value another evaluation of the same table changes in its last bit, as sums of doubles may."""
+    runs = f"{spark.conf.get('spark.checkpoint.dir')}/evaluations-{kind}-{at}"
+
+    @F.udf("double")
+    def value(x):
+        import os
+        import uuid
+
+        os.makedirs(runs, exist_ok=True)
+        open(f"{runs}/{uuid.uuid4().hex}", "w").close()
+        return x + len(os.listdir(runs)) * 1e-12
+
+    return value.asNondeterministic()
+
+
+def test_ranked_rows_keep_their_positions_when_values_shift(spark):
+    rows = spark.createDataFrame([(f"s{i}", "e", float(i)) for i in range(40)], "station_id string, experiment string, score double")
+    shifted = rows.withColumn("score", shifting(spark, "cdf", 0)("score"))
+    assert R.cdf_table(shifted, ["experiment"]).count() == 40
