@@ -65,3 +65,9 @@ def test_ranked_rows_keep_their_positions_when_values_shift(spark):
     rows = spark.createDataFrame([(f"s{i}", "e", float(i)) for i in range(40)], "station_id string, experiment string, score double")
     shifted = rows.withColumn("score", shifting(spark, "cdf", 0)("score"))
     assert R.cdf_table(shifted, ["experiment"]).count() == 40
+
+
+def test_value_response_counts_every_row_when_contributions_shift(spark):
+    rows = spark.createDataFrame([("f", float(i), float(i)) for i in range(40)], "feature string, value double, contribution double")
+    got = ml.value_response(rows.withColumn("contribution", shifting(spark, "response", 0)("contribution")), []).first()
+    assert got.n == 40 and got.spearman > 0.99
