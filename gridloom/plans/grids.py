@@ -260,9 +260,7 @@ pf AS (SELECT r, c, max(poly_id) AS p FROM fi JOIN box ON lon BETWEEN x0 AND x0
 nn AS (SELECT r // 5 AS lat_idx, c // 5 AS lon_idx, p, row_number() OVER (PARTITION BY r // 5, c // 5 ORDER BY count(*) DESC, p) AS k FROM pf WHERE p <> 0 GROUP BY 1, 2, 3)
 SELECT g.lat_idx, g.lon_idx, CASE WHEN p <> 16 THEN p END AS poly_id FROM grid g LEFT JOIN nn ON nn.lat_idx = g.lat_idx AND nn.lon_idx = g.lon_idx AND k = 1""")
 def g3(t: Tables):
-    fine = G.oversample(t.grid, t.axes, 5)
-    on = G.rasterise(fine, _boxes(t))
-    return A.block_mode(on, "poly_id", 5, [16])
+    return G.oversampled_mode(t.grid, t.axes, 5, _boxes(t), [16])
 
 
 @query("g4_grid_generation", "grid", "SELECT CAST(r AS INTEGER) AS lat_idx, CAST(c AS INTEGER) AS lon_idx, round(55.5 - r * 0.025, 6) AS lat, round(5.5 + c * 0.025, 6) AS lon FROM range(0, (SELECT max(lat_idx) + 1 FROM grid)) a(r) CROSS JOIN range(401) b(c)")

@@ -9,6 +9,7 @@ from gridloom.operators import evaluation as R
 from gridloom.operators import ml
 from gridloom.operators import spatial as G
 from gridloom.operators import windows as W
+from gridloom.sources.shared import materialize
 
 
 def plan(df):
@@ -71,3 +72,21 @@ def test_value_response_counts_every_row_when_contributions_shift(spark):
     rows = spark.createDataFrame([("f", float(i), float(i)) for i in range(40)], "feature string, value double, contribution double")
     got = ml.value_response(rows.withColumn("contribution", shifting(spark, "response", 0)("contribution")), []).first()
     assert got.n == 40 and got.spearman > 0.99
+
+
+def test_fine_centres_are_not_shuffled(spark):
+    """Same modes as by rasterised fine cells, but only whole cells are exchanged."""
+    from gridloom.operators import aggregates as A
+
+    axes = G.Axes(3.9, -0.2, 20, 0.1, 0.2, 20)
+    ring = "array<struct<x: double, y: double>>"
+    polygons = spark.createDataFrame([(1, [(0.0, 0.0), (2.3, 0.0), (2.3, 2.3), (0.0, 2.3)]), (2, [(1.03, 1.0), (3.5, 1.17), (2.0, 3.5)]), (3, [(3.0, 3.0), (3.9, 3.0), (3.9, 3.9)])], f"poly_id int, ring {ring}")
+    polygons = materialize(polygons, "polygons")  # files have a known size
+    cells = spark.createDataFrame([(i, j) for i in range(20) for j in range(20)], "lat_idx int, lon_idx int")
+    got = G.oversampled_mode(cells, axes, 5, polygons, [3])
+    want = A.block_mode(G.rasterise(G.oversample(cells, axes, 5), polygons), "poly_id", 5, [3])
+    rows = sorted(tuple(r) for r in got.select("lat_idx", "lon_idx", F.coalesce("poly_id", F.lit(-1))).collect())
+    assert rows == sorted(tuple(r) for r in want.select("lat_idx", "lon_idx", F.coalesce("poly_id", F.lit(-1))).collect())
+    assert len(rows) == 400 and {1, 2} < {r[2] for r in rows}
+    exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+    assert exchanges and not any("_a" in x or "_px" in x for x in exchanges)
