@@ -90,3 +90,17 @@ def test_fine_centres_are_not_shuffled(spark):
     assert len(rows) == 400 and {1, 2} < {r[2] for r in rows}
     exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
     assert exchanges and not any("_a" in x or "_px" in x for x in exchanges)
+
+
+def test_a_matrix_is_made_once_for_all_fits(spark):
+    """Preparing goes over the matrix for flags, categories, medians and again for each fit; only one pass makes its rows."""
+    made = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    matrix = spark.range(64).selectExpr("cast(id as double) x", "cast(id % 3 as string) c", "id % 2 = 0 as _even", "'train' split").mapInArrow(count, "x double, c string, _even boolean, split string")
+    rows, _ = ml.prepare(matrix, ["x"], ["c"])
+    assert rows.count() == rows.where("x > 5").count() + 6 and made.value == 64
