@@ -33,17 +33,20 @@ def chains(experiments: DataFrame, max_depth: int = 50) -> DataFrame:
     raise ConfigError(f"base chain deeper than {max_depth}")
 
 
-def resolve_features(experiments: DataFrame, tokens: DataFrame, meta: DataFrame) -> DataFrame:
+def resolve_features(experiments: DataFrame, tokens: DataFrame, meta: DataFrame, partitions: int | None = None) -> DataFrame:
     """(experiment, feature, position): (base or include) without exclude, along the chain, in metadata order.
 
     tokens: experiment, op (include_group, include_feature, exclude_group, exclude_feature), token;
     meta: feature, group, position. The nearest ancestor that names a feature decides; within one
-    experiment exclusion wins.
+    experiment exclusion wins. Everything after one exchange by feature stays in its task; chains go to all tasks.
+    partitions: how many tasks share the features.
     """
     by_group = tokens.where("op like '%group'").join(meta.select("feature", F.col("group").alias("token")), "token").select("experiment", "op", "feature")
     by_name = tokens.where("op like '%feature'").select("experiment", "op", F.col("token").alias("feature"))
-    named = by_group.unionByName(by_name).groupBy(F.col("experiment").alias("ancestor"), "feature").agg(F.max(F.col("op").startswith("exclude").cast("int")).alias("out"))
-    along = chains(experiments).join(named, "ancestor")
+    every = by_group.unionByName(by_name)
+    dealt = every.repartition(partitions, "feature") if partitions else every.repartition("feature")
+    named = dealt.groupBy(F.col("experiment").alias("ancestor"), "feature").agg(F.max(F.col("op").startswith("exclude").cast("int")).alias("out"))
+    along = named.join(F.broadcast(chains(experiments)), "ancestor")
     last = along.groupBy("experiment", "feature").agg(F.min_by("out", "depth").alias("out")).where("out = 0")
     return last.join(meta.select("feature", "position"), "feature").select("experiment", "feature", "position")
 
@@ -58,7 +61,8 @@ def config_problems(experiments: DataFrame, tokens: DataFrame, meta: DataFrame,
     up = experiments.where("base is not null").join(bases, "base", "left")
     c = up.where("_profile is null").select("experiment", F.lit("unknown base").alias("problem"), F.col("base").alias("token"))
     d = up.where("_profile <> profile").select("experiment", F.lit("base of another profile").alias("problem"), F.col("base").alias("token"))
-    e = experiments.join(resolved, "experiment", "left_anti").select("experiment", F.lit("no features left").alias("problem"), F.lit(None).cast("string").alias("token"))
+    kept = resolved.select("experiment").distinct()  # few; all of an experiment's features would meet in one task
+    e = experiments.join(kept, "experiment", "left_anti").select("experiment", F.lit("no features left").alias("problem"), F.lit(None).cast("string").alias("token"))
     return a.unionByName(b).unionByName(c).unionByName(d).unionByName(e)
 
 

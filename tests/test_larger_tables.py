@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from gridloom import plans
 from gridloom.operators import evaluation as R
+from gridloom.operators import experiments as X
 from gridloom.operators import ml
 from gridloom.operators import spatial as G
 from gridloom.operators import windows as W
@@ -150,3 +151,18 @@ def test_ranges_of_wide_rows_follow_the_stations(spark, tmp_path):
     pq.write_table(pa.table({"l_suppkey": pa.array(range(n), pa.int64()), "l_quantity": [2.0] * n, "l_discount": [0.5] * n, "l_extendedprice": [3.0] * n, "l_shipdate": pa.array(days, pa.timestamp("us"))}), tmp_path / "lineitem.parquet")
     got = plans.registered()[0]["s11_all_wide_results"](spark, str(tmp_path))
     assert got.rdd.getNumPartitions() == 8 and got.count() == n * 9
+
+
+def test_features_are_exchanged_once(spark):
+    """Naming, inheritance and metadata meet by feature alone; an experiment's features never gather in one task."""
+    ex = spark.createDataFrame([("a", None, "m"), ("b", "a", "m"), ("c", "b", "m")], "experiment string, base string, profile string")
+    tok = spark.createDataFrame([("a", "include_group", "g1"), ("b", "exclude_feature", "f1"), ("b", "include_feature", "f2"), ("c", "include_feature", "f1"), ("c", "exclude_group", "g2")], "experiment string, op string, token string")
+    meta = spark.createDataFrame([("f1", "g1", 1), ("f2", "g2", 2), ("f3", "g1", 3)], "feature string, group string, position int")
+    for tasks in ({}, {"partitions": 7}):
+        got = X.resolve_features(ex, tok, meta, **tasks)
+        assert {tuple(r) for r in got.collect()} == {("a", "f1", 1), ("a", "f3", 3), ("b", "f2", 2), ("b", "f3", 3), ("c", "f1", 1), ("c", "f3", 3)}
+        exchanges = [x for x in got._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange hashpartitioning" in x]
+        assert any("hashpartitioning(feature" in x for x in exchanges) and not any("hashpartitioning(experiment" in x and "feature" in x or "hashpartitioning(ancestor" in x and "feature" in x for x in exchanges)
+    problems = X.config_problems(ex, tok, meta, got)
+    assert "Aggregate [experiment#" in problems._jdf.queryExecution().optimizedPlan().toString().split("LeftAnti, (experiment")[1]
+    assert problems.count() == 0
